@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.operators.history import current_versions
+from tempora.operators.history import calendar, current_versions
+from tempora.plans.sizing import broadcast_if_small
 from tempora.plans.windows import with_neighbours
 from tempora.schemas import DIRECTORY
 
@@ -37,17 +38,27 @@ def snapshot_at(versions: DataFrame, scan_id: int) -> DataFrame:
         ~F.col("is_deleted") | (F.col("first_scan_id") == scan_id))
 
 
-def snapshots_at(versions: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``snapshot_at`` for a table of (root_id, scan_id), partial-aggregated per (scan, item)."""
-    cols = [c for c in versions.columns if c not in ("item_id", "root_id")]
-    return (
-        versions.join(F.broadcast(wanted) if wanted.isLocal() else wanted, "root_id")
-        .where(F.col("first_scan_id") <= F.col("scan_id"))
-        .groupBy("root_id", "scan_id", "item_id")
-        .agg(F.max_by(F.struct(*cols), "first_scan_id").alias("_v"))
-        .select("root_id", "scan_id", "item_id", "_v.*")
-        .where(~F.col("is_deleted") | (F.col("first_scan_id") == F.col("scan_id")))
+def snapshots_at(
+    versions: DataFrame, wanted: DataFrame, scans: DataFrame, span: int | None = None
+) -> DataFrame:
+    """``snapshot_at`` for many completed scans at once (``wanted``: root_id, scan_id).
+
+    Every version is in force from its first ordinal to the one before the next version's, so it is
+    laid out over exactly the scans that show it; no version is paired with scans it cannot serve.
+    """
+    cal = broadcast_if_small(calendar(scans).select("root_id", "scan_id", "ord"))
+    placed = versions.join(
+        cal.withColumnRenamed("scan_id", "first_scan_id"), ["root_id", "first_scan_id"])
+    placed = with_neighbours(placed, ["item_id"], "ord", ["ord"], span, prev=None)
+    until = (
+        F.when(F.col("is_deleted"), F.col("ord"))
+        .when(F.col("next").isNotNull(), F.col("next")["ord"] - 1).otherwise(F.col("_end"))
     )
+    ends = cal.groupBy("root_id").agg(F.max("ord").alias("_end"))
+    laid = placed.join(F.broadcast(ends), "root_id").withColumn(
+        "ord", F.explode(F.sequence(F.col("ord"), until))).drop("next", "_end")
+    return laid.join(broadcast_if_small(wanted.join(cal, ["root_id", "scan_id"])), ["root_id", "ord"]) \
+        .select("root_id", "scan_id", *[c for c in versions.columns if c != "root_id"])
 
 
 def containing(versions: DataFrame, scan_id: int) -> DataFrame:

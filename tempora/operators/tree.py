@@ -57,7 +57,7 @@ def change_flags(versions: DataFrame) -> DataFrame:
         "adds": (alive & (new | was_dead)).cast("long"),
         "mods": (alive & ~new & ~was_dead).cast("long"),
         "dels": (~alive & ~new & ~was_dead).cast("long"),
-    }).fillna(0, list(MAIN_COUNTS))
+    })
 
 
 def folder_changes(versions: DataFrame, paths: DataFrame, span: int | None = None) -> DataFrame:
@@ -99,17 +99,16 @@ def apply_folder_changes(
         lasts={"_base": F.col("_row")},
     ).where(F.col("_base").isNotNull())
     rows = with_neighbours(rows, key, "scan_id", ["scan_id", "_own"], span, prev=None)
-    rows = rows.join(
-        cal.select("root_id", F.col("scan_id").alias("_split"), F.col("prev_scan_id").alias("_close")),
-        (rows["root_id"] == cal["root_id"]) & (F.col("next")["scan_id"] == F.col("_split")), "left",
-    ).drop(cal["root_id"])
     split = F.col("next").isNotNull() & ~F.col("next")["_own"]
+    closes = cal.select(
+        "root_id", F.col("scan_id").alias("_split"), F.col("prev_scan_id").alias("_close"))
+    rows = rows.withColumn("_split", F.when(split, F.col("next")["scan_id"])).join(
+        closes, ["root_id", "_split"], "left")
     n = {c: F.coalesce(F.col(c), F.lit(0)) for c in MAIN_COUNTS}
     return rows.select(
         "root_id", F.col("_base.item_id").alias("item_id"), "item_path",
         F.col("_no").alias("item_version"), F.col("scan_id").alias("first_scan_id"),
-        F.when(split, F.coalesce("_close", F.col("_base.last_scan_id")))
-        .otherwise(F.col("_base.last_scan_id")).alias("last_scan_id"),
+        F.coalesce("_close", F.col("_base.last_scan_id")).alias("last_scan_id"),
         F.coalesce("is_added", F.lit(False)).alias("is_added"),
         F.col("_base.is_deleted").alias("is_deleted"), F.col("_base.access").alias("access"),
         F.col("_base.mod_date").alias("mod_date"), F.col("_base.size").alias("size"),
