@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import a_sources  # noqa: F401
+from catalog import a_sources, bf_domains  # noqa: F401

@@ -208,7 +208,7 @@ schedules AS (
 tasks AS (
   SELECT o_orderkey AS task_id, CAST(o_orderkey % 4 AS INTEGER) AS task_type,
     CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 0 ELSE
-      CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 5 END END AS status,
+      CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END END AS status,
     CASE WHEN o_orderkey % 4 <> 3 THEN o_orderkey % 6 + 1 END AS root_id,
     CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 5 + 1 END AS schedule_id,
     epoch_us(o_orderdate) // 1000000 AS run_at, CAST(o_orderkey % 2 AS INTEGER) AS source,

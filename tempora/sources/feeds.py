@@ -189,7 +189,7 @@ def order_tasks(orders: DataFrame) -> DataFrame:
     """Tasks from orders: status from the order status, settings and progress as JSON."""
     key = F.col("o_orderkey")
     status = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 0) \
-        .otherwise(F.when(key % 3 == 0, 1).when(key % 3 == 1, 4).otherwise(5))
+        .otherwise(F.when(key % 3 == 0, 1).when(key % 3 == 1, 3).otherwise(4))
     at = epoch_seconds(F.col("o_orderdate"))
     scan = (key % 30 + 1) * SCAN_STRIDE + key % 5 + 1
     return conform(orders.select(
@@ -200,7 +200,7 @@ def order_tasks(orders: DataFrame) -> DataFrame:
         formats.task_state_json(F.when(key % 7 != 0, scan), F.when(key % 5 != 0, key % 83))
         .alias("task_state"),
         at.alias("created_at"), F.when(status != 0, at + 10).alias("started_at"),
-        F.when(status.isin(2, 4, 5), at + 70).alias("completed_at"),
+        F.when(status.isin(2, 3, 4), at + 70).alias("completed_at"),
     ), "tasks")
 
 
