@@ -186,9 +186,9 @@ levels AS (
   FROM seen GROUP BY scan_id),
 changed AS (
   SELECT v.first_scan_id AS scan_id,
-    count_if(NOT v.is_deleted AND (p.item_id IS NULL OR p.is_deleted)) AS add_count,
-    count_if(NOT v.is_deleted AND NOT p.is_deleted) AS modify_count,
-    count_if(v.is_deleted AND NOT p.is_deleted) AS delete_count
+    count(*) FILTER (NOT v.is_deleted AND (p.item_id IS NULL OR p.is_deleted)) AS add_count,
+    count(*) FILTER (NOT v.is_deleted AND NOT p.is_deleted) AS modify_count,
+    count(*) FILTER (v.is_deleted AND NOT p.is_deleted) AS delete_count
   FROM history v LEFT JOIN history p ON p.item_id = v.item_id AND p.item_version = v.item_version - 1
   GROUP BY 1),
 scans AS (
