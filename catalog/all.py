@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import a_sources, bf_domains, g_asof, h_history  # noqa: F401
+from catalog import a_sources, bf_domains, g_asof, h_history, i_integrity, j_scans  # noqa: F401
