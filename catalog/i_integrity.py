@@ -159,6 +159,15 @@ for (_kind, _status), _where in PREDICATES.items():
     query(f"i8_issues_{_kind}_{_status}", on_store(f"SELECT item_id, item_version FROM versions v WHERE {_where}"))(_run)
 
 
+@query("i8_issues_three_valued", on_store(f"""
+SELECT item_id, item_version FROM versions v WHERE (val_state = 2 OR {HAS_HASH})
+  AND NOT (val_state = 2 AND val_reviewed_at IS NULL) AND NOT {HASH_OPEN}"""))
+def i8_three_valued(spark, sf):
+    st = store(spark, sf)
+    return review.with_suspects(st.versions, st.hashes).where(
+        review.issue_predicate("all", "reviewed", three_valued=True)).select("item_id", "item_version")
+
+
 I9 = f"""FROM versions v JOIN items i USING (item_id) WHERE i.root_id = 2 AND item_type = 0 AND NOT is_deleted
   AND lower(item_path) LIKE '%/b_/d%' AND file_extension IN ('jpg', 'jpeg', 'png', 'gif', 'tiff', 'bmp')
   AND {PREDICATES['all', 'all']}"""
@@ -232,8 +241,8 @@ SELECT count(*) FILTER (({val}) IS DISTINCT FROM val_reviewed_at)
         lambda spark, sf: run(store(spark, sf))[1])
 
 
-_reviewed("i13_review_one_version", "(v.item_id = 103 AND v.item_version <= 9)", MARK, lambda st: review.review(
-    st, st.versions.where("item_id = 103 AND item_version <= 9").select("item_id", "item_version"), MARK))
+_reviewed("i13_review_versions", "(v.root_id = 3 AND v.item_version <= 9)", MARK, lambda st: review.review(
+    st, st.versions.where("root_id = 3 AND item_version <= 9").select("item_id", "item_version"), MARK))
 _reviewed("i13_clear_reviews", "(v.root_id = 1)", None, lambda st: review.review(
     st, st.items.where("root_id = 1").select("item_id"), None))
 _reviewed("i14_bulk_review_by_ids", "(v.item_id % 3 = 0)", MARK, lambda st: review.review(
@@ -252,7 +261,7 @@ def i16(spark, sf):
 
 
 @query("i17_remaining_work", on_store(f"""
-SELECT item_id, item_version FROM {WORK} WHERE (needs_hash OR needs_val) AND item_id % 4 <> 0"""))
+SELECT item_id, item_version FROM {WORK} WHERE (needs_hash OR needs_val) AND (item_id // 100) % 4 <> 0"""))
 def i17(spark, sf):
     work = checks.work_list(candidates(spark, sf)).select("item_id", "item_version")
-    return checks.remaining_work(work, work.where(F.col("item_id") % 4 == 0))
+    return checks.remaining_work(work, work.where(F.floor(F.col("item_id") / 100) % 4 == 0))

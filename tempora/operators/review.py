@@ -46,14 +46,19 @@ def has_hash_issue() -> Column:
     return F.col("suspect_count") > 0
 
 
-def issue_predicate(issue_type: str, status: str) -> Column:
-    """Which versions count; "reviewed" over both kinds means an issue and nothing left open."""
-    val_open = has_val_issue() & F.col("val_reviewed_at").isNull()
+def issue_predicate(issue_type: str, status: str, three_valued: bool = False) -> Column:
+    """Which versions count; "reviewed" over both kinds means an issue and nothing left open.
+
+    ``three_valued`` compares a missing validation as unknown, as plain SQL does: a version that was
+    never validated then drops out of "reviewed" even when its hash issue is reviewed.
+    """
+    val = F.col("val_state") == INVALID if three_valued else has_val_issue()
+    val_open = val & F.col("val_reviewed_at").isNull()
     hash_open = has_hash_issue() & F.col("hash_reviewed_at").isNull()
     forms = {
-        "val": (has_val_issue(), val_open),
+        "val": (val, val_open),
         "hash": (has_hash_issue(), hash_open),
-        "all": (has_val_issue() | has_hash_issue(), val_open | hash_open),
+        "all": (val | has_hash_issue(), val_open | hash_open),
     }
     any_issue, is_open = forms[issue_type]
     return {"all": any_issue, "unreviewed": is_open, "reviewed": any_issue & ~is_open}[status]

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tempora.operators.asof import with_previous
 from tempora.operators.history import calendar
-from tempora.operators.tree import change_flags
-from tempora.plans.windows import with_neighbours
+from tempora.operators.tree import change_flags, roll_up
+from tempora.plans.sizing import broadcast_if_small
+from tempora.plans.windows import with_neighbours, with_running
 from tempora.schemas import BASELINE, DIRECTORY, FILE, INVALID, SUSPECT, VALID
 
 POPULATION = ("file_count", "folder_count", "total_size")
@@ -21,37 +22,45 @@ NEW_ISSUES = ("new_hash_suspect_count", "new_val_invalid_count")
 LEVELS = POPULATION + INTEGRITY
 
 
-def _deltas(df: DataFrame, scan: Column, after: bool, values: dict[str, Column]) -> DataFrame:
+def _deltas(df: DataFrame, scan: Column, after: Column, values: dict[str, Column]) -> DataFrame:
     return df.select(
-        "root_id", scan.alias("scan_id"), F.lit(after).alias("after"),
+        "root_id", "item_id", scan.alias("scan_id"), after.alias("after"),
         *[values.get(c, F.lit(0)).cast("long").alias(c) for c in LEVELS],
     )
 
 
-def _both_ends(df: DataFrame, start: Column, end: Column, end_after: bool,
+def _both_ends(df: DataFrame, start: Column, end: Column, end_after: Column,
                values: dict[str, Column]) -> DataFrame:
     gone = {k: -v for k, v in values.items()}
-    return _deltas(df, start, False, values).unionByName(_deltas(df, end, end_after, gone))
+    return _deltas(df, start, F.lit(False), values).unionByName(_deltas(df, end, end_after, gone))
 
 
 def _flag(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False)).cast("long")
 
 
-def scan_levels(versions: DataFrame, items: DataFrame, hashes: DataFrame, scans: DataFrame,
-                span: int | None = None) -> DataFrame:
-    """Population, size and integrity-state counts of every completed scan.
+def level_deltas(versions: DataFrame, items: DataFrame, hashes: DataFrame, span: int | None = None,
+                 recount: bool = False) -> DataFrame:
+    """Signed rows (root_id, item_id, scan_id, after, levels...): one adds, one takes away.
 
-    Each alive version adds at its first scan and subtracts after its last; the signed rows are
-    summed per scan (map-side first) and only that scan-sized table is accumulated in order.
+    A version counts from its first to its last scan.  ``recount`` serves histories whose versions
+    may overlap: a version then ends where the next one begins, and its validation counts from its
+    first scan on.
     """
+    if recount:
+        versions = with_neighbours(versions, ["item_id"], "first_scan_id", ["first_scan_id"], span, prev=None)
+        cut = F.col("next")["first_scan_id"]
+        versions = versions.withColumn("_cut", F.when(cut <= F.col("last_scan_id"), cut))
+    else:
+        versions = versions.withColumn("_cut", F.lit(None).cast("long"))
     alive = versions.where(~F.col("is_deleted")).select(
-        "item_id", "item_version", "root_id", "first_scan_id", "last_scan_id", "size",
-        "val_scan_id", "val_state",
+        "item_id", "item_version", "root_id", "first_scan_id", "_cut", "size", "val_state",
+        F.coalesce("_cut", "last_scan_id").alias("_end"), F.col("_cut").isNull().alias("_after"),
+        F.col("first_scan_id" if recount else "val_scan_id").alias("_val_from"),
     ).join(items.select("item_id", "item_type", "has_validator"), "item_id")
     is_file = F.col("item_type") == FILE
-    first, last = F.col("first_scan_id"), F.col("last_scan_id")
-    ends = _both_ends(alive, first, last, True, {
+    first, end, after = F.col("first_scan_id"), F.col("_end"), F.col("_after")
+    ends = _both_ends(alive, first, end, after, {
         "file_count": _flag(is_file),
         "folder_count": _flag(F.col("item_type") == DIRECTORY),
         "total_size": F.when(is_file, F.coalesce("size", F.lit(0))).otherwise(0),
@@ -60,7 +69,7 @@ def scan_levels(versions: DataFrame, items: DataFrame, hashes: DataFrame, scans:
         "hash_unknown_count": _flag(is_file),
     })
     checked = alive.where(is_file & F.col("val_state").isNotNull())
-    checks = _both_ends(checked, F.col("val_scan_id"), last, True, {
+    checks = _both_ends(checked, F.col("_val_from"), end, after, {
         "val_unknown_count": -_flag(F.col("has_validator")),
         "val_valid_count": _flag(F.col("val_state") == VALID),
         "val_invalid_count": _flag(F.col("val_state") == INVALID),
@@ -70,17 +79,31 @@ def scan_levels(versions: DataFrame, items: DataFrame, hashes: DataFrame, scans:
         "item_id", "item_version", F.col("first_scan_id").alias("_from"), "hash_state",
         F.col("prev").isNull().alias("_is_first"), F.col("next")["first_scan_id"].alias("_to"),
     ).join(alive.where(is_file), ["item_id", "item_version"])
+    if recount:  # observations after the cut never show; the last one before it lasts until there
+        shown = F.col("_cut").isNull() | (F.col("_from") < F.col("_cut"))
+        seen = seen.where(shown).withColumn("_to", F.when(
+            F.col("_cut").isNull() | (F.col("_to") < F.col("_cut")), F.col("_to")))
     states = {
         "hash_baseline_count": _flag(F.col("hash_state") == BASELINE),
         "hash_suspect_count": _flag(F.col("hash_state") == SUSPECT),
     }
+    gone = {k: -v for k, v in states.items()}
     is_last = F.col("_to").isNull()
-    starts = _deltas(seen, F.col("_from"), False,
-                     {**states, "hash_unknown_count": -_flag(F.col("_is_first"))})
-    replaced = _deltas(seen.where(~is_last), F.col("_to"), False, {k: -v for k, v in states.items()})
-    closed = _deltas(seen.where(is_last), last, True,
-                     {**{k: -v for k, v in states.items()}, "hash_unknown_count": F.lit(1)})
-    rows = ends.unionByName(checks).unionByName(starts).unionByName(replaced).unionByName(closed)
+    before = F.lit(False)
+    starts = _deltas(seen, F.col("_from"), before, {**states, "hash_unknown_count": -_flag(F.col("_is_first"))})
+    replaced = _deltas(seen.where(~is_last), F.col("_to"), before, gone)
+    closed = _deltas(seen.where(is_last), end, after, {**gone, "hash_unknown_count": F.lit(1)})
+    return ends.unionByName(checks).unionByName(starts).unionByName(replaced).unionByName(closed)
+
+
+def scan_levels(versions: DataFrame, items: DataFrame, hashes: DataFrame, scans: DataFrame,
+                span: int | None = None, recount: bool = False) -> DataFrame:
+    """Population, size and integrity-state counts of every completed scan.
+
+    The signed rows are summed per scan (map-side first) and only that scan-sized table is
+    accumulated in order.
+    """
+    rows = level_deltas(versions, items, hashes, span, recount)
     per_scan = rows.groupBy("root_id", "scan_id", "after").agg(*[F.sum(c).alias(c) for c in LEVELS])
     cal = calendar(scans).select("root_id", "scan_id", "ord")
     placed = per_scan.join(cal, ["root_id", "scan_id"]).select(
@@ -91,6 +114,31 @@ def scan_levels(versions: DataFrame, items: DataFrame, hashes: DataFrame, scans:
         "root_id", "scan_id", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in LEVELS])
 
 
+def folder_levels(versions: DataFrame, items: DataFrame, hashes: DataFrame, roots: DataFrame,
+                  scans: DataFrame, span: int | None = None) -> DataFrame:
+    """Integrity-state counts of the files below each folder, for every scan that shows any.
+
+    The signed rows roll up to all ancestors, are accumulated per folder, and each step is laid out
+    over the scans until the next step: the result has one row per folder and scan by nature.
+    """
+    cols = ["file_count", *INTEGRITY]
+    rows = level_deltas(versions, items.where(F.col("item_type") == FILE), hashes, span)
+    placed = rows.join(items.select("item_id", "parent_path"), "item_id").join(roots, "root_id")
+    folded = roll_up(placed, ["root_id", "scan_id", "after"], cols)
+    cal = broadcast_if_small(calendar(scans).select("root_id", "scan_id", "ord"))
+    steps = folded.join(cal, ["root_id", "scan_id"]).groupBy(
+        "root_id", "folder_path", (F.col("ord") + F.col("after").cast("long")).alias("ord")
+    ).agg(*[F.sum(c).alias(c) for c in cols])
+    key = ["root_id", "folder_path"]
+    steps = with_running(steps, key, "ord", span, sums={c: F.col(c) for c in cols})
+    steps = with_neighbours(steps, key, "ord", ["ord"], span, prev=None)
+    ends = cal.groupBy("root_id").agg(F.max("ord").alias("_end"))
+    until = F.coalesce(F.col("next")["ord"] - 1, F.col("_end"))
+    laid = steps.where(F.col("file_count") > 0).join(F.broadcast(ends), "root_id").withColumn(
+        "ord", F.explode(F.sequence(F.col("ord"), until)))  # one row per root to the right
+    return laid.join(cal, ["root_id", "ord"]).select("root_id", "scan_id", "folder_path", *cols)
+
+
 def scan_changes(versions: DataFrame, span: int | None = None) -> DataFrame:
     """Adds, modifications and deletions of every scan, against each row's previous version."""
     flagged = change_flags(with_previous(versions.select(
@@ -110,10 +158,10 @@ def new_issues(versions: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def scan_statistics(versions: DataFrame, items: DataFrame, hashes: DataFrame, scans: DataFrame,
-                    span: int | None = None) -> DataFrame:
+                    span: int | None = None, recount: bool = False) -> DataFrame:
     """All counters of every completed scan."""
     out = (
-        scan_levels(versions, items, hashes, scans, span)
+        scan_levels(versions, items, hashes, scans, span, recount)
         .join(scan_changes(versions, span).drop("root_id"), "scan_id", "left")
         .join(new_issues(versions, hashes), "scan_id", "left")
     )
