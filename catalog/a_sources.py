@@ -6,7 +6,6 @@ from catalog.base import on_store, query
 from tempora.operators.hashes import content_hash
 from tempora.operators.history import build_history
 from tempora.plans.sizing import scratch_path
-from tempora.plans.windows import choose_span
 from tempora.sources import feeds, files, tables
 from tempora.sources.events import day_number, snapshots_from_events
 from tempora.schemas import SCANS, VERSIONS
@@ -46,3 +45,56 @@ def a1_scans(spark, sf):
 def a1_hashes(spark, sf):
     h = feeds.activity_store(spark, sf).hashes
     return h.withColumn("file_hash", F.lower(F.hex("file_hash")))
+
+
+@query("a2_file_listing", """
+SELECT '/lang=' || lang AS folder, count(*) > 0 AS has_files, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size
+FROM documents GROUP BY lang""")
+def a2(spark, sf):
+    """Documents written out as text files by language, listed again with folder sizes."""
+    at = scratch_path(spark, "listing")
+    feeds.table(spark, sf, "documents").select("text", "lang").write.partitionBy("lang").text(at)
+    tree = files.list_tree(spark, at, 1, 1)
+    folders = tree.where("item_type = 1")
+    per = tree.where("item_type = 0").groupBy(F.regexp_replace("item_path", "/[^/]+$", "").alias("item_path")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return folders.join(per, "item_path").select(
+        F.substr("item_path", F.lit(len(at) + 1)).alias("folder"), (F.col("n") > 0).alias("has_files"), "size")
+
+
+@query("a3_content_hash", "SELECT page_id, sha256(html) AS file_hash FROM pages")
+def a3(spark, sf):
+    return feeds.table(spark, sf, "pages").select("page_id", content_hash(F.col("html")).alias("file_hash"))
+
+
+@query("a3_file_hashes")
+def a3_files(spark, sf):
+    at = scratch_path(spark, "hashing")
+    feeds.table(spark, sf, "documents").select("text", "source").write.partitionBy("source").text(at)
+    return files.hash_files(spark, at).select(
+        F.substr("item_path", F.lit(len(at) + 1)).alias("item_path"), "file_hash")
+
+
+@query("a4_snapshots_from_events", """
+SELECT event_type AS root, user_id AS key, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS period,
+  count(*) AS size, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL""")
+def a4(spark, sf):
+    events = feeds.table(spark, sf, "events")
+    return snapshots_from_events(
+        events, F.col("event_type"), F.col("user_id"), day_number(F.col("ts")), size=F.count(F.lit(1)),
+        cents=F.sum(F.round(F.col("value") * 100).cast("long")))
+
+
+@query("a5_versioned_sink", on_store("""
+SELECT 2 AS version, root_id, count(*) AS versions, (SELECT count(*) FROM hashes h WHERE h.root_id = v.root_id) AS hashes
+FROM versions v WHERE is_deleted = false GROUP BY root_id"""))
+def a5(spark, sf):
+    """Publish the store, then a second version without deletions, and read the newest back."""
+    st, at = feeds.activity_store(spark, sf), scratch_path(spark, "sink")
+    tables.write_state(st, at, 1)
+    tables.write_state(st.with_(versions=st.versions.where(~F.col("is_deleted"))), at, 2)
+    new = tables.read_state(spark, at)
+    version = tables.published_versions(spark, at)[-1]
+    return new.versions.groupBy("root_id").agg(F.count(F.lit(1)).alias("versions")).join(
+        new.hashes.groupBy("root_id").agg(F.count(F.lit(1)).alias("hashes")), "root_id", "left"
+    ).withColumn("version", F.lit(version))

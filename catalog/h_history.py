@@ -1,5 +1,8 @@
 """Snapshot ingest, trees, scan statistics, rollback."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.base import STORE, on_store, query
@@ -47,6 +50,13 @@ def before(spark, sf):
     return items, versions, snap
 
 
+def one_row(numbers):
+    """One-number DataFrames side by side."""
+    rows = [df.toDF("n").select(F.lit(name).alias("name"), "n") for name, df in numbers.items()]
+    return reduce(DataFrame.unionByName, rows).agg(*[
+        F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in numbers])
+
+
 def classified(spark, sf):
     items, versions, snap = before(spark, sf)
     return H.classify(H.match_snapshot(snap, items, versions), N)
@@ -182,7 +192,7 @@ def h11(spark, sf):
     events = feeds.table(spark, sf, "events")
     bare = H.build_history(feeds.activity_observations(events), feeds.activity_scans(events))
     paths = st.items.join(st.roots, "root_id").select("item_id", "root_path", "parent_path")
-    return tree.folder_changes(bare, paths)
+    return tree.folder_changes(tree.change_flags(with_previous(bare, ["is_deleted"])), paths)
 
 
 @query("h12_folder_versions", on_store("""
@@ -274,15 +284,12 @@ def h15_counts(spark, sf):
     st = rollback.roll_back(store(spark, sf), UNDONE, error="disk gone")
     # the undone scan's extended hashes fall back, so none of them ends at it any more
     hashes = st.hashes.agg(F.count(F.lit(1)).alias("hashes"))
-    kept = store(spark, sf).hashes.where((F.col("first_scan_id") != UNDONE) & (F.col("last_scan_id") == UNDONE))
-    fell = kept.join(st.hashes.where(F.col("last_scan_id") < UNDONE).select(
+    ended = store(spark, sf).hashes.where((F.col("first_scan_id") != UNDONE) & (F.col("last_scan_id") == UNDONE))
+    fell = ended.join(st.hashes.where(F.col("last_scan_id") < UNDONE).select(
         "item_id", "item_version", "first_scan_id"), ["item_id", "item_version", "first_scan_id"], "left_semi")
-    parts = [hashes, fell.agg(F.count(F.lit(1)).alias("extended")), st.items.agg(F.count(F.lit(1)).alias("items")),
-             st.scans.agg(F.count_if(F.col("state") == 6).alias("failed_scans"), F.sum("total_size").alias("sizes"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p)  # one row each
-    return out
+    kept = {"items": st.items.agg(F.count(F.lit(1))), "failed_scans": st.scans.agg(F.count_if(F.col("state") == 6)),
+            "sizes": st.scans.agg(F.sum("total_size")), "hashes": hashes, "extended": fell.agg(F.count(F.lit(1)))}
+    return one_row(kept)
 
 
 @query("h16_delete_root", on_store("""
@@ -291,11 +298,8 @@ SELECT (SELECT count(*) FROM versions WHERE root_id <> 2) AS versions, (SELECT c
   (SELECT count(*) FROM schedules WHERE root_id <> 2) AS schedules, (SELECT count(*) FROM roots WHERE root_id <> 2) AS roots,
   (SELECT count(*) FROM tasks WHERE root_id IS DISTINCT FROM 2) AS tasks"""))
 def h16(spark, sf):
-    out = None
-    for name, df in rollback.delete_root(store(spark, sf), 2).tables().items():
-        n = df.agg(F.count(F.lit(1)).alias(name))
-        out = n if out is None else out.join(n)  # one row each
-    return out
+    kept = rollback.delete_root(store(spark, sf), 2).tables()
+    return one_row({name: df.agg(F.count(F.lit(1))) for name, df in kept.items()})
 
 
 @query("h16_running_tasks", on_store("SELECT task_id FROM tasks WHERE root_id = 4 AND status = 1"))

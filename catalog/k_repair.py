@@ -342,13 +342,21 @@ def k10_parts(spark, sf):
 @query("k11_purge_suspects", on_store("""
 SELECT scan_id, hash_baseline_count + hash_suspect_count AS hash_baseline_count,
   CAST(CASE WHEN hash_suspect_count IS NOT NULL THEN 0 END AS BIGINT) AS hash_suspect_count,
-  (SELECT count(*) FROM hashes WHERE hash_state = 1) AS kept, 0 AS reviewed FROM scans"""))
+  CAST(CASE WHEN hash_suspect_count IS NOT NULL THEN 0 END AS BIGINT) AS new_hash_suspect_count FROM scans"""))
 def k11(spark, sf):
     st = store(spark, sf)
-    versions, hashes, scans = hash_ops.purge_suspects(st.versions, st.hashes, st.scans)
-    kept = hashes.agg(F.count(F.lit(1)).alias("kept"))
-    marks = versions.agg(F.count("hash_reviewed_at").alias("reviewed"))
-    return scans.select("scan_id", "hash_baseline_count", "hash_suspect_count").join(kept).join(marks)  # one row each
+    return hash_ops.purge_suspects(st.versions, st.hashes, st.scans)[2].select(
+        "scan_id", "hash_baseline_count", "hash_suspect_count", "new_hash_suspect_count")
+
+
+@query("k11_kept_hashes", on_store("""
+SELECT h.item_id, h.item_version, h.first_scan_id, CAST(NULL AS BIGINT) AS hash_reviewed_at
+FROM hashes h JOIN versions v USING (item_id, item_version) WHERE hash_state = 1"""))
+def k11_hashes(spark, sf):
+    st = store(spark, sf)
+    versions, kept, _ = hash_ops.purge_suspects(st.versions, st.hashes, st.scans)
+    return kept.join(versions.select("item_id", "item_version", "hash_reviewed_at"), ["item_id", "item_version"]).select(
+        "item_id", "item_version", "first_scan_id", "hash_reviewed_at")
 
 
 @query("k12_backfill_new_issues", on_store(

@@ -96,13 +96,12 @@ def size_history(state: State, item_id: int, from_date: str, to_scan_id: int,
                  zone: str = "UTC") -> DataFrame:
     """Sizes of an item's versions created between a day and the start of a scan."""
     start, _ = date_bounds(from_date, zone)
-    until = state.scans.where(F.col("scan_id") == to_scan_id).select(F.col("started_at").alias("_until"))
+    until = state.scans.where(F.col("scan_id") == to_scan_id).select("started_at").first()[0]  # one row
     mine = state.versions.where((F.col("item_id") == item_id) & F.col("size").isNotNull())
     dated = mine.join(state.scans.select(F.col("scan_id").alias("first_scan_id"), "started_at"),
                       "first_scan_id")
     return (
-        dated.where(F.col("started_at") >= start).join(F.broadcast(until))  # one row: scan_id is unique
-        .where(F.col("started_at") <= F.col("_until"))
+        dated.where(F.col("started_at").between(start, until))
         .select(F.col("first_scan_id").alias("scan_id"), "started_at", "size").orderBy("started_at")
     )
 

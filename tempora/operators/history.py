@@ -100,6 +100,37 @@ def build_history(
     )
 
 
+def extend_history(
+    current: DataFrame,
+    observations: DataFrame,
+    scans: DataFrame,
+    key: Sequence[str] = KEY,
+    attrs: Sequence[str] = META,
+    span: int | None = None,
+) -> DataFrame:
+    """Continue a history over any number of new scans in one pass.
+
+    ``current`` holds the newest version of every item; ``scans`` all scans up to now.  The alive
+    rows of ``current`` enter ``build_history`` as one more observation at their last scan.  Returns
+    the new and the extended versions of every item that was alive or is observed; the newest
+    version of any other item stays as it is.
+    """
+    alive = current.where(~F.col("is_deleted"))
+    seeds = alive.select(*key, F.col("last_scan_id").alias("scan_id"), *attrs)
+    rows = build_history(
+        seeds.unionByName(observations.select(*key, "scan_id", *attrs)), scans, key, (), attrs, span)
+    old = current.select(
+        *key, F.col("item_version").alias("_v"), F.col("is_deleted").alias("_dead"),
+        F.col("first_scan_id").alias("_first"), F.col("is_added").alias("_added"))
+    seeded = (F.col("item_version") == 1) & ~F.coalesce(F.col("_dead"), F.lit(True))
+    base = F.coalesce(F.col("_v") - (~F.col("_dead")).cast("int"), F.lit(0))
+    return rows.join(old, list(key), "left").withColumns({
+        "first_scan_id": F.when(seeded, F.col("_first")).otherwise(F.col("first_scan_id")),
+        "is_added": F.when(seeded, F.col("_added")).otherwise(F.col("is_added")),
+        "item_version": F.col("item_version") + base,
+    }).select(*rows.columns)
+
+
 # ---- one snapshot at a time -------------------------------------------------------------------
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tempora.functions import paths as P
 from tempora.operators.history import calendar
-from tempora.operators.tree import folder_changes, roll_up
+from tempora.operators.asof import with_previous
+from tempora.operators.tree import change_flags, folder_changes, roll_up
 from tempora.operators.scanstats import new_issues
 from tempora.plans.sizing import broadcast_if_small
 from tempora.plans.windows import with_neighbours, with_running
@@ -198,7 +199,8 @@ def backfill_folder_counters(versions: DataFrame, items: DataFrame, roots: DataF
     deletes, so no scan waits for the one before it.
     """
     paths = items.join(roots, "root_id").select("item_id", "root_path", "parent_path")
-    rows = folder_changes(versions, paths, span)
+    flagged = change_flags(with_previous(versions, ["is_deleted"], span))
+    rows = folder_changes(flagged, paths)
     rows = with_running(rows, ["root_id", "folder_path"], "scan_id", span,
                         sums={"_alive": F.col("adds") - F.col("dels")})
     return rows.withColumn("unchanged", F.col("_alive") - F.col("adds") - F.col("mods")).drop("_alive")
@@ -299,15 +301,17 @@ def consistency_report(old_items: DataFrame, state: State) -> DataFrame:
     """Compare a current-row table (item_id, is_deleted) with the versioned tables."""
     versions, items = state.versions, state.items
     newest = versions.groupBy("item_id").agg(F.max_by("is_deleted", "last_scan_id").alias("_gone"))
-    old_n = old_items.agg(F.count(F.lit(1)).alias("a"))
-    items_n = items.agg(F.count(F.lit(1)).alias("b"))
-    versions_n = versions.agg(F.count(F.lit(1)).alias("c"))
+    sizes = reduce(DataFrame.unionByName, [
+        df.agg(F.count(F.lit(1)).alias("n")).withColumn("table", F.lit(name))
+        for name, df in (("old", old_items), ("items", items), ("versions", versions))])
+    count = {t: F.sum(F.when(F.col("table") == t, F.col("n"))) for t in ("old", "items", "versions")}
+    sizes = sizes.agg(*[c.alias(t) for t, c in count.items()])
     return _report({
         "old item without identity": old_items.join(items, "item_id", "left_anti"),
         "item without version": items.join(versions, "item_id", "left_anti"),
         "deleted state differs": old_items.join(newest, "item_id").where(F.col("is_deleted") != F.col("_gone")),
-        "item counts differ": old_n.join(items_n).where("a <> b"),          # one row each
-        "fewer versions than items": versions_n.join(items_n).where("c < b"),
+        "item counts differ": sizes.where("old <> items"),
+        "fewer versions than items": sizes.where("versions < items"),
     })
 
 

@@ -18,19 +18,16 @@ def roll_back(state: State, scan_id: int, error: str | None = None,
     every scan that saw a row extended it; hashes are only extended by hashing scans, so theirs fall
     back to the previous completed hashing scan.
     """
-    root = state.scans.where(F.col("scan_id") == scan_id).select("root_id")
     undone_versions = state.versions.where(F.col("first_scan_id") != scan_id)
     undone_hashes = state.hashes.where(F.col("first_scan_id") != scan_id)
     if before is not None:
         versions = _restore(undone_versions, before.versions, ["item_id", "item_version"])
         hashes = _restore(undone_hashes, before.hashes, ["item_id", "item_version", "first_scan_id"])
     else:
-        prev = F.broadcast(previous_completed_scan(state.scans).where(F.col("scan_id") == scan_id)
-                           .select(F.col("prev_scan_id").alias("_prev")))
-        prev_hash = F.broadcast(
-            state.scans.join(F.broadcast(root), "root_id", "left_semi")
-            .where((F.col("scan_id") < scan_id) & (F.col("state") == 4) & F.col("is_hash"))
-            .agg(F.max("scan_id").alias("_prev")))
+        prev = previous_completed_scan(state.scans).where(F.col("scan_id") == scan_id)
+        hashing = state.scans.withColumn("state", F.when(
+            F.col("is_hash") | (F.col("scan_id") == scan_id), F.col("state")).otherwise(0))
+        prev_hash = previous_completed_scan(hashing).where(F.col("scan_id") == scan_id)
         versions = _fall_back(undone_versions, prev, scan_id)
         hashes = _fall_back(undone_hashes, prev_hash, scan_id)
     late = F.coalesce(F.col("val_scan_id") > F.col("last_scan_id"), F.lit(False))
@@ -48,9 +45,11 @@ def roll_back(state: State, scan_id: int, error: str | None = None,
 
 
 def _fall_back(rows: DataFrame, prev: DataFrame, scan_id: int) -> DataFrame:
+    """Rows that end at the scan end at the one before it; ``prev`` is a single row."""
     last = F.col("last_scan_id")
-    return rows.join(prev).withColumn(  # exactly one row to the right
-        "last_scan_id", F.when(last == scan_id, F.col("_prev")).otherwise(last)).drop("_prev")
+    back = F.broadcast(prev.select("root_id", F.col("prev_scan_id").alias("_prev")))
+    return rows.join(back, "root_id", "left").withColumn(
+        "last_scan_id", F.when(last == scan_id, F.col("_prev")).otherwise(last)).select(*rows.columns)
 
 
 def _restore(rows: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions import paths as P
-from tempora.operators.asof import with_previous
 from tempora.operators.history import calendar
 from tempora.plans.sizing import broadcast_if_small
 from tempora.plans.windows import with_neighbours, with_running
@@ -60,12 +59,21 @@ def change_flags(versions: DataFrame) -> DataFrame:
     })
 
 
-def folder_changes(versions: DataFrame, paths: DataFrame, span: int | None = None) -> DataFrame:
+def own_flags(versions: DataFrame) -> DataFrame:
+    """The same from a row's own marks; equal on any history this engine built, and no shuffle."""
+    gone = F.col("is_deleted")
+    return versions.withColumns({
+        "adds": (~gone & F.col("is_added")).cast("long"),
+        "mods": (~gone & ~F.col("is_added")).cast("long"),
+        "dels": gone.cast("long"),
+    })
+
+
+def folder_changes(flagged: DataFrame, paths: DataFrame) -> DataFrame:
     """Descendant adds/mods/dels per (root_id, scan_id, folder_path) over all scans at once.
 
-    ``paths`` gives item_id -> root_path, parent_path.
+    ``flagged`` are version rows with adds/mods/dels; ``paths`` gives item_id -> root_path, parent_path.
     """
-    flagged = change_flags(with_previous(versions, ["is_deleted"], span))
     direct = flagged.select(
         "item_id", "root_id", F.col("first_scan_id").alias("scan_id"), *MAIN_COUNTS,
     ).join(paths.select("item_id", "root_path", "parent_path"), "item_id")
@@ -80,7 +88,8 @@ def apply_folder_changes(
 
     ``folders``: folder versions with root_id, item_id, item_path.  ``changes``: output of
     ``folder_changes``.  Alive totals chain from version to version, which a running sum of
-    adds minus dels gives without a loop.
+    adds minus dels gives without a loop.  Where a history is continued, the folder row it
+    continues from brings that total in ``alive_seed`` and its own counters in ``changes``.
     """
     cal = broadcast_if_small(calendar(scans))
     starts = folders.withColumn("scan_id", F.col("first_scan_id"))
@@ -92,10 +101,12 @@ def apply_folder_changes(
     fill = ["item_id", "is_deleted", "access", "mod_date", "size", "last_scan_id"]
     rows = rows.withColumn("_own", F.col("first_scan_id").isNotNull())
     key = ["root_id", "item_path"]
+    delta = F.coalesce(F.col("adds"), F.lit(0)) - F.coalesce(F.col("dels"), F.lit(0))
+    if "alive_seed" in folders.columns:
+        delta = F.coalesce(F.col("alive_seed"), delta)
     rows = with_running(
         rows.withColumn("_row", F.when(F.col("_own"), F.struct(*fill))), key, "scan_id", span,
-        sums={"_alive": F.coalesce(F.col("adds"), F.lit(0)) - F.coalesce(F.col("dels"), F.lit(0)),
-              "_no": F.lit(1)},
+        sums={"_alive": delta, "_no": F.lit(1)},
         lasts={"_base": F.col("_row")},
     ).where(F.col("_base").isNotNull())
     rows = with_neighbours(rows, key, "scan_id", ["scan_id", "_own"], span, prev=None)
@@ -124,7 +135,7 @@ def with_folder_counters(
     """Full history with folder counters: files pass through, folder versions are rebuilt."""
     paths = items.join(roots, "root_id").select(
         "item_id", "root_path", "parent_path", "item_path", "item_type")
-    changes = folder_changes(versions, paths, span)
+    changes = folder_changes(own_flags(versions), paths)
     typed = versions.join(paths.select("item_id", "item_path", "item_type"), "item_id")
     is_dir = F.col("item_type") == DIRECTORY
     done = apply_folder_changes(typed.where(is_dir), changes, scans, span)

@@ -67,14 +67,10 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str, start: Column | i
         # about RANGE_SAMPLE rows whatever the size of the input
         picked = [r[0] for r in sample.select(key.alias("k")).orderBy("k").collect()]
         step = max(1, len(picked) // RANGE_BUCKETS)
-        spark = df.sparkSession
-        splits = spark.createDataFrame([(i, *s) for i, s in enumerate(picked[::step])],
-                                       "_i int, " + ", ".join(
-                                           f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema))
-        edges = splits.agg(F.transform(
-            F.array_sort(F.collect_list(F.struct(key.alias("k"), "_i"))), lambda s: s.k).alias("_edges"))
-        df = df.crossJoin(F.broadcast(edges))  # one row holding at most RANGE_SAMPLE splitters
-        bucket = F.size(F.filter("_edges", lambda e: e <= key))
+        edges = F.array(*[
+            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(p, keys.schema.fields)])
+            for p in picked[::step]])
+        bucket = F.size(F.filter(edges, lambda e: e <= key))
     df = df.withColumn("_bucket", bucket)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -87,5 +83,5 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str, start: Column | i
         df.withColumn("_place", place)
         .join(F.broadcast(offsets), "_bucket")
         .withColumn(out, (base + F.col("_before") + F.col("_place")).cast("long"))
-        .drop("_bucket", "_place", "_before", *(["_edges"] if "_edges" in df.columns else []))
+        .drop("_bucket", "_place", "_before")
     )

@@ -32,32 +32,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _roots(names: DataFrame) -> DataFrame:
-    """Dense ids of the distinct root names, a dimension of a few rows."""
-    ranked = names.agg(F.array_sort(F.collect_set("root")).alias("r"))
-    return ranked.select(F.posexplode("r").alias("i", "root")).select(
+def _period_roots(rows: DataFrame, root: Column, period: Column) -> DataFrame:
+    """Dense root ids by name with the first and last period of the whole table.
+
+    One pass with map-side partial results; the root names are a dimension of a few rows.
+    """
+    seen = rows.agg(F.min(period).alias("first"), F.max(period).alias("last"),
+                    F.array_sort(F.collect_set(root)).alias("r"))
+    return seen.select("first", "last", F.posexplode("r").alias("i", "root")).select(
         (F.col("i") + 1).cast("long").alias("root_id"), "root",
-        F.concat(F.lit("/"), F.col("root")).alias("root_path"))
+        F.concat(F.lit("/"), F.col("root")).alias("root_path"), "first", "last")
 
 
 # ---- daily activity ---------------------------------------------------------------------------
 
 
-def activity_calendar(events: DataFrame) -> DataFrame:
-    day = day_number(F.col("ts"))
-    return events.agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+def activity_periods(events: DataFrame) -> DataFrame:
+    return _period_roots(events, F.col("event_type"), day_number(F.col("ts")))
 
 
 def activity_roots(events: DataFrame) -> DataFrame:
-    return _roots(events.select(F.col("event_type").alias("root")))
+    return activity_periods(events).select("root_id", "root", "root_path")
 
 
 def activity_scans(events: DataFrame) -> DataFrame:
     """A completed scan per root and day, plus some stopped or failed ones in between."""
-    days = activity_calendar(events).select(
-        "first_day", F.explode(F.sequence(F.lit(1).cast("long"),
-                                          F.col("last_day") - F.col("first_day") + 1)).alias("day"))
-    grid = days.crossJoin(activity_roots(events).select("root_id"))
+    length = F.col("last") - F.col("first") + 1
+    grid = activity_periods(events).select(
+        "root_id", F.col("first").alias("first_day"), F.explode(F.sequence(F.lit(1).cast("long"), length)).alias("day"))
     tries = grid.withColumn("retry", F.explode(
         F.when(F.col("day") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     ok = F.col("retry") == 0
@@ -79,8 +81,7 @@ def activity_scans(events: DataFrame) -> DataFrame:
 
 def activity_files(events: DataFrame) -> DataFrame:
     """File observations: a user's events of one type on one day, as a file in a small tree."""
-    roots = F.broadcast(activity_roots(events))
-    first = F.broadcast(activity_calendar(events).select("first_day"))
+    roots = F.broadcast(activity_periods(events))  # one row per root
     second = epoch_seconds(F.col("ts"))
     daily = snapshots_from_events(
         events, F.col("event_type"), F.col("user_id"), day_number(F.col("ts")),
@@ -93,9 +94,9 @@ def activity_files(events: DataFrame) -> DataFrame:
     access = (F.when((F.col("size") >= 3) & (user % 2 == 0), 2)
               .when((F.col("size") >= 3) & (user % 5 == 0), 1).otherwise(0))
     return (
-        daily.join(birth, ["root", "key"]).join(roots, "root").crossJoin(first).select(
+        daily.join(birth, ["root", "key"]).join(roots, "root").select(
             "root_id", "root_path",
-            ((F.col("period") - F.col("first_day") + 1) * SCAN_STRIDE + F.col("root_id")).alias("scan_id"),
+            ((F.col("period") - F.col("first") + 1) * SCAN_STRIDE + F.col("root_id")).alias("scan_id"),
             (user * SCAN_STRIDE + F.col("root_id")).alias("item_id"),
             F.format_string("%s/b%d/d%d/u%d%s", F.col("root_path"), user % 10, user % 3, user, ext)
             .alias("item_path"),
@@ -257,19 +258,20 @@ def activity_store(spark: SparkSession, sf_dir: str) -> State:
 # ---- monthly parts ----------------------------------------------------------------------------
 
 
+def shipping_periods(lineitem: DataFrame) -> DataFrame:
+    return _period_roots(lineitem, F.col("l_returnflag"), month_number(F.col("l_shipdate")))
+
+
 def shipping_scans(lineitem: DataFrame) -> DataFrame:
-    month = month_number(F.col("l_shipdate"))
-    roots = _roots(lineitem.select(F.col("l_returnflag").alias("root"))).select("root_id")
-    months = lineitem.agg(F.min(month).alias("a"), F.max(month).alias("b")).select(
-        F.explode(F.sequence("a", "b")).alias("m"))
-    return months.crossJoin(roots).select(
+    return shipping_periods(lineitem).select(
+        "root_id", F.explode(F.sequence("first", "last")).alias("m")).select(
         ((F.col("m") - FIRST_MONTH + 1) * SCAN_STRIDE + F.col("root_id")).alias("scan_id"),
         "root_id", F.lit(COMPLETED).alias("state"))
 
 
 def shipping_observations(lineitem: DataFrame, key: str = "l_partkey", coarse: int = 1) -> DataFrame:
     """Monthly quantity per return flag and part (or supplier), optionally in coarse steps."""
-    roots = F.broadcast(_roots(lineitem.select(F.col("l_returnflag").alias("root"))))
+    roots = F.broadcast(shipping_periods(lineitem))  # one row per return flag
     monthly = snapshots_from_events(
         lineitem, F.col("l_returnflag"), F.col(key), month_number(F.col("l_shipdate")),
         quantity=F.sum(F.col("l_quantity").cast("long")))
