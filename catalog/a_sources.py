@@ -19,11 +19,11 @@ WHERE item_type = 0 AND NOT is_deleted AND last_scan_id = (
 GROUP BY root_path"""))
 def flagship(spark, sf):
     events = feeds.table(spark, sf, "events")
-    scans = feeds.activity_scans(events)
-    history = build_history(feeds.activity_files(events), scans)
+    scans = feeds.activity_scans(spark, sf)
+    history = build_history(feeds.activity_files(spark, sf), scans)
     newest = scans.where("state = 4").groupBy("root_id").agg(F.max("scan_id").alias("last_scan_id"))
     alive = history.where(~F.col("is_deleted")).join(F.broadcast(newest), ["root_id", "last_scan_id"])
-    return alive.join(F.broadcast(feeds.activity_roots(events)), "root_id").groupBy("root_path").agg(
+    return alive.join(F.broadcast(feeds.activity_roots(spark, sf)), "root_id").groupBy("root_path").agg(
         F.count(F.lit(1)).alias("alive_items"), F.sum("size").alias("total_size"))
 
 

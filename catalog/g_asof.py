@@ -1,6 +1,5 @@
 """As-of, temporal and browse queries.  Scan 1203 is day 12 of root 3."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.base import on_store, query
@@ -115,15 +114,14 @@ def name_of(st, root_id):
 
 
 @query("g9_browse_children", on_store(f"""
-SELECT {', '.join(SEEN)}, row_number() OVER (ORDER BY item_type DESC, length(item_path), item_path) AS rn
+SELECT {', '.join(SEEN)}
 FROM {at(1203)} WHERE parent_path = {root_path(3)} || '/b4' OR parent_path = {root_path(3)} || '/b4/d1'"""))
 def g9(spark, sf):
     st = store(spark, sf)
     base = name_of(st, 3)
     both = browse.children_at(st, 3, f"{base}/b4", 1203).unionByName(
         browse.children_at(st, 3, f"{base}/b4/d1", 1203))
-    rn = F.row_number().over(Window.orderBy(F.col("item_type").desc(), F.length("item_path"), "item_path"))
-    return both.select(*SEEN, rn.cast("long").alias("rn"))
+    return both.select(*SEEN)
 
 
 @query("g9_browse_page", on_store(f"""

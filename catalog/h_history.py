@@ -45,7 +45,7 @@ def before(spark, sf):
     versions = st.versions.where((F.col("root_id") == ROOT) & (F.col("first_scan_id") < N)).withColumn(
         "last_scan_id", F.least("last_scan_id", F.lit(prev)))
     items = st.items.join(versions.select("item_id"), "item_id", "left_semi")
-    snap = feeds.activity_observations(feeds.table(spark, sf, "events")).where(
+    snap = feeds.activity_observations(spark, sf).where(
         (F.col("root_id") == ROOT) & (F.col("scan_id") == N))
     return items, versions, snap
 
@@ -190,7 +190,7 @@ def h10(spark, sf):
 def h11(spark, sf):
     st = store(spark, sf)
     events = feeds.table(spark, sf, "events")
-    bare = H.build_history(feeds.activity_observations(events), feeds.activity_scans(events))
+    bare = H.build_history(feeds.activity_observations(spark, sf), feeds.activity_scans(spark, sf))
     paths = st.items.join(st.roots, "root_id").select("item_id", "root_path", "parent_path")
     return tree.folder_changes(tree.change_flags(with_previous(bare, ["is_deleted"])), paths)
 
@@ -201,8 +201,8 @@ SELECT item_id, item_version, first_scan_id, last_scan_id, is_added, is_deleted,
 def h12(spark, sf):
     st = store(spark, sf)
     events = feeds.table(spark, sf, "events")
-    scans = feeds.activity_scans(events)
-    bare = H.build_history(feeds.activity_observations(events), scans)
+    scans = feeds.activity_scans(spark, sf)
+    bare = H.build_history(feeds.activity_observations(spark, sf), scans)
     whole = tree.with_folder_counters(bare, st.items, st.roots, scans)
     return whole.where(F.col("add_count").isNotNull()).select(
         "item_id", "item_version", "first_scan_id", "last_scan_id", "is_added", "is_deleted", "size",
@@ -223,7 +223,7 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY f) AS item_vers
   l * 100 + root_id AS last_scan_id, is_added, is_deleted, {META} FROM plain"""))
 def h14(spark, sf):
     events = feeds.table(spark, sf, "events")
-    out = H.build_history(feeds.activity_observations(events), feeds.activity_scans(events))
+    out = H.build_history(feeds.activity_observations(spark, sf), feeds.activity_scans(spark, sf))
     return out.drop("root_id")
 
 
@@ -253,12 +253,12 @@ SHIPPED = ["item_id", "item_version", "first_scan_id", "last_scan_id", "is_added
 
 @query("h14_history_of_parts", shipping_sql("l_partkey", 1))
 def h14_parts(spark, sf):
-    return feeds.shipping_history(feeds.table(spark, sf, "lineitem")).select(*SHIPPED)
+    return feeds.shipping_history(spark, sf).select(*SHIPPED)
 
 
 @query("h14_history_of_suppliers", shipping_sql("l_suppkey", 50))
 def h14_suppliers(spark, sf):
-    return feeds.shipping_history(feeds.table(spark, sf, "lineitem"), "l_suppkey", 50).select(*SHIPPED)
+    return feeds.shipping_history(spark, sf, "l_suppkey", 50).select(*SHIPPED)
 
 
 UNDONE = 3003  # the newest scan of root 3

@@ -116,7 +116,7 @@ def i5(spark, sf):
 SELECT o.item_path FROM files o JOIN files n ON n.item_path = o.item_path AND n.d = 13
 WHERE o.d = 12 AND (o.u % 6 = 0 OR n.size = o.size) AND n.mod_date = o.mod_date"""))
 def i6(spark, sf):
-    files = feeds.activity_files(feeds.table(spark, sf, "events")).withColumn(
+    files = feeds.activity_files(spark, sf).withColumn(
         "day", F.floor(F.col("scan_id") / 100))
     old, new = files.where("day = 12"), files.where("day = 13")
     expected = old.withColumn("size", F.when(F.floor(F.col("item_id") / 100) % 6 != 0, F.col("size")))

@@ -6,6 +6,8 @@ from catalog.base import on_store, query
 from tempora.operators import hashes as hash_ops
 from tempora.operators import repair, scanstats, tasks
 from tempora.operators.history import build_history
+from tempora.plans.sizing import scratch_path, write_and_read
+from tempora.schemas import HASHES
 from tempora.sources import feeds
 
 store = feeds.activity_store
@@ -326,14 +328,12 @@ GROUP BY 1"""
 
 @query("k10_recount_parts", parts_recount_sql())
 def k10_parts(spark, sf):
-    lineitem = feeds.table(spark, sf, "lineitem")
-    versions = feeds.shipping_history(lineitem).withColumns(
+    versions = write_and_read(feeds.shipping_history(spark, sf), scratch_path(spark, "parts")).withColumns(
         {"val_state": F.lit(None).cast("int"), "val_scan_id": F.lit(None).cast("long")})
     items = versions.select("item_id").distinct().withColumns(
         {"item_type": F.lit(0), "has_validator": F.lit(False)})
-    none = versions.where("false").withColumns({"hash_state": F.lit(1)}).select(
-        "item_id", "item_version", "root_id", "first_scan_id", "last_scan_id", "hash_state")
-    return scanstats.scan_levels(versions, items, none, feeds.shipping_scans(lineitem)).where(
+    none = spark.createDataFrame([], HASHES)
+    return scanstats.scan_levels(versions, items, none, feeds.shipping_scans(spark, sf)).where(
         F.col("file_count") > 0).select("scan_id", "file_count", "total_size")
 
 
@@ -373,7 +373,7 @@ SELECT t.root_id, t.item_path AS folder_path, t.d * 100 + t.root_id AS scan_id,
 def k13(spark, sf):
     st = store(spark, sf)
     events = feeds.table(spark, sf, "events")
-    bare = build_history(feeds.activity_observations(events), feeds.activity_scans(events))
+    bare = build_history(feeds.activity_observations(spark, sf), feeds.activity_scans(spark, sf))
     return repair.backfill_folder_counters(bare, st.items, st.roots)
 
 

@@ -16,10 +16,10 @@ def stream_history(spark, sf, batches=3):
     """Write the daily observations, announce their scans in a few files, and run the stream."""
     at = scratch_path(spark, "stream")
     events = feeds.table(spark, sf, "events")
-    feeds.activity_roots(events).drop("root").write.parquet(f"{at}/roots")
-    feeds.activity_observations(events).select(*OBSERVED).repartition("scan_id") \
+    feeds.activity_roots(spark, sf).drop("root").write.parquet(f"{at}/roots")
+    feeds.activity_observations(spark, sf).select(*OBSERVED).repartition("scan_id") \
         .write.partitionBy("scan_id").parquet(f"{at}/observations")
-    scans = feeds.activity_scans(events)
+    scans = feeds.activity_scans(spark, sf)
     last = scans.agg(F.max("scan_id")).first()[0]
     for i in range(batches):
         lo, hi = last * i // batches, last * (i + 1) // batches

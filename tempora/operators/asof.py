@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.operators.history import calendar, current_versions
-from tempora.plans.sizing import broadcast_if_small
+from tempora.operators.history import current_versions, sized_calendar
 from tempora.plans.windows import with_neighbours
 from tempora.schemas import DIRECTORY
 
@@ -46,7 +45,8 @@ def snapshots_at(
     Every version is in force from its first ordinal to the one before the next version's, so it is
     laid out over exactly the scans that show it; no version is paired with scans it cannot serve.
     """
-    cal = broadcast_if_small(calendar(scans).select("root_id", "scan_id", "ord"))
+    cal, bound = sized_calendar(scans)
+    cal, span = cal.select("root_id", "scan_id", "ord"), span or bound
     placed = versions.join(
         cal.withColumnRenamed("scan_id", "first_scan_id"), ["root_id", "first_scan_id"])
     placed = with_neighbours(placed, ["item_id"], "ord", ["ord"], span, prev=None)
@@ -55,9 +55,10 @@ def snapshots_at(
         .when(F.col("next").isNotNull(), F.col("next")["ord"] - 1).otherwise(F.col("_end"))
     )
     ends = cal.groupBy("root_id").agg(F.max("ord").alias("_end"))
-    laid = placed.join(F.broadcast(ends), "root_id").withColumn(
+    laid = placed.join(ends, "root_id").withColumn(
         "ord", F.explode(F.sequence(F.col("ord"), until))).drop("next", "_end")
-    return laid.join(broadcast_if_small(wanted.join(cal, ["root_id", "scan_id"])), ["root_id", "ord"]) \
+    # at most one wanted row per completed scan: as small as the calendar
+    return laid.join(wanted.join(cal, ["root_id", "scan_id"]), ["root_id", "ord"]) \
         .select("root_id", "scan_id", *[c for c in versions.columns if c != "root_id"])
 
 

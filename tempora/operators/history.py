@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import paths as P
-from tempora.plans.sizing import broadcast_if_small, number_rows
-from tempora.plans.windows import with_neighbours, with_running
+from tempora.plans.sizing import BROADCAST_ROWS, number_rows
+from tempora.plans.windows import choose_span, with_neighbours, with_running
 from tempora.schemas import ACCESS_OK, COMPLETED, DIRECTORY, META, META_ERROR, READ_ERROR
 
 KEY = ("root_id", "item_id")
@@ -29,6 +29,18 @@ def calendar(scans: DataFrame) -> DataFrame:
     )
 
 
+def sized_calendar(scans: DataFrame) -> tuple[DataFrame, int | None]:
+    """The calendar, broadcast if a count proves it small, and the segment width for its histories.
+
+    One look at the scans table settles both: a key has at most one row per completed scan of its
+    root, so the longest calendar bounds every ordered group.
+    """
+    sizes = scans.where(F.col("state") == COMPLETED).groupBy("root_id").agg(F.count(F.lit(1)).alias("n"))
+    total, longest = sizes.agg(F.sum("n"), F.max("n")).first()
+    cal = calendar(scans)
+    return (F.broadcast(cal) if (total or 0) <= BROADCAST_ROWS else cal), choose_span(longest or 0)
+
+
 def previous_completed_scan(scans: DataFrame) -> DataFrame:
     """For every scan, whatever its state, the latest completed scan of its root before it."""
     w = Window.partitionBy("root_id").orderBy("scan_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,10 +67,12 @@ def build_history(
 
     ``observations`` has at most one row per key and completed scan; ``key`` contains ``root_id``.
     A version starts at the first sighting, after a gap, or when an attribute changes; a gap or a
-    missing tail adds a deletion row at the next completed scan.  With ``span`` None everything after
-    the first exchange on the key runs without another shuffle.
+    missing tail adds a deletion row at the next completed scan.  Unless calendars are so long that
+    ordered groups must be segmented (or ``span`` demands it), everything after the first exchange on
+    the key runs without another shuffle.
     """
-    cal = broadcast_if_small(calendar(scans))
+    cal, bound = sized_calendar(scans)
+    span = span or bound
     obs = observations.join(cal, ["root_id", "scan_id"])
     seen = with_neighbours(obs, key, "ord", ["ord", *attrs], span, next=None)
     prev = F.col("prev")

@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.filters import date_bounds
 from tempora.operators.review import has_hash_issue, has_val_issue, with_suspects
+from tempora.plans.windows import with_running
 from tempora.schemas import COMPLETED, State
 
+AXIS_SPAN = 2 * 86_400
 TREND_COUNTERS = ("file_count", "folder_count", "total_size", "add_count", "modify_count", "delete_count",
                   "new_val_invalid_count", "val_invalid_count", "new_hash_suspect_count", "hash_suspect_count")
 
@@ -50,13 +52,13 @@ def resolve_scans(scans: DataFrame, asked: DataFrame) -> DataFrame:
     Requests and scans are merged on one time axis per root and the last scan is carried forward,
     so no request is paired with more than one scan.
     """
-    marks = completed(scans).select("root_id", F.col("started_at").alias("until"), "scan_id",
-                                    F.lit(0).alias("_ask"))
-    asks = asked.select("root_id", "until").distinct().withColumns(
-        {"scan_id": F.lit(None).cast("long"), "_ask": F.lit(1)})
-    w = Window.partitionBy("root_id").orderBy("until", "_ask").rowsBetween(Window.unboundedPreceding, 0)
-    merged = marks.unionByName(asks).withColumn("scan_id", F.last("scan_id", ignorenulls=True).over(w))
-    found = merged.where(F.col("_ask") == 1).drop("_ask")
+    marks = completed(scans).select("root_id", (F.col("started_at") * 2).alias("_at"), "scan_id")
+    asks = asked.select("root_id", (F.col("until") * 2 + 1).alias("_at")).distinct().withColumn(
+        "scan_id", F.lit(None).cast("long"))
+    merged = with_running(marks.unionByName(asks), ["root_id"], "_at", AXIS_SPAN,
+                          lasts={"_found": F.col("scan_id")})
+    found = merged.where(F.col("_at") % 2 == 1).select(
+        "root_id", F.floor(F.col("_at") / 2).alias("until"), F.col("_found").alias("scan_id"))
     return asked.join(found, ["root_id", "until"], "left")
 
 

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.operators.asof import with_previous
-from tempora.operators.history import calendar
+from tempora.operators.history import calendar, sized_calendar
 from tempora.operators.tree import change_flags, roll_up
-from tempora.plans.sizing import broadcast_if_small
 from tempora.plans.windows import with_neighbours, with_running
 from tempora.schemas import BASELINE, DIRECTORY, FILE, INVALID, SUSPECT, VALID
 
@@ -22,17 +21,18 @@ NEW_ISSUES = ("new_hash_suspect_count", "new_val_invalid_count")
 LEVELS = POPULATION + INTEGRITY
 
 
-def _deltas(df: DataFrame, scan: Column, after: Column, values: dict[str, Column]) -> DataFrame:
-    return df.select(
-        "root_id", "item_id", scan.alias("scan_id"), after.alias("after"),
-        *[values.get(c, F.lit(0)).cast("long").alias(c) for c in LEVELS],
-    )
+def _deltas(df: DataFrame, *entries: tuple[Column, Column, Column, dict[str, Column]]) -> DataFrame:
+    """Signed rows out of each row in one pass: (condition, scan, whether after it, level changes)."""
+    made = F.array(*[
+        F.struct(keep.alias("keep"), scan.alias("scan_id"), after.alias("after"),
+                 *[values.get(c, F.lit(0)).cast("long").alias(c) for c in LEVELS])
+        for keep, scan, after, values in entries])
+    rows = df.select("root_id", "item_id", F.explode(F.filter(made, lambda e: e.keep)).alias("_e"))
+    return rows.select("root_id", "item_id", "_e.scan_id", "_e.after", *[f"_e.{c}" for c in LEVELS])
 
 
-def _both_ends(df: DataFrame, start: Column, end: Column, end_after: Column,
-               values: dict[str, Column]) -> DataFrame:
-    gone = {k: -v for k, v in values.items()}
-    return _deltas(df, start, F.lit(False), values).unionByName(_deltas(df, end, end_after, gone))
+def _minus(values: dict[str, Column]) -> dict[str, Column]:
+    return {k: -v for k, v in values.items()}
 
 
 def _flag(cond: Column) -> Column:
@@ -60,20 +60,24 @@ def level_deltas(versions: DataFrame, items: DataFrame, hashes: DataFrame, span:
     ).join(items.select("item_id", "item_type", "has_validator"), "item_id")
     is_file = F.col("item_type") == FILE
     first, end, after = F.col("first_scan_id"), F.col("_end"), F.col("_after")
-    ends = _both_ends(alive, first, end, after, {
+    always, before = F.lit(True), F.lit(False)
+    counted = {
         "file_count": _flag(is_file),
         "folder_count": _flag(F.col("item_type") == DIRECTORY),
         "total_size": F.when(is_file, F.coalesce("size", F.lit(0))).otherwise(0),
         "val_unknown_count": _flag(is_file & F.col("has_validator")),
         "val_no_validator_count": _flag(is_file & ~F.col("has_validator")),
         "hash_unknown_count": _flag(is_file),
-    })
-    checked = alive.where(is_file & F.col("val_state").isNotNull())
-    checks = _both_ends(checked, F.col("_val_from"), end, after, {
+    }
+    checked = is_file & F.col("val_state").isNotNull()
+    judged = {
         "val_unknown_count": -_flag(F.col("has_validator")),
         "val_valid_count": _flag(F.col("val_state") == VALID),
         "val_invalid_count": _flag(F.col("val_state") == INVALID),
-    })
+    }
+    ends = _deltas(
+        alive, (always, first, before, counted), (always, end, after, _minus(counted)),
+        (checked, F.col("_val_from"), before, judged), (checked, end, after, _minus(judged)))
     seen = with_neighbours(hashes, ["item_id", "item_version"], "first_scan_id", ["first_scan_id"], span)
     seen = seen.select(
         "item_id", "item_version", F.col("first_scan_id").alias("_from"), "hash_state",
@@ -87,13 +91,12 @@ def level_deltas(versions: DataFrame, items: DataFrame, hashes: DataFrame, span:
         "hash_baseline_count": _flag(F.col("hash_state") == BASELINE),
         "hash_suspect_count": _flag(F.col("hash_state") == SUSPECT),
     }
-    gone = {k: -v for k, v in states.items()}
     is_last = F.col("_to").isNull()
-    before = F.lit(False)
-    starts = _deltas(seen, F.col("_from"), before, {**states, "hash_unknown_count": -_flag(F.col("_is_first"))})
-    replaced = _deltas(seen.where(~is_last), F.col("_to"), before, gone)
-    closed = _deltas(seen.where(is_last), end, after, {**gone, "hash_unknown_count": F.lit(1)})
-    return ends.unionByName(checks).unionByName(starts).unionByName(replaced).unionByName(closed)
+    observed = _deltas(
+        seen,
+        (always, F.col("_from"), before, {**states, "hash_unknown_count": -_flag(F.col("_is_first"))}),
+        (always, F.coalesce("_to", end), is_last & after, {**_minus(states), "hash_unknown_count": _flag(is_last)}))
+    return ends.unionByName(observed)
 
 
 def scan_levels(versions: DataFrame, items: DataFrame, hashes: DataFrame, scans: DataFrame,
@@ -125,7 +128,8 @@ def folder_levels(versions: DataFrame, items: DataFrame, hashes: DataFrame, root
     rows = level_deltas(versions, items.where(F.col("item_type") == FILE), hashes, span)
     placed = rows.join(items.select("item_id", "parent_path"), "item_id").join(roots, "root_id")
     folded = roll_up(placed, ["root_id", "scan_id", "after"], cols)
-    cal = broadcast_if_small(calendar(scans).select("root_id", "scan_id", "ord"))
+    cal, bound = sized_calendar(scans)
+    cal, span = cal.select("root_id", "scan_id", "ord"), span or bound
     steps = folded.join(cal, ["root_id", "scan_id"]).groupBy(
         "root_id", "folder_path", (F.col("ord") + F.col("after").cast("long")).alias("ord")
     ).agg(*[F.sum(c).alias(c) for c in cols])
@@ -134,8 +138,8 @@ def folder_levels(versions: DataFrame, items: DataFrame, hashes: DataFrame, root
     steps = with_neighbours(steps, key, "ord", ["ord"], span, prev=None)
     ends = cal.groupBy("root_id").agg(F.max("ord").alias("_end"))
     until = F.coalesce(F.col("next")["ord"] - 1, F.col("_end"))
-    laid = steps.where(F.col("file_count") > 0).join(F.broadcast(ends), "root_id").withColumn(
-        "ord", F.explode(F.sequence(F.col("ord"), until)))  # one row per root to the right
+    laid = steps.where(F.col("file_count") > 0).join(ends, "root_id").withColumn(
+        "ord", F.explode(F.sequence(F.col("ord"), until)))
     return laid.join(cal, ["root_id", "ord"]).select("root_id", "scan_id", "folder_path", *cols)
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions import paths as P
-from tempora.operators.history import calendar
-from tempora.plans.sizing import broadcast_if_small
+from tempora.operators.history import sized_calendar
 from tempora.plans.windows import with_neighbours, with_running
 from tempora.schemas import ACCESS_OK, DIRECTORY, FOLDER_COUNTERS
 
@@ -91,7 +90,8 @@ def apply_folder_changes(
     adds minus dels gives without a loop.  Where a history is continued, the folder row it
     continues from brings that total in ``alive_seed`` and its own counters in ``changes``.
     """
-    cal = broadcast_if_small(calendar(scans))
+    cal, bound = sized_calendar(scans)
+    span = span or bound
     starts = folders.withColumn("scan_id", F.col("first_scan_id"))
     rows = starts.join(
         changes.withColumnRenamed("folder_path", "item_path"),

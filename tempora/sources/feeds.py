@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from tempora.functions import formats, paths as P
 from tempora.operators.hashes import content_hash, drift_history
-from tempora.operators.history import build_history, calendar
+from tempora.operators.history import build_history, calendar, sized_calendar
 from tempora.operators.scanstats import scan_statistics, with_statistics
 from tempora.operators.tree import synthesize_directories, with_folder_counters
 from tempora.plans.sizing import broadcast_if_small, scratch_path, write_and_read
-from tempora.plans.windows import choose_span
 from tempora.schemas import COMPLETED, DIRECTORY, FILE, SUSPECT, State, conform
 from tempora.sources.events import day_number, epoch_seconds, month_number, snapshots_from_events
 from tempora.sources.tables import read_state, write_state
@@ -47,18 +46,36 @@ def _period_roots(rows: DataFrame, root: Column, period: Column) -> DataFrame:
 # ---- daily activity ---------------------------------------------------------------------------
 
 
-def activity_periods(events: DataFrame) -> DataFrame:
-    return _period_roots(events, F.col("event_type"), day_number(F.col("ts")))
+@functools.lru_cache(maxsize=64)
+def _periods_path(application: str, sf_dir: str, name: str) -> str:
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, f"{name}-periods")
+    if name == "events":
+        events = table(spark, sf_dir, name)
+        rows = _period_roots(events, F.col("event_type"), day_number(F.col("ts")))
+    else:
+        lineitem = table(spark, sf_dir, name)
+        rows = _period_roots(lineitem, F.col("l_returnflag"), month_number(F.col("l_shipdate")))
+    rows.write.parquet(path)
+    return path
+
+
+PERIODS = "root_id long, root string, root_path string, first long, last long"
 
 
-def activity_roots(events: DataFrame) -> DataFrame:
-    return activity_periods(events).select("root_id", "root", "root_path")
+def periods(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Roots and period range of a table, written once per session: everything else joins it."""
+    return spark.read.schema(PERIODS).parquet(_periods_path(spark.sparkContext.applicationId, sf_dir, name))
 
 
-def activity_scans(events: DataFrame) -> DataFrame:
+def activity_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods(spark, sf_dir, "events").select("root_id", "root", "root_path")
+
+
+def activity_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A completed scan per root and day, plus some stopped or failed ones in between."""
     length = F.col("last") - F.col("first") + 1
-    grid = activity_periods(events).select(
+    grid = periods(spark, sf_dir, "events").select(
         "root_id", F.col("first").alias("first_day"), F.explode(F.sequence(F.lit(1).cast("long"), length)).alias("day"))
     tries = grid.withColumn("retry", F.explode(
         F.when(F.col("day") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
@@ -79,9 +96,10 @@ def activity_scans(events: DataFrame) -> DataFrame:
     ), "scans")
 
 
-def activity_files(events: DataFrame) -> DataFrame:
+def activity_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File observations: a user's events of one type on one day, as a file in a small tree."""
-    roots = F.broadcast(activity_periods(events))  # one row per root
+    events = table(spark, sf_dir, "events")
+    roots = broadcast_if_small(periods(spark, sf_dir, "events"))
     second = epoch_seconds(F.col("ts"))
     daily = snapshots_from_events(
         events, F.col("event_type"), F.col("user_id"), day_number(F.col("ts")),
@@ -111,8 +129,8 @@ def _directory_id(path: Column, root_id: Column) -> Column:
     return F.lit(DIRECTORY_IDS) + (b * 10 + d) * SCAN_STRIDE + root_id
 
 
-def activity_observations(events: DataFrame) -> DataFrame:
-    files = activity_files(events)
+def activity_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = activity_files(spark, sf_dir)
     dirs = synthesize_directories(files).withColumn(
         "item_id", _directory_id(F.col("item_path"), F.col("root_id")))
     cols = ["root_id", "scan_id", "item_id", "item_path", "item_type", "access", "mod_date", "size"]
@@ -205,17 +223,12 @@ def order_tasks(orders: DataFrame) -> DataFrame:
     ), "tasks")
 
 
-def ordinals_per_root(scans: DataFrame) -> int:
-    return scans.groupBy("root_id").count().agg(F.max("count")).first()[0] or 0
-
-
 def activity_state(spark: SparkSession, sf_dir: str, scratch: str) -> State:
     """The whole store from the events and orders tables, with its three large steps written out."""
-    events = table(spark, sf_dir, "events")
-    scans = write_and_read(activity_scans(events), f"{scratch}/scans")
-    roots = activity_roots(events).drop("root")
-    span = choose_span(ordinals_per_root(scans))
-    observed = write_and_read(activity_observations(events), f"{scratch}/observations")
+    scans = write_and_read(activity_scans(spark, sf_dir), f"{scratch}/scans")
+    roots = activity_roots(spark, sf_dir).drop("root")
+    span = sized_calendar(scans)[1]
+    observed = write_and_read(activity_observations(spark, sf_dir), f"{scratch}/observations")
     items = items_of(observed)
     history = build_history(observed, scans, span=span)
     versions = write_and_read(
@@ -258,22 +271,18 @@ def activity_store(spark: SparkSession, sf_dir: str) -> State:
 # ---- monthly parts ----------------------------------------------------------------------------
 
 
-def shipping_periods(lineitem: DataFrame) -> DataFrame:
-    return _period_roots(lineitem, F.col("l_returnflag"), month_number(F.col("l_shipdate")))
-
-
-def shipping_scans(lineitem: DataFrame) -> DataFrame:
-    return shipping_periods(lineitem).select(
+def shipping_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods(spark, sf_dir, "lineitem").select(
         "root_id", F.explode(F.sequence("first", "last")).alias("m")).select(
         ((F.col("m") - FIRST_MONTH + 1) * SCAN_STRIDE + F.col("root_id")).alias("scan_id"),
         "root_id", F.lit(COMPLETED).alias("state"))
 
 
-def shipping_observations(lineitem: DataFrame, key: str = "l_partkey", coarse: int = 1) -> DataFrame:
+def shipping_observations(spark: SparkSession, sf_dir: str, key: str = "l_partkey", coarse: int = 1) -> DataFrame:
     """Monthly quantity per return flag and part (or supplier), optionally in coarse steps."""
-    roots = F.broadcast(shipping_periods(lineitem))  # one row per return flag
+    roots = broadcast_if_small(periods(spark, sf_dir, "lineitem"))
     monthly = snapshots_from_events(
-        lineitem, F.col("l_returnflag"), F.col(key), month_number(F.col("l_shipdate")),
+        table(spark, sf_dir, "lineitem"), F.col("l_returnflag"), F.col(key), month_number(F.col("l_shipdate")),
         quantity=F.sum(F.col("l_quantity").cast("long")))
     return monthly.join(roots, "root").select(
         "root_id", (F.col("key") * SCAN_STRIDE + F.col("root_id")).alias("item_id"),
@@ -282,8 +291,8 @@ def shipping_observations(lineitem: DataFrame, key: str = "l_partkey", coarse: i
         F.floor(F.col("quantity") / coarse).alias("size"))
 
 
-def shipping_history(lineitem: DataFrame, key: str = "l_partkey", coarse: int = 1) -> DataFrame:
-    return build_history(shipping_observations(lineitem, key, coarse), shipping_scans(lineitem))
+def shipping_history(spark: SparkSession, sf_dir: str, key: str = "l_partkey", coarse: int = 1) -> DataFrame:
+    return build_history(shipping_observations(spark, sf_dir, key, coarse), shipping_scans(spark, sf_dir))
 
 
 # ---- page trees -------------------------------------------------------------------------------
