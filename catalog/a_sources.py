@@ -18,7 +18,6 @@ WHERE item_type = 0 AND NOT is_deleted AND last_scan_id = (
   SELECT max(scan_id) FROM scans s WHERE s.root_id = versions.root_id AND state = 4)
 GROUP BY root_path"""))
 def flagship(spark, sf):
-    events = feeds.table(spark, sf, "events")
     scans = feeds.activity_scans(spark, sf)
     history = build_history(feeds.activity_files(spark, sf), scans)
     newest = scans.where("state = 4").groupBy("root_id").agg(F.max("scan_id").alias("last_scan_id"))

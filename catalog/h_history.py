@@ -189,8 +189,7 @@ def h10(spark, sf):
                                       "adds, mods, dels FROM tree"))
 def h11(spark, sf):
     st = store(spark, sf)
-    events = feeds.table(spark, sf, "events")
-    bare = H.build_history(feeds.activity_observations(spark, sf), feeds.activity_scans(spark, sf))
+    bare = feeds.bare_history(spark, sf)
     paths = st.items.join(st.roots, "root_id").select("item_id", "root_path", "parent_path")
     return tree.folder_changes(tree.change_flags(with_previous(bare, ["is_deleted"])), paths)
 
@@ -200,10 +199,7 @@ SELECT item_id, item_version, first_scan_id, last_scan_id, is_added, is_deleted,
   modify_count, delete_count, unchanged_count FROM history WHERE item_type = 1"""))
 def h12(spark, sf):
     st = store(spark, sf)
-    events = feeds.table(spark, sf, "events")
-    scans = feeds.activity_scans(spark, sf)
-    bare = H.build_history(feeds.activity_observations(spark, sf), scans)
-    whole = tree.with_folder_counters(bare, st.items, st.roots, scans)
+    whole = tree.with_folder_counters(feeds.bare_history(spark, sf), st.items, st.roots, st.scans)
     return whole.where(F.col("add_count").isNotNull()).select(
         "item_id", "item_version", "first_scan_id", "last_scan_id", "is_added", "is_deleted", "size",
         "add_count", "modify_count", "delete_count", "unchanged_count")
@@ -222,7 +218,6 @@ def h13(spark, sf):
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY f) AS item_version, f * 100 + root_id AS first_scan_id,
   l * 100 + root_id AS last_scan_id, is_added, is_deleted, {META} FROM plain"""))
 def h14(spark, sf):
-    events = feeds.table(spark, sf, "events")
     out = H.build_history(feeds.activity_observations(spark, sf), feeds.activity_scans(spark, sf))
     return out.drop("root_id")
 

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from catalog.base import on_store, query
 from tempora.operators import hashes as hash_ops
 from tempora.operators import repair, scanstats, tasks
-from tempora.operators.history import build_history
 from tempora.plans.sizing import scratch_path, write_and_read
 from tempora.schemas import HASHES
 from tempora.sources import feeds
@@ -372,9 +371,7 @@ SELECT t.root_id, t.item_path AS folder_path, t.d * 100 + t.root_id AS scan_id,
   coalesce(alive, 0) - adds - mods AS unchanged FROM tree t LEFT JOIN held h ON h.item_id = t.item_id AND h.d = t.d"""))
 def k13(spark, sf):
     st = store(spark, sf)
-    events = feeds.table(spark, sf, "events")
-    bare = build_history(feeds.activity_observations(spark, sf), feeds.activity_scans(spark, sf))
-    return repair.backfill_folder_counters(bare, st.items, st.roots)
+    return repair.backfill_folder_counters(feeds.bare_history(spark, sf), st.items, st.roots)
 
 
 @query("k14_folder_state_counts", on_store("""

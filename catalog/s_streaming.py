@@ -15,7 +15,6 @@ HISTORY = ["item_path", "item_version", "first_scan_id", "last_scan_id", "is_add
 def stream_history(spark, sf, batches=3):
     """Write the daily observations, announce their scans in a few files, and run the stream."""
     at = scratch_path(spark, "stream")
-    events = feeds.table(spark, sf, "events")
     feeds.activity_roots(spark, sf).drop("root").write.parquet(f"{at}/roots")
     feeds.activity_observations(spark, sf).select(*OBSERVED).repartition("scan_id") \
         .write.partitionBy("scan_id").parquet(f"{at}/observations")

@@ -18,7 +18,7 @@ from tempora.operators.tree import synthesize_directories, with_folder_counters
 from tempora.plans.sizing import broadcast_if_small, scratch_path, write_and_read
 from tempora.schemas import COMPLETED, DIRECTORY, FILE, SUSPECT, State, conform
 from tempora.sources.events import day_number, epoch_seconds, month_number, snapshots_from_events
-from tempora.sources.tables import read_state, write_state
+from tempora.sources.tables import publish, read_state, write_table
 
 DAY = 86_400
 SCAN_STRIDE = 100  # scan_id = ordinal * stride + root_id, item_id = user * stride + root_id
@@ -223,22 +223,24 @@ def order_tasks(orders: DataFrame) -> DataFrame:
     ), "tasks")
 
 
-def activity_state(spark: SparkSession, sf_dir: str, scratch: str) -> State:
-    """The whole store from the events and orders tables, with its three large steps written out."""
-    scans = write_and_read(activity_scans(spark, sf_dir), f"{scratch}/scans")
-    roots = activity_roots(spark, sf_dir).drop("root")
+def build_activity_store(spark: SparkSession, sf_dir: str, base: str) -> None:
+    """The whole store from the events and orders tables; each table is written once and read on."""
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return write_table(df, name, base, 1)
+
+    keep(order_tasks(table(spark, sf_dir, "orders")), "tasks")
+    roots = keep(activity_roots(spark, sf_dir), "roots")
+    keep(activity_schedules(roots), "schedules")
+    scans = write_and_read(activity_scans(spark, sf_dir), f"{base}/steps/scans")
     span = sized_calendar(scans)[1]
-    observed = write_and_read(activity_observations(spark, sf_dir), f"{scratch}/observations")
-    items = items_of(observed)
-    history = build_history(observed, scans, span=span)
-    versions = write_and_read(
-        with_folder_counters(history, items, roots, scans, span), f"{scratch}/history")
-    hashes = write_and_read(
-        drift_history(activity_hash_observations(versions, items, scans), span), f"{scratch}/hashes")
-    versions = with_integrity(versions, hashes, activity_validation(versions, items, scans))
-    stats = scan_statistics(versions, items, hashes, scans, span)
-    return State(roots, with_statistics(scans, stats), items, versions, hashes,
-                 activity_schedules(roots), order_tasks(table(spark, sf_dir, "orders")))
+    observed = write_and_read(activity_observations(spark, sf_dir), f"{base}/steps/observations")
+    items = keep(items_of(observed), "items")
+    bare = write_and_read(build_history(observed, scans, span=span), f"{base}/steps/bare")
+    history = write_and_read(with_folder_counters(bare, items, roots, scans, span), f"{base}/steps/history")
+    hashes = keep(drift_history(activity_hash_observations(history, items, scans), span), "hashes")
+    versions = keep(with_integrity(history, hashes, activity_validation(history, items, scans)), "versions")
+    keep(with_statistics(scans, scan_statistics(versions, items, hashes, scans, span)), "scans")
+    publish(spark, base, 1)
 
 
 def with_integrity(versions: DataFrame, hashes: DataFrame, checks: DataFrame) -> DataFrame:
@@ -259,7 +261,7 @@ def with_integrity(versions: DataFrame, hashes: DataFrame, checks: DataFrame) ->
 def _stored(application: str, sf_dir: str) -> str:
     spark = SparkSession.getActiveSession()
     base = scratch_path(spark, "activity")
-    write_state(activity_state(spark, sf_dir, f"{base}/steps"), base, 1)
+    build_activity_store(spark, sf_dir, base)
     return base
 
 
@@ -268,6 +270,11 @@ def activity_store(spark: SparkSession, sf_dir: str) -> State:
     return read_state(spark, _stored(spark.sparkContext.applicationId, sf_dir))
 
 
+def bare_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history before folder counters, as the store's build wrote it."""
+    return spark.read.parquet(f"{_stored(spark.sparkContext.applicationId, sf_dir)}/steps/bare")
+
+
 # ---- monthly parts ----------------------------------------------------------------------------
 
 

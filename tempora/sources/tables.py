@@ -31,18 +31,29 @@ def published_versions(spark: SparkSession, base: str) -> list[int]:
     return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder))
 
 
-def write_state(state: State, base: str, version: int) -> None:
-    """Write every table of a new version, then publish it with one atomic file creation."""
-    spark = state.versions.sparkSession
-    for name, df in state.tables().items():
-        writer = conform(df, name).write.mode("overwrite")
-        if name in PARTITIONED:
-            writer = writer.partitionBy("root_id")
-        writer.parquet(f"{base}/v={version}/{name}")
+def write_table(df: DataFrame, name: str, base: str, version: int) -> DataFrame:
+    """Write one table of an unpublished version and return it as read back."""
+    spark, path = df.sparkSession, f"{base}/v={version}/{name}"
+    writer = conform(df, name).write.mode("overwrite")
+    if name in PARTITIONED:
+        writer = writer.partitionBy("root_id")
+    writer.parquet(path)
+    return read_table(spark, path, name)
+
+
+def publish(spark: SparkSession, base: str, version: int) -> None:
+    """Make a completely written version visible with one atomic file creation."""
     marker, fs = _paths(spark, f"{base}/published/{version}")
     fs.create(marker, True).close()
 
 
+def write_state(state: State, base: str, version: int) -> None:
+    """Write every table of a new version, then publish it."""
+    for name, df in state.tables().items():
+        write_table(df, name, base, version)
+    publish(state.versions.sparkSession, base, version)
+
+
 def read_state(spark: SparkSession, base: str, version: int | None = None) -> State:
     """The given or newest published version."""
     known = published_versions(spark, base)

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tempora.operators.history import extend_history, new_items
 from tempora.operators.tree import apply_folder_changes, folder_changes, own_flags
 from tempora.schemas import DIRECTORY, FOLDER_COUNTERS, ITEMS, ROOTS, SCANS, VERSIONS
-from tempora.sources.tables import _paths, published_versions
+from tempora.sources.tables import publish, published_versions
 
 CORE = ["root_id", "item_id", "item_version", "first_scan_id", "last_scan_id", "is_added", "is_deleted",
         "access", "mod_date", "size", *FOLDER_COUNTERS]
@@ -63,10 +63,6 @@ class HistoryStore:
     def versions(self) -> DataFrame:
         return self.closed().unionByName(self.open())
 
-    def publish(self, version: int) -> None:
-        marker, fs = _paths(self.spark, f"{self.base}/published/{version}")
-        fs.create(marker, True).close()
-
 
 def continue_folders(rows: DataFrame, current: DataFrame, paths: DataFrame, scans: DataFrame,
                      new_scans: DataFrame, span: int | None = None) -> DataFrame:
@@ -129,7 +125,7 @@ def apply_scans(store: HistoryStore, version: int, announced: DataFrame, observa
         .write.mode("overwrite").parquet(f"{at}/closed/v={version}")
     done.where("_open").select(*CORE).unionByName(untouched.select(*CORE)) \
         .write.mode("overwrite").parquet(f"{at}/open/v={version}")
-    store.publish(version)
+    publish(spark, at, version)
 
 
 def maintain_history(
