@@ -259,3 +259,27 @@ def sweep(items: DataFrame, versions: DataFrame, root_id: int, scan_id: int) ->
     rows = stale.join(items.select("item_id", "item_type"), "item_id")
     return deletion_versions(
         rows.withColumns({f"cur_{c}": F.col(c) for c in META}), scan_id)
+
+
+def merge_snapshot(items: DataFrame, versions: DataFrame, snapshot: DataFrame, root_id: int,
+                   scan_id: int) -> tuple[DataFrame, DataFrame]:
+    """Apply one full snapshot of a root; returns the new items and versions.
+
+    Folder counters are the initial ones here; ``tree.with_folder_counters`` completes them.
+    """
+    natural = ["root_id", "item_path", "item_type"]
+    rows = classify(match_snapshot(
+        snapshot, items.where(F.col("root_id") == root_id), versions.where(F.col("root_id") == root_id)), scan_id)
+    top = items.agg(F.max("item_id")).first()[0] or 0
+    born = new_items(rows.where(F.col("change") == "new").select(*natural), top)
+    all_items = items.unionByName(born.select(*items.columns))
+    first = rows.where(F.col("change") == "new").drop("item_id").join(born.select("item_id", *natural), natural)
+    made = (
+        initial_versions(first, scan_id)
+        .unionByName(initial_versions(rows.where(F.col("change") == "rehydrated"), scan_id))
+        .unionByName(modified_versions(rows.where(F.col("change") == "modified"), scan_id))
+        .unionByName(deletion_versions(rows.where(F.col("change") == "swept"), scan_id))
+    )
+    kept = touch_unchanged(versions, rows.where(F.col("change") == "unchanged"), scan_id)
+    return all_items, kept.unionByName(made.select(*[c for c in made.columns]), allowMissingColumns=True) \
+        .select(*versions.columns)

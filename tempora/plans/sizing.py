@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-RANGE_SAMPLE = 2_000
-RANGE_BUCKETS = 512
+RANGE_SAMPLE = 16_384
+RANGE_FANOUT = 32  # ranges are found in two steps of at most this many comparisons
 SINGLE_BUCKET_ROWS = 100_000
 
 
@@ -49,6 +49,10 @@ def write_and_read(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _struct_ddl(df: DataFrame) -> str:
+    return "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema) + ">"
+
+
 def number_rows(df: DataFrame, order: Sequence[str], out: str, start: Column | int = 0) -> DataFrame:
     """Dense numbers ``start+1 ..`` in ``order`` without one global window.
 
@@ -65,12 +69,15 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str, start: Column | i
         stride = max(1, total // RANGE_SAMPLE)
         sample = keys.where(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0)
         # about RANGE_SAMPLE rows whatever the size of the input
-        picked = [r[0] for r in sample.select(key.alias("k")).orderBy("k").collect()]
-        step = max(1, len(picked) // RANGE_BUCKETS)
-        edges = F.array(*[
-            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(p, keys.schema.fields)])
-            for p in picked[::step]])
-        bucket = F.size(F.filter(edges, lambda e: e <= key))
+        picked = [r[0] for r in sample.select(key.alias("k")).orderBy("k").select(F.to_json("k")).collect()]
+        edges = picked[:: max(1, len(picked) // (RANGE_FANOUT * RANGE_FANOUT))]
+        groups = [edges[i:i + RANGE_FANOUT] for i in range(0, len(edges), RANGE_FANOUT)]
+        ddl = f"array<array<{_struct_ddl(keys)}>>"
+        nested = F.from_json(F.lit("[" + ",".join(f"[{','.join(g)}]" for g in groups) + "]"), ddl)
+        heads = F.transform(nested, lambda g: F.element_at(g, 1))
+        group = F.size(F.filter(heads, lambda e: e <= key))
+        inside = F.size(F.filter(F.element_at(nested, F.greatest(group, F.lit(1))), lambda e: e <= key))
+        bucket = F.when(group == 0, 0).otherwise((group - 1) * RANGE_FANOUT + inside)
     df = df.withColumn("_bucket", bucket)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 from tempora.operators.history import extend_history, new_items
 from tempora.operators.tree import apply_folder_changes, folder_changes, own_flags
-from tempora.schemas import DIRECTORY, FOLDER_COUNTERS, ITEMS, ROOTS, SCANS, VERSIONS
+from tempora.plans.sizing import broadcast_if_small
+from tempora.schemas import DIRECTORY, FOLDER_COUNTERS, ITEMS, META, ROOTS, SCANS, VERSIONS
 from tempora.sources.tables import publish, published_versions
 
 CORE = ["root_id", "item_id", "item_version", "first_scan_id", "last_scan_id", "is_added", "is_deleted",
@@ -99,7 +100,8 @@ def apply_scans(store: HistoryStore, version: int, announced: DataFrame, observa
     announced.select(*SCANS.fieldNames()).write.mode("overwrite").parquet(f"{at}/scans/v={version}")
     new_scans = spark.read.schema(SCANS).parquet(f"{at}/scans/v={version}")
     scans = store.scans(version).unionByName(new_scans)
-    seen = observations.join(F.broadcast(new_scans.select("scan_id")), "scan_id", "left_semi")  # few rows per batch
+    new_ids = broadcast_if_small(new_scans.select("scan_id"))
+    seen = observations.select(*NATURAL, "scan_id", *META).join(new_ids, "scan_id", "left_semi")
 
     known = store.items(version)
     unknown = seen.select(*NATURAL).distinct().join(known, NATURAL, "left_anti")
