@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +23,15 @@ NEW_ISSUES = ("new_hash_suspect_count", "new_val_invalid_count")
 LEVELS = POPULATION + INTEGRITY
 
 
-def _deltas(df: DataFrame, *entries: tuple[Column, Column, Column, dict[str, Column]]) -> DataFrame:
+def _deltas(df: DataFrame, by: Sequence[str],
+            *entries: tuple[Column, Column, Column, dict[str, Column]]) -> DataFrame:
     """Signed rows out of each row in one pass: (condition, scan, whether after it, level changes)."""
     made = F.array(*[
         F.struct(keep.alias("keep"), scan.alias("scan_id"), after.alias("after"),
                  *[values.get(c, F.lit(0)).cast("long").alias(c) for c in LEVELS])
         for keep, scan, after, values in entries])
-    rows = df.select("root_id", "item_id", F.explode(F.filter(made, lambda e: e.keep)).alias("_e"))
-    return rows.select("root_id", "item_id", "_e.scan_id", "_e.after", *[f"_e.{c}" for c in LEVELS])
+    rows = df.select(*by, F.explode(F.filter(made, lambda e: e.keep)).alias("_e"))
+    return rows.select(*by, "_e.scan_id", "_e.after", *[f"_e.{c}" for c in LEVELS])
 
 
 def _minus(values: dict[str, Column]) -> dict[str, Column]:
@@ -39,14 +42,16 @@ def _flag(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False)).cast("long")
 
 
-def level_deltas(versions: DataFrame, items: DataFrame, hashes: DataFrame, span: int | None = None,
-                 recount: bool = False) -> DataFrame:
-    """Signed rows (root_id, item_id, scan_id, after, levels...): one adds, one takes away.
+def level_deltas(versions: DataFrame, items: DataFrame, hashes: DataFrame, by: Sequence[str],
+                 span: int | None = None, recount: bool = False) -> DataFrame:
+    """Signed rows (``by`` columns, scan_id, after, levels...): one adds, one takes away.
 
-    A version counts from its first to its last scan.  ``recount`` serves histories whose versions
-    may overlap: a version then ends where the next one begins, and its validation counts from its
-    first scan on.
+    A version counts from its first to its last scan.  Versions with the same interval are summed
+    before they become signed rows, so what fans out is the number of distinct intervals.
+    ``recount`` serves histories whose versions may overlap: a version then ends where the next one
+    begins, and its validation counts from its first scan on.
     """
+    extra = [c for c in by if c != "root_id"]
     if recount:
         versions = with_neighbours(versions, ["item_id"], "first_scan_id", ["first_scan_id"], span, prev=None)
         cut = F.col("next")["first_scan_id"]
@@ -57,27 +62,34 @@ def level_deltas(versions: DataFrame, items: DataFrame, hashes: DataFrame, span:
         "item_id", "item_version", "root_id", "first_scan_id", "_cut", "size", "val_state",
         F.coalesce("_cut", "last_scan_id").alias("_end"), F.col("_cut").isNull().alias("_after"),
         F.col("first_scan_id" if recount else "val_scan_id").alias("_val_from"),
-    ).join(items.select("item_id", "item_type", "has_validator"), "item_id")
+    ).join(items.select("item_id", "item_type", "has_validator", *extra), "item_id")
     is_file = F.col("item_type") == FILE
+    checked = is_file & F.col("val_state").isNotNull()
     first, end, after = F.col("first_scan_id"), F.col("_end"), F.col("_after")
     always, before = F.lit(True), F.lit(False)
+    alive = alive.withColumn("_val_from", F.when(checked, F.col("_val_from")))
+    intervals = alive.groupBy(*by, "first_scan_id", "_end", "_after", "_val_from").agg(
+        F.sum(_flag(is_file)).alias("files"),
+        F.sum(_flag(F.col("item_type") == DIRECTORY)).alias("folders"),
+        F.sum(F.when(is_file, F.coalesce("size", F.lit(0))).otherwise(0)).alias("bytes"),
+        F.sum(_flag(is_file & F.col("has_validator"))).alias("checkable"),
+        F.sum(_flag(checked & F.col("has_validator"))).alias("checked"),
+        F.sum(_flag(checked & (F.col("val_state") == VALID))).alias("valid"),
+        F.sum(_flag(checked & (F.col("val_state") == INVALID))).alias("invalid"),
+    )
     counted = {
-        "file_count": _flag(is_file),
-        "folder_count": _flag(F.col("item_type") == DIRECTORY),
-        "total_size": F.when(is_file, F.coalesce("size", F.lit(0))).otherwise(0),
-        "val_unknown_count": _flag(is_file & F.col("has_validator")),
-        "val_no_validator_count": _flag(is_file & ~F.col("has_validator")),
-        "hash_unknown_count": _flag(is_file),
+        "file_count": F.col("files"), "folder_count": F.col("folders"), "total_size": F.col("bytes"),
+        "val_unknown_count": F.col("checkable"), "val_no_validator_count": F.col("files") - F.col("checkable"),
+        "hash_unknown_count": F.col("files"),
     }
-    checked = is_file & F.col("val_state").isNotNull()
     judged = {
-        "val_unknown_count": -_flag(F.col("has_validator")),
-        "val_valid_count": _flag(F.col("val_state") == VALID),
-        "val_invalid_count": _flag(F.col("val_state") == INVALID),
+        "val_unknown_count": -F.col("checked"), "val_valid_count": F.col("valid"),
+        "val_invalid_count": F.col("invalid"),
     }
+    has_val = F.col("_val_from").isNotNull()
     ends = _deltas(
-        alive, (always, first, before, counted), (always, end, after, _minus(counted)),
-        (checked, F.col("_val_from"), before, judged), (checked, end, after, _minus(judged)))
+        intervals, by, (always, first, before, counted), (always, end, after, _minus(counted)),
+        (has_val, F.col("_val_from"), before, judged), (has_val, end, after, _minus(judged)))
     seen = with_neighbours(hashes, ["item_id", "item_version"], "first_scan_id", ["first_scan_id"], span)
     seen = seen.select(
         "item_id", "item_version", F.col("first_scan_id").alias("_from"), "hash_state",
@@ -87,15 +99,18 @@ def level_deltas(versions: DataFrame, items: DataFrame, hashes: DataFrame, span:
         shown = F.col("_cut").isNull() | (F.col("_from") < F.col("_cut"))
         seen = seen.where(shown).withColumn("_to", F.when(
             F.col("_cut").isNull() | (F.col("_to") < F.col("_cut")), F.col("_to")))
-    states = {
-        "hash_baseline_count": _flag(F.col("hash_state") == BASELINE),
-        "hash_suspect_count": _flag(F.col("hash_state") == SUSPECT),
-    }
     is_last = F.col("_to").isNull()
+    runs = seen.withColumns({"_until": F.coalesce("_to", end), "_past": is_last & after, "_is_last": is_last})
+    runs = runs.groupBy(*by, "_from", "_until", "_past", "_is_first", "_is_last").agg(
+        F.sum(_flag(F.col("hash_state") == BASELINE)).alias("baseline"),
+        F.sum(_flag(F.col("hash_state") == SUSPECT)).alias("suspect"), F.count(F.lit(1)).alias("n"))
+    states = {"hash_baseline_count": F.col("baseline"), "hash_suspect_count": F.col("suspect")}
     observed = _deltas(
-        seen,
-        (always, F.col("_from"), before, {**states, "hash_unknown_count": -_flag(F.col("_is_first"))}),
-        (always, F.coalesce("_to", end), is_last & after, {**_minus(states), "hash_unknown_count": _flag(is_last)}))
+        runs, by,
+        (always, F.col("_from"), before,
+         {**states, "hash_unknown_count": F.when(F.col("_is_first"), -F.col("n")).otherwise(0)}),
+        (always, F.col("_until"), F.col("_past"),
+         {**_minus(states), "hash_unknown_count": F.when(F.col("_is_last"), F.col("n")).otherwise(0)}))
     return ends.unionByName(observed)
 
 
@@ -106,7 +121,7 @@ def scan_levels(versions: DataFrame, items: DataFrame, hashes: DataFrame, scans:
     The signed rows are summed per scan (map-side first) and only that scan-sized table is
     accumulated in order.
     """
-    rows = level_deltas(versions, items, hashes, span, recount)
+    rows = level_deltas(versions, items, hashes, ["root_id"], span, recount)
     per_scan = rows.groupBy("root_id", "scan_id", "after").agg(*[F.sum(c).alias(c) for c in LEVELS])
     cal = calendar(scans).select("root_id", "scan_id", "ord")
     placed = per_scan.join(cal, ["root_id", "scan_id"]).select(
@@ -125,9 +140,9 @@ def folder_levels(versions: DataFrame, items: DataFrame, hashes: DataFrame, root
     over the scans until the next step: the result has one row per folder and scan by nature.
     """
     cols = ["file_count", *INTEGRITY]
-    rows = level_deltas(versions, items.where(F.col("item_type") == FILE), hashes, span)
-    placed = rows.join(items.select("item_id", "parent_path"), "item_id").join(roots, "root_id")
-    folded = roll_up(placed, ["root_id", "scan_id", "after"], cols)
+    files = items.where(F.col("item_type") == FILE)
+    rows = level_deltas(versions, files, hashes, ["root_id", "parent_path"], span)
+    folded = roll_up(rows.join(roots, "root_id"), ["root_id", "scan_id", "after"], cols)
     cal, bound = sized_calendar(scans)
     cal, span = cal.select("root_id", "scan_id", "ord"), span or bound
     steps = folded.join(cal, ["root_id", "scan_id"]).groupBy(

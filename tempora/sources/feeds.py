@@ -5,7 +5,7 @@ Every feed is a set of deterministic expressions over one given table, so its si
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,18 +46,27 @@ def _period_roots(rows: DataFrame, root: Column, period: Column) -> DataFrame:
 # ---- daily activity ---------------------------------------------------------------------------
 
 
-@functools.lru_cache(maxsize=64)
-def _periods_path(application: str, sf_dir: str, name: str) -> str:
-    spark = SparkSession.getActiveSession()
-    path = scratch_path(spark, f"{name}-periods")
+# paths of tables this process has derived, by application: a new session derives its own
+_DERIVED: dict[tuple[str, str, str], str] = {}
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
+    """Path of a derived table, built on first use in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _DERIVED:
+        path = scratch_path(spark, name)
+        build(path)
+        _DERIVED[key] = path
+    return _DERIVED[key]
+
+
+def _write_periods(spark: SparkSession, sf_dir: str, name: str, path: str) -> None:
+    rows = table(spark, sf_dir, name)
     if name == "events":
-        events = table(spark, sf_dir, name)
-        rows = _period_roots(events, F.col("event_type"), day_number(F.col("ts")))
+        root, period = F.col("event_type"), day_number(F.col("ts"))
     else:
-        lineitem = table(spark, sf_dir, name)
-        rows = _period_roots(lineitem, F.col("l_returnflag"), month_number(F.col("l_shipdate")))
-    rows.write.parquet(path)
-    return path
+        root, period = F.col("l_returnflag"), month_number(F.col("l_shipdate"))
+    _period_roots(rows, root, period).write.parquet(path)
 
 
 PERIODS = "root_id long, root string, root_path string, first long, last long"
@@ -65,7 +74,8 @@ PERIODS = "root_id long, root string, root_path string, first long, last long"
 
 def periods(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Roots and period range of a table, written once per session: everything else joins it."""
-    return spark.read.schema(PERIODS).parquet(_periods_path(spark.sparkContext.applicationId, sf_dir, name))
+    path = _derived(spark, sf_dir, f"{name}-periods", lambda at: _write_periods(spark, sf_dir, name, at))
+    return spark.read.schema(PERIODS).parquet(path)
 
 
 def activity_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,22 +267,18 @@ def with_integrity(versions: DataFrame, hashes: DataFrame, checks: DataFrame) ->
         }), "versions")
 
 
-@functools.lru_cache(maxsize=8)
-def _stored(application: str, sf_dir: str) -> str:
-    spark = SparkSession.getActiveSession()
-    base = scratch_path(spark, "activity")
-    build_activity_store(spark, sf_dir, base)
-    return base
+def _store_path(spark: SparkSession, sf_dir: str) -> str:
+    return _derived(spark, sf_dir, "activity", lambda at: build_activity_store(spark, sf_dir, at))
 
 
 def activity_store(spark: SparkSession, sf_dir: str) -> State:
     """The written store of this session; built from the given tables on first use."""
-    return read_state(spark, _stored(spark.sparkContext.applicationId, sf_dir))
+    return read_state(spark, _store_path(spark, sf_dir))
 
 
 def bare_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history before folder counters, as the store's build wrote it."""
-    return spark.read.parquet(f"{_stored(spark.sparkContext.applicationId, sf_dir)}/steps/bare")
+    return spark.read.parquet(f"{_store_path(spark, sf_dir)}/steps/bare")
 
 
 # ---- monthly parts ----------------------------------------------------------------------------
