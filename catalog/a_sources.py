@@ -21,8 +21,8 @@ def flagship(spark, sf):
     scans = feeds.activity_scans(spark, sf)
     history = build_history(feeds.activity_files(spark, sf), scans)
     newest = scans.where("state = 4").groupBy("root_id").agg(F.max("scan_id").alias("last_scan_id"))
-    alive = history.where(~F.col("is_deleted")).join(F.broadcast(newest), ["root_id", "last_scan_id"])
-    return alive.join(F.broadcast(feeds.activity_roots(spark, sf)), "root_id").groupBy("root_path").agg(
+    alive = history.where(~F.col("is_deleted")).join(newest, ["root_id", "last_scan_id"])
+    return alive.join(feeds.activity_roots(spark, sf), "root_id").groupBy("root_path").agg(
         F.count(F.lit(1)).alias("alive_items"), F.sum("size").alias("total_size"))
 
 

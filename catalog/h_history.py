@@ -154,6 +154,18 @@ def h8(spark, sf):
     return made(rows, H.initial_versions(rows, N))
 
 
+@query("h8_merge_one_snapshot", STORE + f"""
+SELECT item_path, item_version, first_scan_id, least(last_scan_id, {N}) AS last_scan_id, is_added, is_deleted, access,
+  mod_date, size FROM history WHERE root_id = {ROOT} AND item_type = 0 AND first_scan_id <= {N}""")
+def h8_merge(spark, sf):
+    items, versions, snap = before(spark, sf)
+    all_items, merged = H.merge_snapshot(items, versions, snap, ROOT, N)
+    files = all_items.where(F.col("item_type") == 0).select("item_id", "item_path")
+    return merged.join(files, "item_id").select(
+        "item_path", "item_version", "first_scan_id", "last_scan_id", "is_added", "is_deleted", "access",
+        "mod_date", "size")
+
+
 @query("h9_directory_sizes", f"""
 WITH files AS (SELECT root_path, list_filter(string_split(item_path, '/'), x -> x <> '') AS parts, size FROM {PAGE}),
 chain AS (SELECT root_path, unnest(list_transform(range(2, len(parts)),

@@ -27,7 +27,7 @@ def j1_all(spark, sf):
     events = feeds.table(spark, sf, "events")
     day = feeds.day_number(F.col("ts"))
     asked = events.select(F.col("event_type").alias("root"), (day * 86400 + 43200).alias("until")).distinct().join(
-        F.broadcast(feeds.activity_roots(spark, sf)), "root").select("root_id", "until")
+        feeds.activity_roots(spark, sf), "root").select("root_id", "until")
     return scans.resolve_scans(store(spark, sf).scans, asked)
 
 

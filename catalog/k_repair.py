@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from catalog.base import on_store, query
 from tempora.operators import hashes as hash_ops
 from tempora.operators import repair, scanstats, tasks
+from tempora.operators.asof import current_versions, with_previous
+from tempora.operators.history import sized_calendar
 from tempora.plans.sizing import scratch_path, write_and_read
+from tempora.plans.windows import with_neighbours
 from tempora.schemas import HASHES
 from tempora.sources import feeds
 
@@ -60,7 +63,6 @@ SELECT c.item_id, coalesce((SELECT max(scan_id) FROM changes g WHERE g.item_id =
 
 def change_log(st):
     """Change records as an older store would have logged them; some items have none."""
-    from tempora.operators.asof import with_previous
     files = st.items.where("item_type = 0").select("item_id")
     v = with_previous(st.versions.join(files, "item_id"), ["access", "size"])
     p, alive = F.col("prev"), ~F.col("is_deleted")
@@ -88,7 +90,6 @@ def change_log(st):
 
 @query("k1_versions_from_changes", on_store(CHANGES))
 def k1(spark, sf):
-    from tempora.operators.asof import current_versions
     st = store(spark, sf)
     files = st.items.where("item_type = 0").select("item_id")
     now = current_versions(st.versions.join(files, "item_id")).select(
@@ -116,8 +117,7 @@ QUIET_COUNTS = ("CASE WHEN d > f THEN 0 ELSE add_count END AS add_count, CASE WH
 def chopped(spark, sf, item_type, quiet=False):
     """Every version cut into one row per scan, as a store that never merged would hold it."""
     st = store(spark, sf)
-    from tempora.operators.history import calendar
-    cal = F.broadcast(calendar(st.scans).select("root_id", "scan_id", "ord"))  # one row per scan
+    cal = sized_calendar(st.scans)[0].select("root_id", "scan_id", "ord")
     rows = st.versions.join(st.items.where(F.col("item_type") == item_type).select("item_id"), "item_id")
     lo = cal.select("root_id", F.col("scan_id").alias("first_scan_id"), F.col("ord").alias("lo"))
     hi = cal.select("root_id", F.col("scan_id").alias("last_scan_id"), F.col("ord").alias("hi"))
@@ -200,7 +200,6 @@ FROM runs GROUP BY item_id, g"""
 def k5(spark, sf):
     rows = chopped(spark, sf, 0)
     d = F.floor(F.col("first_scan_id") / 100)
-    from tempora.plans.windows import with_neighbours
     rows = with_neighbours(rows, ["item_id"], "first_scan_id", ["first_scan_id", "is_deleted"], next=None)
     follows = (F.floor(F.col("prev")["first_scan_id"] / 100) == d - 1) & ~F.col("prev")["is_deleted"]
     hashed = (d % 2 == 1) & ~F.col("is_deleted")

@@ -120,7 +120,7 @@ def preset_window(preset: str, today: Column) -> tuple[Column, Column]:
 def without_first_scan(series: DataFrame, scans: DataFrame) -> DataFrame:
     """Drop each root's first completed scan, whose adds dwarf everything else."""
     first = completed(scans).groupBy("root_id").agg(F.min("scan_id").alias("scan_id"))
-    return series.join(F.broadcast(first), ["root_id", "scan_id"], "left_anti")  # one row per root
+    return series.join(first, ["root_id", "scan_id"], "left_anti")
 
 
 def with_visible_values(series: DataFrame, shown: Sequence[str]) -> DataFrame:
