@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import formats, paths as P
@@ -110,19 +110,19 @@ def activity_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File observations: a user's events of one type on one day, as a file in a small tree."""
     events = table(spark, sf_dir, "events")
     roots = broadcast_if_small(periods(spark, sf_dir, "events"))
-    second = epoch_seconds(F.col("ts"))
     daily = snapshots_from_events(
         events, F.col("event_type"), F.col("user_id"), day_number(F.col("ts")),
-        size=F.count(F.lit(1)), seen=F.min(second))
-    birth = events.groupBy(F.col("event_type").alias("root"), F.col("user_id").alias("key")).agg(
-        F.min(second).alias("mod_date"))
+        size=F.count(F.lit(1)), seen=F.min(epoch_seconds(F.col("ts"))))
+    # at most one row per day and key is left here, so the window never holds raw events
+    born = F.min("seen").over(Window.partitionBy("root", "key"))
+    daily = daily.withColumn("mod_date", born)
     user = F.col("key")
     ext = (F.when(user % 8 == 1, ".JPG").when(user % 4 == 0, ".pdf").when(user % 4 == 1, ".jpg")
            .when(user % 4 == 2, ".txt").otherwise(""))
     access = (F.when((F.col("size") >= 3) & (user % 2 == 0), 2)
               .when((F.col("size") >= 3) & (user % 5 == 0), 1).otherwise(0))
     return (
-        daily.join(birth, ["root", "key"]).join(roots, "root").select(
+        daily.join(roots, "root").select(
             "root_id", "root_path",
             ((F.col("period") - F.col("first") + 1) * SCAN_STRIDE + F.col("root_id")).alias("scan_id"),
             (user * SCAN_STRIDE + F.col("root_id")).alias("item_id"),

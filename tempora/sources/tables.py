@@ -32,12 +32,18 @@ def published_versions(spark: SparkSession, base: str) -> list[int]:
 
 
 def write_table(df: DataFrame, name: str, base: str, version: int) -> DataFrame:
-    """Write one table of an unpublished version and return it as read back."""
+    """Write one table of an unpublished version and return it as read back.
+
+    Large tables are partitioned by root.  A rebalance lets AQE cut a large root into several files
+    and put small ones together; rows are sorted by item so that scans can skip row groups.
+    """
     spark, path = df.sparkSession, f"{base}/v={version}/{name}"
-    writer = conform(df, name).write.mode("overwrite")
+    out = conform(df, name)
     if name in PARTITIONED:
-        writer = writer.partitionBy("root_id")
-    writer.parquet(path)
+        out.hint("rebalance", "root_id").sortWithinPartitions("root_id", "item_id") \
+            .write.mode("overwrite").partitionBy("root_id").parquet(path)
+    else:
+        out.write.mode("overwrite").parquet(path)
     return read_table(spark, path, name)
 
 
