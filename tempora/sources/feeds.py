@@ -139,14 +139,18 @@ def _directory_id(path: Column, root_id: Column) -> Column:
     return F.lit(DIRECTORY_IDS) + (b * 10 + d) * SCAN_STRIDE + root_id
 
 
-def activity_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = activity_files(spark, sf_dir)
+def with_directories(files: DataFrame) -> DataFrame:
+    """File observations together with the folders they imply."""
     dirs = synthesize_directories(files).withColumn(
         "item_id", _directory_id(F.col("item_path"), F.col("root_id")))
     cols = ["root_id", "scan_id", "item_id", "item_path", "item_type", "access", "mod_date", "size"]
     return files.select(*cols).unionByName(dirs.select(*cols))
 
 
+def activity_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_directories(activity_files(spark, sf_dir))
+
+
 def items_of(observations: DataFrame) -> DataFrame:
     """Identity rows of everything ever observed."""
     name = P.path_name(F.col("item_path"))
@@ -243,7 +247,8 @@ def build_activity_store(spark: SparkSession, sf_dir: str, base: str) -> None:
     keep(activity_schedules(roots), "schedules")
     scans = write_and_read(activity_scans(spark, sf_dir), f"{base}/steps/scans")
     span = sized_calendar(scans)[1]
-    observed = write_and_read(activity_observations(spark, sf_dir), f"{base}/steps/observations")
+    files = write_and_read(activity_files(spark, sf_dir), f"{base}/steps/files")
+    observed = write_and_read(with_directories(files), f"{base}/steps/observations")
     items = keep(items_of(observed), "items")
     bare = write_and_read(build_history(observed, scans, span=span), f"{base}/steps/bare")
     history = write_and_read(with_folder_counters(bare, items, roots, scans, span), f"{base}/steps/history")
