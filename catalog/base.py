@@ -65,7 +65,7 @@ dirs AS (
     SELECT root_id, d, u % 10, u % 3 + 1, root_path || '/b' || (u % 10) || '/d' || (u % 3), mod_date, size
     FROM files)
   GROUP BY ALL),
-obs AS (
+obs AS MATERIALIZED (
   SELECT root_id, d, item_id, item_path, item_type, access, mod_date, size FROM files
   UNION ALL
   SELECT root_id, d, item_id, item_path, item_type, access, mod_date, size FROM dirs),
@@ -121,7 +121,7 @@ folders AS (
   FROM plain p JOIN (SELECT item_id, f AS d FROM plain UNION SELECT item_id, d FROM cuts) s
     ON s.item_id = p.item_id AND s.d BETWEEN p.f AND p.l
   WHERE p.item_type = 1),
-history AS (
+history AS MATERIALIZED (
   SELECT h.item_id, row_number() OVER (PARTITION BY h.item_id ORDER BY f) AS item_version, h.root_id,
     h.item_path, item_type, f, l, f * 100 + h.root_id AS first_scan_id,
     l * 100 + h.root_id AS last_scan_id, is_added, is_deleted, access, mod_date, size,
@@ -143,7 +143,7 @@ hashed AS (
 hash_marks AS (
   SELECT *, lag(h) OVER w AS before, row_number() OVER w AS rn
   FROM hashed WINDOW w AS (PARTITION BY item_id, item_version ORDER BY d)),
-hashes AS (
+hashes AS MATERIALIZED (
   SELECT item_id, item_version, root_id, min(d) * 100 + root_id AS first_scan_id,
          max(d) * 100 + root_id AS last_scan_id, h AS file_hash,
          CASE WHEN bool_or(rn = 1) THEN 1 ELSE 2 END AS hash_state, min(d) AS hf
@@ -160,7 +160,7 @@ versions0 AS (
                           AND ((f + 2) // 3) * 3 <= l
                          THEN ((f + 2) // 3) * 300 + h.root_id END AS val_scan_id
         FROM history h JOIN (SELECT item_id, has_validator, do_not_validate FROM items) i USING (item_id)) v),
-versions AS (
+versions AS MATERIALIZED (
   SELECT item_id, item_version, root_id, first_scan_id, last_scan_id, is_added, is_deleted, access,
     mod_date, size, add_count, modify_count, delete_count, unchanged_count, val_scan_id, val_state,
     CASE WHEN val_state = 2 THEN 'unexpected end after ' || size || ' bytes' END AS val_error,
@@ -191,7 +191,7 @@ changed AS (
     count(*) FILTER (v.is_deleted AND NOT p.is_deleted) AS delete_count
   FROM history v LEFT JOIN history p ON p.item_id = v.item_id AND p.item_version = v.item_version - 1
   GROUP BY 1),
-scans AS (
+scans AS MATERIALIZED (
   SELECT s.scan_id, s.root_id, schedule_id, started_at, ended_at, was_restarted, state, is_hash,
     hash_all, is_val,
     {counters},
