@@ -162,6 +162,7 @@ def parts_of(turns: DataFrame) -> DataFrame:
 
 def repair(turns: DataFrame) -> DataFrame:
     """``conv_id, part, n_turns, cost, actions, roles, rendered``: one row per part of a conversation."""
+    common.ship(turns.sparkSession)
     kind = turns.schema["conv_id"].dataType.simpleString()
     parts = common.stored(parts_of(turns), "parts")
     many = parts.where("alone is null").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv_id")

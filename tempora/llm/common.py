@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if they can't already.
+
+    On a cluster whose machines don't share that folder, submit the package with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, and survives lost executors."""
     return write_and_read(df, scratch_path(df.sparkSession, name))

@@ -110,6 +110,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     The place is that of the longest overlap with the item (ties: the first one), in the document's
     words counted from 0.
     """
+    common.ship(docs.sparkSession)
     spark = docs.sparkSession
     named = common.stored(item_table(items), "items")
     distinct = common.stored(named.groupBy("item").agg(F.first("words").alias("words")), "items-distinct")

@@ -279,6 +279,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
+    common.ship(docs.sparkSession)
     if model is None:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     held = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages, and the sample's lexicon

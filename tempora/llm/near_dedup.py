@@ -198,6 +198,7 @@ def more_links(cells: DataFrame, roots: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame) -> DataFrame:
     """``doc_id, tag, n_shingles, component_id, kept`` of every row."""
+    common.ship(docs.sparkSession)
     made = common.stored(classes(docs), "classes")
     named = made.where("doc_id is not null and class is not null")
     heads = common.stored(named.groupBy("class").agg(F.min(F.struct("doc_id", "tag")).alias("head")).select("class", "head.doc_id", "head.tag"), "heads")

@@ -86,6 +86,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", packed: bool =
 
     ``ids`` is array<int>, or with ``packed`` a binary of little-endian 32-bit integers.
     """
+    common.ship(docs.sparkSession)
     check_model(model_file)
     made = ("ids", "n_tokens", "decoded")
     kept = [c for c in docs.columns if c not in made]
@@ -117,6 +118,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", packed: bool =
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: the library's decode of array<int> ``ids`` (null ids: null)."""
+    common.ship(encoded.sparkSession)
     kept = [c for c in encoded.columns if c != "decoded"]
     fields = [T.StructField(f"c{i}", encoded.schema[c].dataType, True) for i, c in enumerate(kept)]
 

@@ -133,6 +133,7 @@ def _singles(rows: DataFrame, name: str, count: Column) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, repeats (first_word, n_words), kept_text``: one row per row of ``docs``."""
+    common.ship(docs.sparkSession)
     # key and tag tell documents apart; rows without an id are told apart by their text alone
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select("doc_id", key.alias("key"), common.text_tag(F.col("text")).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))

@@ -152,6 +152,7 @@ def _block(rows: pd.DataFrame) -> pd.DataFrame:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best of ``vectors`` for each of ``queries`` (both ``id, v``)."""
+    common.ship(vectors.sparkSession)
     vectors = common.stored(vectors.withColumn("dim", F.size("v")), "vectors")
     queries = common.stored(queries.withColumn("dim", F.size("v")), "queries")
     shards = max(1, -(-vectors.count() // SHARD))

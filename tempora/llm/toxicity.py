@@ -187,6 +187,7 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is at least 0.5)."""
+    common.ship(docs.sparkSession)
     if model is None:
         scored = docs.withColumn("score", F.lit(0.0))
     else:
