@@ -173,11 +173,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Rounds of contraction: every node merges into the neighbour (or itself) that comes first in the
     round's random order, which shrinks any graph by a constant share, paths and stars included.
-    Each round's tables are written to the shared folder; nothing but a row count reaches the driver.
+    Each round's edges and moves are written to the shared folder; nothing but whether edges are
+    left reaches the driver.
     """
     edges = stored(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct(), f"{name}-edges-0")
     roots = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
-    roots = stored(roots, f"{name}-roots-0")
     level = 0
     while not edges.isEmpty():
         level += 1
@@ -193,7 +193,5 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             edges.join(to[0], "a").join(to[1], "b").where("a_to != b_to")
             .select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(),
             f"{name}-edges-{level}")
-        roots = stored(
-            roots.join(moved.withColumnRenamed("a", "root"), "root", "left")
-            .select("node", F.coalesce("to", "root").alias("root")), f"{name}-roots-{level}")
-    return roots
+        roots = roots.join(moved.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stored(roots, f"{name}-roots")

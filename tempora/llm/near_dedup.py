@@ -213,7 +213,14 @@ def components(docs: DataFrame) -> DataFrame:
     roots = common.components(links, "near")
     rest = common.stored(more_links(cells, roots), "more-links")
     if not rest.isEmpty():
-        roots = common.components(links.unionByName(rest), "near-all")
+        # only the first components that the new links join are looked at again
+        to = [roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b")]
+        between = rest.join(to[0], "a", "left").join(to[1], "b", "left").select(
+            F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        over = common.components(between, "near-more").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        every = roots.select("node", "root").unionByName(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                                                         .join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+        roots = common.stored(every.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "near-roots-all")
     # the smallest doc_id of each component, then of each class
     least = heads.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     smallest = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
