@@ -118,7 +118,8 @@ def pivots(banded: DataFrame) -> DataFrame:
     """``pivot, class``: every class with the pivots of its buckets; ``banded`` has class and bands."""
     member = banded.select("class", F.explode("bands").alias("bucket"))
     sizes = common.stored(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    held = common.stored(member.join(sizes, "bucket"), "members")
+    # joined alike at every size: a broadcast that only small inputs allow would change the plan under way
+    held = common.stored(member.join(sizes.hint("merge"), "bucket"), "members")
     company = common.stored(held.groupBy("class").agg(F.sum("n").alias("company")), "company")
     ranked = held.select("bucket", "class").join(company, "class")
     heads = common.stored(ranked.groupBy("bucket").agg(F.max(F.struct("company", "class"))["class"].alias("pivot")), "pivots")
@@ -206,7 +207,7 @@ def components(docs: DataFrame) -> DataFrame:
     pairs = common.stored(pivots(banded), "pairs")
     involved = pairs.select(F.explode(F.array("pivot", "class")).alias("class")).distinct()
     involved = common.stored(involved.join(heads, "class"), "involved")
-    texts = docs.select("doc_id", common.text_tag(F.col("text")).alias("tag"), "text").join(involved, ["doc_id", "tag"])
+    texts = docs.select("doc_id", common.text_tag(F.col("text")).alias("tag"), "text").join(involved.hint("merge"), ["doc_id", "tag"])
     items = common.stored(sets(texts).dropDuplicates(["class"]), "sets")
     cells = common.stored(compared(pairs, items), "compared")
     links = cells.where("linked").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
