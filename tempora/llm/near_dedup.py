@@ -227,7 +227,7 @@ def components(docs: DataFrame) -> DataFrame:
     smallest = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = common.stored(least.join(smallest, "root").select("class", "component_id"), "found")
     out = made.drop("bands").join(found, "class", "left")
-    component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    component = F.when(F.col("doc_id").isNull() | F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "tag", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
