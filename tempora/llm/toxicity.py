@@ -35,15 +35,15 @@ from pyspark.sql import functions as F
 
 from tempora.llm import common
 
-MAX_ROWS = 2_000
-MAX_CHARS = 8_000_000  # per class
+MAX_ROWS = 1_500
+MAX_CHARS = 5_000_000  # per class
 SLOTS = 1 << 18
 DIM = 8
 EPOCHS = 400
 TOXIC_WEIGHT = 0.3  # of the loss; the rest is on class 0
 RATE = 1.0
 DECAY = 1e-6
-MAX_LEARNED = 16_384  # slots with a vector of their own: the most widespread of the sample
+MAX_LEARNED = 12_288  # slots with a vector of their own: the most widespread of the sample
 LEAST_TEXTS = 5
 SMOOTH = 1e-3
 NEUTRAL = 10.0  # weight of the zero vectors that every text is averaged with
@@ -114,7 +114,8 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) ->
         n = begin[at + 1] - begin[at]
         places = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         slots, where = np.unique(slot[places], return_inverse=True)
-        entries.append((slots, np.bincount(where, np.repeat(part / np.maximum(n, 1) / (part.sum() + NEUTRAL), n), len(slots))))
+        values = np.bincount(where, np.repeat(part / np.maximum(n, 1) / (part.sum() + NEUTRAL), n), len(slots))
+        entries.append((slots.astype(np.int32), values.astype(np.float32)))
         seen[slots] += 1
     used = np.sort(np.argsort(-seen, kind="stable")[:MAX_LEARNED])
     used = used[seen[used] >= LEAST_TEXTS]
