@@ -24,6 +24,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     import catalog.all  # noqa: F401
+    import catalog.scratch  # noqa: F401
     from catalog.base import QUERIES
     from tempora.sources import feeds
 

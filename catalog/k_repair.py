@@ -107,7 +107,7 @@ CHOPPED = """
 , chopped AS (
   SELECT item_id, item_version, root_id, d * 100 + root_id AS first_scan_id, d * 100 + root_id AS last_scan_id, is_added,
     is_deleted, access, mod_date, size, {counts}, d
-  FROM history, range(1, 100) t(d) WHERE d BETWEEN f AND l AND item_type = {kind})"""
+  FROM history, (SELECT unnest(range(1, max(l) + 1)) AS d FROM history) t WHERE d BETWEEN f AND l AND item_type = {kind})"""
 SAME_COUNTS = "add_count, modify_count, delete_count, unchanged_count"
 QUIET_COUNTS = ("CASE WHEN d > f THEN 0 ELSE add_count END AS add_count, CASE WHEN d > f THEN 0 ELSE modify_count END AS modify_count, "
                 "CASE WHEN d > f THEN 0 ELSE delete_count END AS delete_count, "
@@ -319,7 +319,8 @@ def parts_recount_sql():
     return f"""
 WITH versions AS ({shipping_sql('l_partkey', 1)})
 SELECT d * 100 + r AS scan_id, count(*) AS file_count, CAST(sum(size) AS BIGINT) AS total_size
-FROM versions, range(1, 200) t(d), range(1, 4) u(r)
+FROM versions, (SELECT unnest(range(1, max(last_scan_id // 100) + 1)) AS d FROM versions) t,
+  (SELECT DISTINCT first_scan_id % 100 AS r FROM versions) u
 WHERE NOT is_deleted AND first_scan_id % 100 = r AND d BETWEEN first_scan_id // 100 AND last_scan_id // 100
 GROUP BY 1"""
 

@@ -98,7 +98,7 @@ def binary_to_hex(value: Column) -> Column:
 
 
 def json_long(text: Column, field: str) -> Column:
-    return F.get_json_object(text, f"$.{field}").cast("long")
+    return F.get_json_object(text, f"$.{field}").try_cast("long")
 
 
 def task_state_json(scan_id: Column, high_water_mark: Column) -> Column:

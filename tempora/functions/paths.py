@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tempora.schemas import FILE, VALIDATED_EXTENSIONS
 
-DIGIT_WIDTH = 40
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
@@ -71,9 +70,13 @@ def has_validator(extension: Column) -> Column:
 
 
 def _natural(component: Column) -> Column:
-    padded = F.regexp_replace(component, r"(\d+)", "0" * DIGIT_WIDTH + "$1")
-    padded = F.regexp_replace(padded, r"0+(\d{%d})(?!\d)" % DIGIT_WIDTH, "$1")
-    return F.collate(padded, "UNICODE_CI_AI")
+    def run(part: Column) -> Column:
+        digits = F.regexp_replace(part, r"^0+(?=\d)", "")
+        # the number of digits first, so that longer numbers sort behind shorter ones at any length
+        return F.when(F.rlike(part, F.lit(r"^\d")), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(part)
+
+    runs = F.transform(F.regexp_extract_all(component, F.lit(r"\d+|\D+"), F.lit(0)), run)
+    return F.collate(F.array_join(runs, ""), "UNICODE_CI_AI")
 
 
 def natural_key(path: Column) -> Column:

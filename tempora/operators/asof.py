@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.operators.history import current_versions, sized_calendar
@@ -16,9 +16,10 @@ __all__ = ["current_versions"]
 
 def with_is_current(versions: DataFrame) -> DataFrame:
     """Flag the newest version of each item (deleted ones included), before any filter."""
-    newest = versions.groupBy("item_id").agg(F.max("first_scan_id").alias("_newest"))
-    return versions.join(newest, "item_id").withColumn(
-        "is_current", F.col("first_scan_id") == F.col("_newest")).drop("_newest")
+    # an item has at most one version per scan of its root
+    key = [c for c in ("root_id", "item_id") if c in versions.columns]
+    newest = F.max("first_scan_id").over(Window.partitionBy(*key))
+    return versions.withColumn("is_current", F.col("first_scan_id") == newest)
 
 
 def version_in_force(versions: DataFrame, scan_id: int) -> DataFrame:

@@ -14,14 +14,15 @@ from tempora.schemas import DIRECTORY, FILE, State
 IDENTITY = ("item_id", "item_path", "item_name", "item_type", "has_validator")
 
 
-def _snapshot_of(state: State, items: DataFrame, scan_id: int) -> DataFrame:
-    """As-of rows of the given items; only their versions enter the aggregate."""
-    versions = state.versions.join(items.select("item_id"), "item_id", "left_semi")
+def _snapshot_of(state: State, items: DataFrame, root_id: int, scan_id: int) -> DataFrame:
+    """As-of rows of the given items of a root; only their versions enter the aggregate."""
+    versions = state.versions.where(F.col("root_id") == root_id).join(items.select("item_id"), "item_id", "left_semi")
     return snapshot_at(versions, scan_id).join(items.select(*IDENTITY), "item_id")
 
 
-def _with_states(state: State, rows: DataFrame) -> DataFrame:
-    return with_latest_hash(rows, state.hashes).select(
+def _with_states(state: State, rows: DataFrame, root_id: int) -> DataFrame:
+    hashes = state.hashes.where(F.col("root_id") == root_id).join(rows.select("item_id"), "item_id", "left_semi")
+    return with_latest_hash(rows, hashes).select(
         *IDENTITY, "item_version", "first_scan_id", "is_added", "is_deleted", "mod_date", "size",
         "add_count", "modify_count", "delete_count", "unchanged_count", "val_state", "hash_state")
 
@@ -33,7 +34,7 @@ def natural_order(df: DataFrame) -> DataFrame:
 def children_at(state: State, root_id: int, parent: str, scan_id: int) -> DataFrame:
     """Immediate children of a folder as a scan showed them: equality on the stored parent path."""
     items = state.items.where((F.col("root_id") == root_id) & (F.col("parent_path") == parent))
-    return _with_states(state, _snapshot_of(state, items, scan_id))
+    return _with_states(state, _snapshot_of(state, items, root_id, scan_id), root_id)
 
 
 def children_page(state: State, root_id: int, parent: str, scan_id: int,
@@ -43,14 +44,14 @@ def children_page(state: State, root_id: int, parent: str, scan_id: int,
 
 def count_children(state: State, root_id: int, parent: str, scan_id: int) -> DataFrame:
     items = state.items.where((F.col("root_id") == root_id) & (F.col("parent_path") == parent))
-    return _snapshot_of(state, items, scan_id).agg(F.count(F.lit(1)).alias("count"))
+    return _snapshot_of(state, items, root_id, scan_id).agg(F.count(F.lit(1)).alias("count"))
 
 
 def descendant_counts(state: State, root_id: int, folder: str, scan_id: int) -> DataFrame:
     """Alive files and folders anywhere below a folder."""
     items = state.items.where(
         (F.col("root_id") == root_id) & F.col("item_path").startswith(folder.rstrip("/") + "/"))
-    versions = state.versions.join(items.select("item_id"), "item_id", "left_semi")
+    versions = state.versions.where(F.col("root_id") == root_id).join(items.select("item_id"), "item_id", "left_semi")
     alive = version_in_force(versions, scan_id).where(~F.col("is_deleted"))
     typed = alive.join(items.select("item_id", "item_type"), "item_id")
     return typed.agg(
@@ -61,7 +62,18 @@ def descendant_counts(state: State, root_id: int, folder: str, scan_id: int) ->
 def search_at(state: State, root_id: int, text: str, scan_id: int) -> DataFrame:
     """Items whose name contains the text, as a scan showed them."""
     items = state.items.where((F.col("root_id") == root_id) & text_match(F.col("item_name"), text))
-    return _with_states(state, _snapshot_of(state, items, scan_id))
+    return _with_states(state, _snapshot_of(state, items, root_id, scan_id), root_id)
+
+
+def count_matches(state: State, root_id: int, text: str, scan_id: int) -> DataFrame:
+    """How many items ``search_at`` finds."""
+    items = state.items.where((F.col("root_id") == root_id) & text_match(F.col("item_name"), text))
+    return _snapshot_of(state, items, root_id, scan_id).agg(F.count(F.lit(1)).alias("count"))
+
+
+def search_page(state: State, root_id: int, text: str, scan_id: int, limit: int, offset: int = 0) -> DataFrame:
+    """A page of ``search_at`` in natural order of the paths."""
+    return page(natural_order(search_at(state, root_id, text, scan_id)), limit, offset)
 
 
 def version_history(state: State, item_id: int, newest_first: bool = True) -> DataFrame:

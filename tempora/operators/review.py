@@ -66,16 +66,16 @@ def issue_predicate(issue_type: str, status: str, three_valued: bool = False) ->
 
 def issue_versions(state: State, f: IssueFilter) -> DataFrame:
     """Versions of files matching the whole filter, with their item's columns."""
-    items, versions = state.items.where(F.col("item_type") == FILE), state.versions
+    items, versions, hashes = state.items.where(F.col("item_type") == FILE), state.versions, state.hashes
     if f.root_id is not None:
-        items, versions = (df.where(F.col("root_id") == f.root_id) for df in (items, versions))
+        items, versions, hashes = (df.where(F.col("root_id") == f.root_id) for df in (items, versions, hashes))
     if f.path_text:
         items = items.where(text_match(F.col("item_path"), f.path_text, wildcards=True))
     if f.extensions:
         items = items.where(F.col("file_extension").isin(*f.extensions))
     if not f.show_deleted:
         versions = versions.where(~F.col("is_deleted"))
-    rows = with_suspects(versions, state.hashes).where(issue_predicate(f.issue_type, f.status))
+    rows = with_suspects(versions, hashes).where(issue_predicate(f.issue_type, f.status))
     return rows.join(items.drop("root_id", "parent_path"), "item_id")
 
 

@@ -96,9 +96,12 @@ def trend(scans: DataFrame, root_id: int, first_day: str | None = None, last_day
           zone: str = "UTC") -> DataFrame:
     """Completed scans of a window, oldest first, with derived unchanged counts."""
     rows = completed(scans).where(F.col("root_id") == root_id)
-    if first_day or last_day:
-        lo, hi = date_bounds((first_day or "1970-01-01", last_day or "2099-12-31"), zone)
-        rows = rows.where(F.col("started_at").between(lo, hi))
+    if first_day and last_day:
+        date_bounds((first_day, last_day), zone)  # a window that ends before it starts is an error
+    if first_day:
+        rows = rows.where(F.col("started_at") >= date_bounds(first_day, zone)[0])
+    if last_day:
+        rows = rows.where(F.col("started_at") <= date_bounds(last_day, zone)[1])
     rows = rows.fillna(0, list(TREND_COUNTERS))
     unchanged = F.col("file_count") + F.col("folder_count") - F.col("add_count") - F.col("modify_count")
     return rows.select("scan_id", "root_id", "started_at", *TREND_COUNTERS,
@@ -130,13 +133,15 @@ def with_visible_values(series: DataFrame, shown: Sequence[str]) -> DataFrame:
 
 def scan_changes_list(state: State, scan_id: int, change: str = "all") -> DataFrame:
     """Versions created by a scan, all or only added / deleted / modified ones by their flags."""
-    rows = state.versions.where(F.col("first_scan_id") == scan_id)
+    # a scan is of one root: its row prunes the partitions of versions and items
+    root = F.broadcast(state.scans.where(F.col("scan_id") == scan_id).select("root_id"))
+    rows = state.versions.where(F.col("first_scan_id") == scan_id).join(root, "root_id", "left_semi")
     kinds = {
         "all": F.lit(True), "added": F.col("is_added"), "deleted": F.col("is_deleted"),
         "modified": ~F.col("is_added") & ~F.col("is_deleted"),
     }
     return rows.where(kinds[change]).join(
-        state.items.select("item_id", "item_path", "item_type"), "item_id"
+        state.items.select("root_id", "item_id", "item_path", "item_type"), ["root_id", "item_id"]
     ).select("item_id", "item_path", "item_type", "is_added", "is_deleted", "size")
 
 

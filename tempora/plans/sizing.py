@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-RANGE_SAMPLE = 16_384
-RANGE_FANOUT = 32  # ranges are found in two steps of at most this many comparisons
-SINGLE_BUCKET_ROWS = 100_000
+RANGE_ROWS = 1_000_000  # rows of a range, beyond a thousand ranges
+RANGE_FANOUT = 32  # ranges are found in two steps of at least this many comparisons
+RANGE_SAMPLE = 16  # sampled keys per range
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -26,14 +26,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if small else df
 
 
+_local_scratch: str | None = None
+
+
+def name_local_scratch(path: str) -> None:
+    """The folder for sessions on a local master that name none themselves."""
+    global _local_scratch
+    _local_scratch = path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the session's ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="tempora-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not named and spark.sparkContext.master.startswith("local"):
+        named = _local_scratch
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -63,21 +72,19 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str, start: Column | i
     keys = df.select(*order)
     total = keys.count()
     key = F.struct(*order)
-    if total <= SINGLE_BUCKET_ROWS:
-        bucket: Column = F.lit(0)
-    else:
-        stride = max(1, total // RANGE_SAMPLE)
-        sample = keys.where(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0)
-        # about RANGE_SAMPLE rows whatever the size of the input
-        picked = [r[0] for r in sample.select(key.alias("k")).orderBy("k").select(F.to_json("k")).collect()]
-        edges = picked[:: max(1, len(picked) // (RANGE_FANOUT * RANGE_FANOUT))]
-        groups = [edges[i:i + RANGE_FANOUT] for i in range(0, len(edges), RANGE_FANOUT)]
-        ddl = f"array<array<{_struct_ddl(keys)}>>"
-        nested = F.from_json(F.lit("[" + ",".join(f"[{','.join(g)}]" for g in groups) + "]"), ddl)
-        heads = F.transform(nested, lambda g: F.element_at(g, 1))
-        group = F.size(F.filter(heads, lambda e: e <= key))
-        inside = F.size(F.filter(F.element_at(nested, F.greatest(group, F.lit(1))), lambda e: e <= key))
-        bucket = F.when(group == 0, 0).otherwise((group - 1) * RANGE_FANOUT + inside)
+    fanout = max(RANGE_FANOUT, math.ceil(math.sqrt(total / RANGE_ROWS)))
+    stride = max(1, total // (RANGE_SAMPLE * fanout * fanout))
+    sample = keys.where(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0)
+    # a bounded number of keys: RANGE_SAMPLE for each range
+    picked = [r[0] for r in sample.select(key.alias("k")).orderBy("k").select(F.to_json("k")).collect()]
+    edges = picked[:: max(1, len(picked) // (fanout * fanout))]
+    groups = [edges[i:i + fanout] for i in range(0, len(edges), fanout)]
+    ddl = f"array<array<{_struct_ddl(keys)}>>"
+    nested = F.from_json(F.lit("[" + ",".join(f"[{','.join(g)}]" for g in groups) + "]"), ddl)
+    heads = F.transform(nested, lambda g: F.element_at(g, 1))
+    group = F.size(F.filter(heads, lambda e: e <= key))
+    inside = F.size(F.filter(F.element_at(nested, F.greatest(group, F.lit(1))), lambda e: e <= key))
+    bucket = F.when(group == 0, 0).otherwise((group - 1) * fanout + inside)
     df = df.withColumn("_bucket", bucket)
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

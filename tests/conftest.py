@@ -5,6 +5,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import catalog.scratch  # noqa: E402,F401
+
 SMALL = "/root/testdata/sf0.001"
 
 

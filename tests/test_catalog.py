@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from catalog import check
+from catalog import base, check
 from conftest import SMALL
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = base.QUERIES, base.ORACLE
+MAY_BE_EMPTY = ("h8_rehydrate", "i1_new_only_work_list", "i9_issue_filters")  # nothing to find in so few rows
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +18,7 @@ def con():
 @pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("s1_")])
 def test_query_equals_sql(spark, con, name):
     verdict = check.compare(spark, con, SMALL, QUERIES[name], ORACLE.get(name))
-    assert not verdict.startswith("FAIL") or verdict == "FAIL empty", verdict
+    assert not verdict.startswith("FAIL") or verdict == "FAIL empty" and name in MAY_BE_EMPTY, verdict
 
 
 def test_entry(spark):

@@ -181,3 +181,32 @@ def test_history_needs_one_shuffle_after_the_snapshots(spark):
     plan = build_history(obs, scan_table)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(root_id#") <= 2  # the items, and the tiny calendar
     assert "SinglePartition" not in plan and SMALL and feeds
+
+
+def test_trend_bounds_apply_only_when_given(spark, store):
+    from tempora.operators import scans as S
+
+    late = store.scans.withColumn("started_at", F.lit(5_680_281_600).cast("long"))  # in 2150
+    root = store.scans.where("state = 4").first().root_id
+    n = S.trend(late, root).count()
+    assert n > 0 and S.trend(late, root, first_day="2024-01-01").count() == n
+    assert S.trend(late, root, last_day="2024-01-01").count() == 0
+
+
+def test_search_page_and_count_agree(spark, store):
+    from tempora.operators import browse as B
+
+    scan = store.scans.where("state = 4").orderBy("scan_id").collect()[-1]
+    found = B.search_at(store, scan.root_id, "u", scan.scan_id).collect()
+    assert B.count_matches(store, scan.root_id, "u", scan.scan_id).first()[0] == len(found)
+    first, second = (B.search_page(store, scan.root_id, "u", scan.scan_id, 3, o).collect() for o in (0, 3))
+    assert len(first) == min(3, len(found)) and not {r.item_id for r in first} & {r.item_id for r in second}
+
+
+def test_one_root_prunes_versions_and_hashes(spark, store):
+    from tempora.operators import browse as B
+
+    scan = store.scans.where("state = 4").orderBy("scan_id").first()
+    df = B.search_at(store, scan.root_id, "u", scan.scan_id)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(root_id") >= 3, plan

@@ -38,9 +38,9 @@ def test_span_depends_on_the_bound():
     assert choose_span(PLAIN_WINDOW_LIMIT + 1) > 0
 
 
-@pytest.mark.parametrize("limit", [10, 10_000])
+@pytest.mark.parametrize("limit", [1, 10_000])
 def test_number_rows_is_dense_and_ordered(spark, monkeypatch, limit):
-    monkeypatch.setattr(sizing, "SINGLE_BUCKET_ROWS", limit)
+    monkeypatch.setattr(sizing, "RANGE_ROWS", limit)
     df = spark.range(5000).select(
         F.when(F.col("id") != 17, F.col("id") * 7919 % 5003).alias("a"), F.lit('say "x", \\').alias("b"))
     out = sizing.number_rows(df, ["a", "b"], "n", 100)
