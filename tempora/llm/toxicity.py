@@ -96,21 +96,28 @@ def learning_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
 def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> Model | None:
     if len({y for _, y in sample}) < 2:
         return None
-    bags = [Counter(words_of(text)) for text, _ in sample]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for b in bags for w in b))}
+    vocabulary: dict[str, int] = {}
+    bags = []
+    for text, _ in sample:
+        bag = Counter(words_of(text))
+        at = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in bag), np.int32, len(bag))
+        bags.append((at, np.fromiter(bag.values(), np.float32, len(bag))))
     counts = np.zeros(len(vocabulary))
-    for bag in bags:
-        counts[[vocabulary[w] for w in bag]] += list(bag.values())
+    for at, times in bags:
+        counts[at] += times
     share = counts / max(1.0, counts.sum())
     weight = SMOOTH / (SMOOTH + share)
-    of_word, slot = slots_of(list(vocabulary))
-    begin = np.searchsorted(of_word, np.arange(len(vocabulary) + 1))
+    every, slot, sizes = list(vocabulary), [], []
+    for i in range(0, len(every), 20_000):  # by pieces, as what leads to the slots is much larger than they are
+        of_word, found = slots_of(every[i:i + 20_000])
+        slot.append(found.astype(np.int32))
+        sizes.append(np.bincount(of_word, minlength=len(every[i:i + 20_000])))
+    slot, begin = np.concatenate([*slot, np.empty(0, np.int32)]), np.concatenate([[0], *sizes]).cumsum()
 
     # texts by slots: what a text gets from each slot's vector when its words are averaged
     entries, seen = [], np.zeros(SLOTS, np.int64)
-    for bag in bags:
-        at = np.array([vocabulary[w] for w in bag], int)
-        part = np.log1p(np.array(list(bag.values()), float)) * weight[at]
+    for at, times in bags:
+        part = np.log1p(times) * weight[at]
         n = begin[at + 1] - begin[at]
         places = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         slots, where = np.unique(slot[places], return_inverse=True)
