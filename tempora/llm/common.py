@@ -143,7 +143,13 @@ def repeat_columns(batch: pa.RecordBatch, names: list[str], times: list[int]) ->
     return [batch.column(n).take(at) for n in names]
 
 
-def cuts(sizes: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def pieces(words: list[str], most: int = 20_000) -> Iterator[list[str]]:
+    """New words by pieces, as what leads to a word's numbers is much larger than they are."""
+    for i in range(0, len(words), most):
+        yield words[i:i + most]
+
+
+def cuts(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows whose sizes add up to no more than ``most``; a larger row comes alone."""
     begin, total = 0, 0
     for i, size in enumerate(sizes):
@@ -156,8 +162,8 @@ def cuts(sizes: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
 
 
 def in_slices(make: Callable[[pa.RecordBatch], pa.RecordBatch]):
-    """For mapInArrow: ``make`` gets a few million bytes of column ``text`` at a time, so that what
-    it builds from them stays small."""
+    """For mapInArrow: ``make`` gets about a million bytes of column ``text`` at a time (a longer
+    text comes alone), so that what it builds from them stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ texts of known language and spliced, so that the transitions learn how seldom la
 A text is labelled by forward-backward over all its words; its language is the one with the largest
 sum of word posteriors, its score that sum's share.
 
-Forward-backward is exact for texts of any length, and vectorised: the words of a few million
+Forward-backward is exact for texts of any length, and vectorised: the words of about a million
 characters form one chain in which each text's first word forgets what came before; the chain is cut
 into blocks whose transfer matrices are multiplied side by side, then the blocks are chained.
 
@@ -250,7 +250,7 @@ class Labeller:
         new = [w for w in set().union(*bags) if w not in self.place]
         if new:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.psi = np.concatenate([self.psi, potentials(emissions(new, self.model))])
+            self.psi = np.concatenate([self.psi, *(potentials(emissions(part, self.model)) for part in common.pieces(new))])
         words = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(bags)), np.int64)
         first = np.zeros(len(words), bool)
         first[np.cumsum([0, *(len(b) for b in bags[:-1])])] = True

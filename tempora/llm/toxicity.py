@@ -183,7 +183,8 @@ class Scorer:
         bags = [Counter(words_of(t)) for t in texts]
         if len(self.place) >= common.CACHED_WORDS:
             self.clear()
-        self.learn([w for w in set().union(*bags) if w not in self.place])
+        for new in common.pieces([w for w in set().union(*bags) if w not in self.place]):
+            self.learn(new)
         out = np.full(len(texts), self.model.bias)
         for i, bag in enumerate(bags):
             if bag:
