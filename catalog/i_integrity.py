@@ -218,6 +218,22 @@ def i12(spark, sf):
     return review.issue_versions_of(st, st.items.select("item_id"), review.IssueFilter("all", "all"))
 
 
+@query("i12_issue_versions_count", on_store(f"""
+SELECT count(*) AS count FROM versions v WHERE {PREDICATES['all', 'all']}"""))
+def i12_count(spark, sf):
+    st = store(spark, sf)
+    return review.count_issue_versions_of(st, st.items.select("item_id"), review.IssueFilter("all", "all"))
+
+
+@query("i12_issue_versions_page", on_store(f"""
+SELECT item_id, item_version, first_scan_id AS scan_id, started_at FROM versions v JOIN scans ON scan_id = first_scan_id
+WHERE {PREDICATES['all', 'all']} ORDER BY item_version DESC, item_id LIMIT 10 OFFSET 5"""))
+def i12_page(spark, sf):
+    st = store(spark, sf)
+    return review.issue_versions_page(st, st.items.select("item_id"), review.IssueFilter("all", "all"), 10, 5).select(
+        "item_id", "item_version", "scan_id", "started_at")
+
+
 MARK = 1_900_000_000
 
 

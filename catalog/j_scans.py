@@ -118,6 +118,18 @@ WHERE first_scan_id = 905 AND {_where}"""))(
         lambda spark, sf, kind=_kind: scans.scan_changes_list(store(spark, sf), 905, kind))
 
 
+@query("j9_scan_changes_count", on_store("SELECT count(*) AS count FROM versions WHERE first_scan_id = 905"))
+def j9_count(spark, sf):
+    return scans.count_scan_changes(store(spark, sf), 905)
+
+
+@query("j9_scan_changes_page", on_store("""
+SELECT item_id, item_path, item_type, is_added, is_deleted, size FROM versions JOIN items USING (item_id)
+WHERE first_scan_id = 905 ORDER BY item_path, item_id LIMIT 10 OFFSET 5"""))
+def j9_page(spark, sf):
+    return scans.scan_changes_page(store(spark, sf), 905, 10, 5)
+
+
 @query("j10_root_overview", on_store("""
 SELECT r.root_id, root_path, scan_id, state, file_count, folder_count, total_size FROM roots r
 LEFT JOIN scans s ON s.root_id = r.root_id AND s.scan_id = (SELECT max(scan_id) FROM scans m WHERE m.root_id = r.root_id)"""))

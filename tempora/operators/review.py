@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.filters import text_match
+from tempora.operators.domains import page
 from tempora.schemas import FILE, INVALID, SUSPECT, State
 
 # Extension groups offered as filters.
@@ -114,6 +115,17 @@ def issue_versions_of(state: State, item_ids: DataFrame, f: IssueFilter) -> Data
                 "hash_count", "suspect_count", "val_state", "val_error", "val_reviewed_at", "hash_reviewed_at")
 
 
+def count_issue_versions_of(state: State, item_ids: DataFrame, f: IssueFilter) -> DataFrame:
+    """How many versions ``issue_versions_of`` finds."""
+    return issue_versions_of(state, item_ids, f).agg(F.count(F.lit(1)).alias("count"))
+
+
+def issue_versions_page(state: State, item_ids: DataFrame, f: IssueFilter, limit: int, offset: int = 0) -> DataFrame:
+    """A page of ``issue_versions_of``, newest versions first."""
+    rows = issue_versions_of(state, item_ids, f)
+    return page(rows.orderBy(F.desc("item_version"), "item_id"), limit, offset)
+
+
 # ---- changing the review state ----------------------------------------------------------------
 
 

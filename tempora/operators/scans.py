@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.filters import date_bounds
+from tempora.operators.domains import page
 from tempora.operators.review import has_hash_issue, has_val_issue, with_suspects
 from tempora.plans.windows import with_running
 from tempora.schemas import COMPLETED, State
@@ -145,6 +146,16 @@ def scan_changes_list(state: State, scan_id: int, change: str = "all") -> DataFr
     ).select("item_id", "item_path", "item_type", "is_added", "is_deleted", "size")
 
 
+def count_scan_changes(state: State, scan_id: int, change: str = "all") -> DataFrame:
+    """How many rows ``scan_changes_list`` has."""
+    return scan_changes_list(state, scan_id, change).agg(F.count(F.lit(1)).alias("count"))
+
+
+def scan_changes_page(state: State, scan_id: int, limit: int, offset: int = 0, change: str = "all") -> DataFrame:
+    """A page of ``scan_changes_list`` by path."""
+    return page(scan_changes_list(state, scan_id, change).orderBy("item_path", "item_id"), limit, offset)
+
+
 def root_overview(state: State) -> DataFrame:
     """Every root with its newest scan, whatever its state."""
     newest = latest_scans(state.scans).select(
