@@ -67,25 +67,39 @@ def sample_ids(known: DataFrame, per_class: int) -> DataFrame:
 
 
 def sample_texts(docs: DataFrame, picked: DataFrame, max_chars: int) -> list[tuple[str, object]]:
-    """Whole texts of the picked rows (by ``sample_ids``, so their number is bounded) and their
-    classes, in order of the pick as far as ``max_chars`` per class go."""
+    """Texts of the picked rows (by ``sample_ids``, so their number is bounded) and their classes, in
+    order of the pick.  A text that exceeds what is left of its class's ``max_chars`` is passed over
+    and takes no room; a class of which no words fit gives the first words of its first such text."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     texts = stored(texts.groupBy("_y", "_place").agg(F.min("text").alias("text")), "sample-texts")
     room: dict = {}
-    chosen = []
+    chosen: dict = {}
+    passed: dict = {}
     for y, place, n in texts.select("_y", "_place", F.length("text")).orderBy("_y", "_place").collect():
-        room[y] = room.get(y, max_chars) - n
-        if room[y] >= 0:
-            chosen.append((y, place))
+        if n <= room.setdefault(y, max_chars):
+            room[y] -= n
+            chosen.setdefault(y, set()).add(place)
+        else:
+            passed.setdefault(y, place)
+    for y, place in passed.items():
+        if room[y] == max_chars:
+            chosen.setdefault(y, set()).add(place)
     if not chosen:
         return []
-    last = {}
-    for y, place in chosen:
-        last.setdefault(y, set()).add(place)
     wanted = F.lit(False)
-    for y, places in last.items():
+    for y, places in chosen.items():
         wanted = wanted | ((F.col("_y") == F.lit(y)) & F.col("_place").isin(places))
-    return [(r["text"], r["_y"]) for r in texts.where(wanted).orderBy("_place", "_y").collect()]
+    # one character more than there is room for tells whether a text goes on
+    found = texts.where(wanted).select(F.substring("text", 1, max_chars + 1).alias("text"), "_y", "_place").orderBy("_place", "_y")
+    return [(first_words(r["text"], max_chars), r["_y"]) for r in found.collect()]
+
+
+def first_words(text: str, most: int) -> str:
+    """The text itself, or as many of its first words as ``most`` characters hold; a longer word is cut."""
+    if len(text) <= most:
+        return text
+    cut = text[:most]
+    return cut if text[most].isspace() else (cut.rsplit(None, 1)[:-1] or [cut])[0]
 
 
 class WordHashes(dict):

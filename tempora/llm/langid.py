@@ -15,7 +15,8 @@ characters form one chain in which each text's first word forgets what came befo
 into blocks whose transfer matrices are multiplied side by side, then the blocks are chained.
 
 The learning sample: per language ``MAX_ROWS`` rows by hash of doc_id, as far as ``MAX_CHARS``
-characters go, never held-out rows or rows without lang.  The languages are those of the sample.
+characters go (``common.sample_texts``), never held-out rows or rows without lang.  The languages
+are those of the sample.
 
 Defined results: a null text or one without letters is ``und`` with score 0.0; so is every text when
 there is nothing to learn from; equal sums go to the language that sorts first; other columns pass

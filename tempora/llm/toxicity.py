@@ -11,7 +11,7 @@ the gradients met so far (one number per matrix, so that rare slots don't take t
 ones).
 
 The sample: per class, ``MAX_ROWS`` labelled rows by hash of doc_id, as far as ``MAX_CHARS``
-characters go; whole texts only.  Both are documented bounds on what
+characters go (``common.sample_texts``).  Both are documented bounds on what
 the driver holds.  Everything else covers all rows: because the model is linear in the words, a
 task needs one number per vector slot, and it scores whole texts word by word.
 

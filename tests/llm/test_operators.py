@@ -30,6 +30,22 @@ def documents(spark, texts, source="s"):
 ODD = [None, "", "   ", "a", "\n\n", "ä" * 3000, " ".join(["word"] * 3000), "x" * 70_000]
 
 
+# learning samples
+
+def test_a_long_text_ranked_first_leaves_room_for_the_others(spark):
+    docs = documents(spark, ["long " * 30, "short a", "short b", "word " * 40, "", None, "x" * 99])
+    picked = spark.createDataFrame([(0, "p", 1), (1, "p", 2), (2, "p", 3), (3, "q", 1), (4, "q", 2), (6, "r", 1)], "_id long, _y string, _place int")
+    found = common.sample_texts(docs, picked, 17)
+    assert sorted(found) == [("", "q"), ("short a", "p"), ("short b", "p"), ("word word word", "q"), ("x" * 17, "r")]
+    assert common.sample_texts(docs, picked.limit(0), 17) == []
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    docs = spark.createDataFrame([(i, t * (40 if y == "de" else 1), y) for i, (t, y) in enumerate((f"{t} ", y) for t, y in LEARN)], "doc_id long, text string, lang string")
+    found = langid.identify(docs.limit(2), langid.fit(docs, max_chars=1_000)).collect()
+    assert [r.lang_pred for r in found] == ["en", "de"]
+
+
 # line dedup
 
 def test_lines_over_the_ratio_go_and_others_stay(spark):
