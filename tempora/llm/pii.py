@@ -10,10 +10,12 @@ letters or more within ``NEAR`` characters of its spans co-occur with it.  Over
 
     IC(e) = ln(N / df(e)),  PMI(e, t) = ln(N * n(e, t) / (df(e) * df(t))),
 
-where df counts the documents that hold e or t and n(e, t) those where t stands near e.  A term
-discloses an entity if n(e, t) >= ``SUPPORT`` and PMI(e, t) >= ``DISCLOSURE`` * IC(e): knowing the
-term then gives away (nearly) all that knowing the entity says.  It becomes a span of kind ``term``
-near that entity.  In sanitised text, base spans become their kind in brackets, terms with
+where df counts the documents that hold e or t and n(e, t) those where t stands near e.  PMI is
+ln(P(e|t) / P(e)), and P(e|t) = n(e, t) / df(t) says little when the counts are low, so it is
+estimated as (n(e, t) + ``PRIOR`` * P(e)) / (df(t) + ``PRIOR``), as if ``PRIOR`` further documents held t
+by chance; there is no least count.  A term discloses an entity if PMI(e, t) >= ``DISCLOSURE`` * IC(e):
+knowing the term then gives away (nearly) all that knowing the entity says.  It becomes a span of
+kind ``term`` near that entity.  In sanitised text, base spans become their kind in brackets, terms with
 PMI >= ``REMOVAL`` * IC are removed and the other ones generalised to ``[term]``.
 
 Scale: co-occurrence is linear in the spans (a window each), never terms times entities of a text;
@@ -33,7 +35,7 @@ from tempora.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 80
-SUPPORT = 3
+PRIOR = 0.25
 DISCLOSURE = 0.9
 REMOVAL = 0.97
 
@@ -122,23 +124,28 @@ def _entity() -> Column:
     return F.concat_ws(":", "kind", value)
 
 
-def term_spans(rows: DataFrame, base: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def _disclosure() -> Column:
+    """PMI / IC from ``n, n_entity, n_term, n_both``."""
+    chance = F.col("n_entity") / F.col("n")
+    given = (F.col("n_both") + PRIOR * chance) / (F.col("n_term") + PRIOR)
+    return F.log(given / chance) / -F.log(chance)
+
+
+def term_spans(rows: DataFrame, base: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """``key, tag, kind, start, end, disclosure``: words near entities that give them away."""
     left = _words(F.col("left"), F.col("start") - F.length("left"), F.col("gap") > NEAR, F.lit(False))
     right = _words(F.col("right"), F.col("end"), F.lit(False), F.col("next_gap") > NEAR)
     near = base.withColumn("entity", _entity()).select("entity", "key", "tag", F.explode(F.concat(left, right)).alias("w"))
     near = near.select("entity", "key", "tag", "w.term", "w.start", "w.end")
     together = near.select("entity", "term", "key", "tag").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    together = common.stored(together.where(F.col("n_both") >= support), "terms-near")
+    together = common.stored(together, "terms-near")
     entities = base.select(_entity().alias("entity"), "key", "tag").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # a word counts once per text; the count of texts themselves rides along under an empty word
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
     counted = common.stored(rows.select(F.explode(F.concat(F.array(F.lit("")), words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "words")
     total = counted.where("term = ''").select(F.col("n_term").alias("n"))
     known = together.join(entities, "entity").join(counted, "term").join(F.broadcast(total))  # total is one row
-    content = F.log(F.col("n") / F.col("n_entity"))
-    shared = F.log(F.col("n") * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    known = known.where(content > 0).select("entity", "term", (shared / content).alias("disclosure"))
+    known = known.where("n_entity < n").select("entity", "term", _disclosure().alias("disclosure"))
     telling = common.stored(known.where(F.col("disclosure") >= disclosure), "terms-telling")
     found = near.join(telling, ["entity", "term"])
     return found.groupBy("key", "tag", F.lit("term").alias("kind"), "start", "end").agg(F.max("disclosure").alias("disclosure"))

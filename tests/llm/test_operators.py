@@ -326,6 +326,13 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii.find(bare.limit(0)).count() == 0
 
 
+def test_a_term_beside_an_entity_of_one_document_gives_it_away(spark):
+    texts = ["mail Zorblatt there: x@y.example today", "meet Quuxley there: a@b.example today", "meet Quuxley there: a@b.example today"] + ["they meet there today and mail"] * 200
+    found = pii.find(documents(spark, texts))
+    assert [r.spans for r in pii.digests(found).orderBy("doc_id").collect()[:4]] == ["email:21:32,term:5:13"] + ["email:20:31,term:5:12"] * 2 + [""]
+    assert pii.sanitised(documents(spark, texts), found).where("doc_id = 0").first().text == "mail [term] there: [email] today"
+
+
 # chat
 
 def conversations(spark, rows):
