@@ -5,22 +5,27 @@ its test; failing matches are dropped.  The patterns are written without needles
 that a long run of letters or digits costs its length, not its square; they match what the plain
 ones match.  Positions come from the lengths of matches and of the text between them, summed per text.
 
-*Terms* by information-theoretic sanitisation: an entity is the value of a base span.  Words of four
-letters or more within ``NEAR`` characters of its spans co-occur with it.  Over the whole corpus
+*Terms* by information-theoretic sanitisation: an entity is the value of a base span, a term a word
+of four letters or more of a document that holds an entity, wherever it stands.  Over the whole corpus
 
     IC(e) = ln(N / df(e)),  PMI(e, t) = ln(N * n(e, t) / (df(e) * df(t))),
 
-where df counts the documents that hold e or t and n(e, t) those where t stands near e.  PMI is
+where df counts the documents that hold e or t and n(e, t) those that hold both.  PMI is
 ln(P(e|t) / P(e)), and P(e|t) = n(e, t) / df(t) says little when the counts are low, so it is
 estimated as (n(e, t) + ``PRIOR`` * P(e)) / (df(t) + ``PRIOR``), as if ``PRIOR`` further documents held t
 by chance; there is no least count.  A term discloses an entity if PMI(e, t) >= ``DISCLOSURE`` * IC(e):
-knowing the term then gives away (nearly) all that knowing the entity says.  It becomes a span of
-kind ``term`` near that entity.  In sanitised text, base spans become their kind in brackets, terms with
-PMI >= ``REMOVAL`` * IC are removed and the other ones generalised to ``[term]``.
-
-Scale: co-occurrence is linear in the spans (a window each), never terms times entities of a text;
-document counts of words are distinct per text first and combined before the shuffle; texts
-themselves are not shuffled.  Spans of one text are ordered per text and kind.
+knowing the term then gives away (nearly) all that knowing the entity says.  Every place of it in
+every document that holds the entity becomes a span of kind ``term``.  In sanitised text, base spans
+become their kind in brackets, terms with PMI >= ``REMOVAL`` * IC are removed and the other ones
+generalised to ``[term]``.
+
+Scale: a term discloses e only if df(t) <= ``reach`` = df(e) * (N / df(e)) ** (1 - ``DISCLOSURE``), since
+the estimate lies between n / df(t) and P(e), and n <= df(e).  So only words that are about as rare
+as an entity of their document meet its entities, and entities that stand in the same documents,
+which all terms treat alike, count as one; an entity that stands once adds no pairs to the others of
+its document.  Words are listed with their places only for documents that hold an entity; document
+counts of words are distinct per text first and combined before the shuffle; texts themselves are not
+shuffled.  Spans and words of one text are ordered per text.
 
 Defined results: a null text is an empty one; null and repeated doc_ids are told apart by their text,
 rows that repeat both get the same spans each; extra columns are left alone.
@@ -34,7 +39,6 @@ from pyspark.sql import functions as F
 from tempora.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 80
 PRIOR = 0.25
 DISCLOSURE = 0.9
 REMOVAL = 0.97
@@ -75,15 +79,13 @@ def passes(kind: Column, value: Column) -> Column:
 
 
 def _matches(kind: str, text: Column) -> Column:
-    """Array of matches with the text before and after, the latter cut to ``NEAR`` characters."""
+    """Array of matches with the length of the text before; null if there is none."""
     pattern = PATTERNS[kind]
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     found = F.transform(
-        F.arrays_zip(values.alias("value"), F.slice(between, 1, F.size(values)).alias("before"), F.slice(between, 2, F.size(values)).alias("after")),
-        lambda m, i: F.struct(
-            F.lit(kind).alias("kind"), i.alias("i"), m["value"].alias("value"), F.length(m["before"]).alias("gap"), F.length(m["after"]).alias("next_gap"),
-            F.right(m["before"], F.lit(NEAR)).alias("left"), F.left(m["after"], F.lit(NEAR)).alias("right")))
+        F.arrays_zip(values.alias("value"), F.slice(between, 1, F.size(values)).alias("before")),
+        lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), m["value"].alias("value"), F.length(m["before"]).alias("gap")))
     hint = text.contains(HINTS[kind]) if kind in HINTS else F.lit(True)
     return F.when(hint & text.rlike(pattern), found)
 
@@ -93,30 +95,31 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", key.alias("key"), common.text_tag(F.col("text")).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _hits(text: Column) -> Column:
+    """Matches of all kinds, before their tests."""
+    return F.flatten(F.filter(F.array(*(_matches(k, text) for k in KINDS)), lambda found: found.isNotNull()))
+
+
 def base_spans(rows: DataFrame) -> DataFrame:
-    """``key, tag, kind, start, end, value, left, right, gap, next_gap`` of ``keyed`` rows."""
-    every = F.filter(F.array(*(_matches(k, F.col("text")) for k in KINDS)), lambda found: found.isNotNull())
-    hits = rows.select("key", "tag", F.explode(F.flatten(every)).alias("m")).select("key", "tag", "m.*")
+    """``key, tag, kind, start, end, value`` of ``keyed`` rows."""
+    hits = rows.select("key", "tag", F.explode(_hits(F.col("text"))).alias("m")).select("key", "tag", "m.*")
     hits = hits.dropDuplicates(["key", "tag", "kind", "i"])
     place = Window.partitionBy("key", "tag", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum((F.col("gap") + F.length("value")).cast("long")).over(place)
     found = hits.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
-    return found.where(passes(F.col("kind"), F.col("value"))).drop("i")
+    return found.where(passes(F.col("kind"), F.col("value"))).drop("i", "gap")
 
 
-def _words(text: Column, offset: Column, cut_left: Column, cut_right: Column) -> Column:
-    """Terms of a short text with their places; one that the cut may have shortened is left out."""
+def words_beside(rows: DataFrame) -> DataFrame:
+    """``key, tag, term, start, end`` of the words of every text that holds an entity."""
+    text = F.col("text")
     values = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    lengths = F.transform(F.split(text, TERM, -1), F.length)
-
-    def word(v: Column, i: Column) -> Column:
-        n = i + 1
-        before = F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
-        before = before + F.aggregate(F.slice(values, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-        return F.struct(F.lower(v).alias("term"), before.alias("at"), (offset + before).alias("start"), (offset + before + F.length(v)).alias("end"), F.length(v).alias("n"))
-
-    whole = F.transform(values, word)
-    return F.filter(whole, lambda w: ~(cut_left & (w["at"] == 0)) & ~(cut_right & (w["at"] + w["n"] == F.length(text))))
+    gaps = F.slice(F.transform(F.split(text, TERM, -1), F.length), 1, F.size(values))
+    word = F.posexplode(F.arrays_zip(F.transform(values, F.lower).alias("term"), F.transform(values, F.length).alias("n"), gaps.alias("gap")))
+    holding = rows.where(F.exists(_hits(text), lambda m: passes(m["kind"], m["value"])))
+    words = holding.select("key", "tag", word.alias("i", "w")).select("key", "tag", "i", "w.*").dropDuplicates(["key", "tag", "i"])
+    place = Window.partitionBy("key", "tag").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return words.withColumn("end", F.sum((F.col("gap") + F.col("n")).cast("long")).over(place)).select("key", "tag", "term", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def _entity() -> Column:
@@ -132,23 +135,24 @@ def _disclosure() -> Column:
 
 
 def term_spans(rows: DataFrame, base: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``key, tag, kind, start, end, disclosure``: words near entities that give them away."""
-    left = _words(F.col("left"), F.col("start") - F.length("left"), F.col("gap") > NEAR, F.lit(False))
-    right = _words(F.col("right"), F.col("end"), F.lit(False), F.col("next_gap") > NEAR)
-    near = base.withColumn("entity", _entity()).select("entity", "key", "tag", F.explode(F.concat(left, right)).alias("w"))
-    near = near.select("entity", "key", "tag", "w.term", "w.start", "w.end")
-    together = near.select("entity", "term", "key", "tag").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    together = common.stored(together, "terms-near")
-    entities = base.select(_entity().alias("entity"), "key", "tag").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    """``key, tag, kind, start, end, disclosure``: words that give away an entity of their text."""
     # a word counts once per text; the count of texts themselves rides along under an empty word
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
     counted = common.stored(rows.select(F.explode(F.concat(F.array(F.lit("")), words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), "words")
-    total = counted.where("term = ''").select(F.col("n_term").alias("n"))
-    known = together.join(entities, "entity").join(counted, "term").join(F.broadcast(total))  # total is one row
-    known = known.where("n_entity < n").select("entity", "term", _disclosure().alias("disclosure"))
-    telling = common.stored(known.where(F.col("disclosure") >= disclosure), "terms-telling")
-    found = near.join(telling, ["entity", "term"])
-    return found.groupBy("key", "tag", F.lit("term").alias("kind"), "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    total = F.broadcast(counted.where("term = ''").select(F.col("n_term").alias("n")))  # one row
+    holders = base.select(_entity().alias("entity"), "key", "tag").distinct()
+    alike = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), *(F.bit_xor(F.xxhash64("key", "tag", F.lit(i))).alias(f"x{i}") for i in (0, 1)))
+    entities = alike.groupBy("n_entity", "x0", "x1").agg(F.min("entity").alias("entity")).join(total).where("n_entity < n")
+    reach = F.col("n_entity") * F.pow(F.col("n") / F.col("n_entity"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    held = common.stored(holders.join(entities.select("entity", "n", "n_entity", reach.alias("reach")), "entity"), "entities-held")
+    beside = common.stored(words_beside(rows), "words-beside")
+    farthest = held.groupBy("key", "tag").agg(F.max("reach").alias("farthest"))
+    rare = beside.select("key", "tag", "term").distinct().join(farthest, ["key", "tag"]).join(counted, "term").where("n_term <= farthest")
+    both = common.stored(rare.join(held, ["key", "tag"]).where("n_term <= reach").select("entity", "term", "key", "tag", "n", "n_entity", "n_term"), "terms-beside")
+    together = both.groupBy("entity", "term", "n", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both"))
+    telling = together.select("entity", "term", _disclosure().alias("disclosure")).where(F.col("disclosure") >= disclosure)
+    found = both.select("entity", "term", "key", "tag").join(telling, ["entity", "term"]).groupBy("key", "tag", "term").agg(F.max("disclosure").alias("disclosure"))
+    return beside.join(found, ["key", "tag", "term"]).select("key", "tag", F.lit("term").alias("kind"), "start", "end", "disclosure")
 
 
 def find(docs: DataFrame) -> DataFrame:

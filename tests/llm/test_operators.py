@@ -333,6 +333,14 @@ def test_a_term_beside_an_entity_of_one_document_gives_it_away(spark):
     assert pii.sanitised(documents(spark, texts), found).where("doc_id = 0").first().text == "mail [term] there: [email] today"
 
 
+def test_terms_far_from_their_entity_are_marked_wherever_they_stand(spark):
+    gap = "they meet there today and mail " * 4
+    texts = [f"Zorblatt {gap}x@y.example {gap}zorblatt", f"x@y.example {gap}", f"{gap}Zorblatt, x@y.example p@q.example r@s.example"] + [gap] * 300
+    rows = {r.doc_id: r.spans for r in pii.digests(pii.find(documents(spark, texts + ["they today"]))).collect()}
+    assert rows[0].split(",")[1:] == ["term:0:8", f"term:{len(texts[0]) - 8}:{len(texts[0])}"]
+    assert "term" not in rows[1] and "term" not in rows[3] and rows[2].split(",")[3:] == ["term:124:132"]
+
+
 # chat
 
 def conversations(spark, rows):
