@@ -8,7 +8,7 @@ and zero vectors of weight ``NEUTRAL`` keep texts of few words near the bias; a
 two classes stands on top.  Vectors and softmax are learned together by gradient descent
 on the cross entropy, in which both classes weigh the same; each of the three step sizes falls with
 the gradients met so far (one number per matrix, so that rare slots don't take the steps of telling
-ones).
+ones).  Every slot that stands in ``LEAST_TEXTS`` texts of the sample has a vector of its own.
 
 The sample: per class, ``MAX_ROWS`` labelled rows by hash of doc_id, as far as ``MAX_CHARS``
 characters go (``common.sample_texts``).  Both are documented bounds on what
@@ -43,8 +43,8 @@ EPOCHS = 400
 TOXIC_WEIGHT = 0.3  # of the loss; the rest is on class 0
 RATE = 1.0
 DECAY = 1e-6
-MAX_LEARNED = 12_288  # slots with a vector of their own: the most widespread of the sample
-LEAST_TEXTS = 5
+LEAST_TEXTS = 5  # of the sample hold every slot that has a vector of its own
+DENSE = 12_288  # the most widespread slots are held as a dense matrix, all others as a sparse one
 SMOOTH = 1e-3
 NEUTRAL = 10.0  # weight of the zero vectors that every text is averaged with
 WORD = re.compile(r"[^\W\d_]{1,64}")  # a longer run of letters is read as several words
@@ -85,6 +85,50 @@ def slots_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return of_word[order], slot[order]
 
 
+class Texts:
+    """What texts get from each slot of ``used``, the most widespread first: a dense and a sparse matrix."""
+
+    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]], used: np.ndarray, block: int = 1 << 16):
+        place = np.full(SLOTS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        self.shape = len(entries), len(used)
+        self.dense = np.zeros((len(entries), min(DENSE, len(used))), np.float32)
+        texts, slots, values = [], [], []
+        for i, (slot, value) in enumerate(entries):
+            at = place[slot]
+            near, far = (at >= 0) & (at < DENSE), at >= DENSE
+            self.dense[i, at[near]] = value[near]
+            texts.append(np.full(far.sum(), i, np.int32))
+            slots.append(at[far] - DENSE)
+            values.append(value[far])
+        text, slot, value = (np.concatenate(x) for x in (texts, slots, values))
+        self.rest = [self._blocks(text, slot, value, block), self._blocks(slot, text, value, block)]
+
+    @staticmethod
+    def _blocks(to: np.ndarray, of: np.ndarray, value: np.ndarray, block: int) -> list[tuple]:
+        order = np.argsort(to, kind="stable")
+        to, of, value = to[order], of[order].astype(np.intp), value[order]
+        parts = [slice(i, i + block) for i in range(0, len(to), block)]
+        return [(*np.unique(to[p], return_index=True), of[p], value[p]) for p in parts]
+
+    @staticmethod
+    def _product(parts: list[tuple], dense: np.ndarray, size: int) -> np.ndarray:
+        columns = np.ascontiguousarray(dense.T)  # one by one, which numpy adds up much faster than rows
+        out = np.zeros((len(columns), size), np.float32)
+        for to, starts, of, value in parts:
+            for column, total in zip(columns, out, strict=True):
+                total[to] += np.add.reduceat(column.take(of) * value, starts)
+        return out.T
+
+    def times(self, vectors: np.ndarray) -> np.ndarray:
+        wide = self.dense.shape[1]
+        return self.dense @ vectors[:wide] + self._product(self.rest[0], vectors[wide:], self.shape[0])
+
+    def back(self, dense: np.ndarray) -> np.ndarray:
+        """The transposed matrix times ``dense``."""
+        return np.concatenate([self.dense.T @ dense, self._product(self.rest[1], dense, self.shape[1] - self.dense.shape[1])])
+
+
 def learning_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int) -> list[tuple[str, int]]:
     """Whole texts and labels; only rows that are not held out, at most ``max_rows`` per class."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null")
@@ -124,13 +168,10 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) ->
         values = np.bincount(where, np.repeat(part / np.maximum(n, 1) / (part.sum() + NEUTRAL), n), len(slots))
         entries.append((slots.astype(np.int32), values.astype(np.float32)))
         seen[slots] += 1
-    used = np.sort(np.argsort(-seen, kind="stable")[:MAX_LEARNED])
+    used = np.argsort(-seen, kind="stable")
     used = used[seen[used] >= LEAST_TEXTS]
-    texts = np.zeros((len(bags), len(used)), np.float32)
-    for row, (slots, values) in zip(texts, entries, strict=True):
-        at = np.searchsorted(used, slots)
-        hit = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == slots) if len(used) else np.zeros(len(slots), bool)
-        row[at[hit]] = values[hit]
+    texts = Texts(entries, used)
+    del bags, entries
 
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
@@ -140,13 +181,13 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) ->
     rows = np.where(y == 1, TOXIC_WEIGHT / (y == 1).sum(), (1 - TOXIC_WEIGHT) / (y == 0).sum()).astype(np.float32)
     squares = [np.full_like(a, 1e-10) for a in (vectors, top, bias)]
     for _ in range(epochs):
-        hidden = texts @ vectors
+        hidden = texts.times(vectors)
         logits = hidden @ top + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         p *= rows[:, None]
-        gradients = (texts.T @ (p @ top.T) + DECAY * vectors, hidden.T @ p, p.sum(0))
+        gradients = (texts.back(p @ top.T) + DECAY * vectors, hidden.T @ p, p.sum(0))
         for value, gradient, square in zip((vectors, top, bias), gradients, squares, strict=True):
             square += gradient * gradient
             value -= RATE * gradient / np.sqrt(square)

@@ -242,6 +242,23 @@ def test_unseen_misspelling_scores_like_its_word():
     assert plain < 0.5 < min(bad, misspelt) and empty == none and 0 <= empty <= 1
 
 
+def test_every_slot_of_five_texts_is_learned():
+    pick = random.Random(5)
+    common_words = " ".join("".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(900))
+    model = toxicity.train([(common_words + " dreadfulness" * (i < 6), int(i < 30)) for i in range(60)], epochs=3)
+    assert model.slot_logit[toxicity.slots_of(["dreadfulness"])[1]].all()
+
+
+def test_texts_by_slots_multiply_as_one_matrix(monkeypatch):
+    monkeypatch.setattr(toxicity, "DENSE", 7)
+    gen = np.random.default_rng(1)
+    plain = (gen.random((9, 40)) * (gen.random((9, 40)) < 0.3)).astype(np.float32)
+    used = gen.permutation(40)[:30]
+    texts = toxicity.Texts([(np.flatnonzero(r).astype(np.int32), r[r != 0]) for r in plain], used, block=5)
+    right, left = gen.random((30, 3)).astype(np.float32), gen.random((9, 3)).astype(np.float32)
+    assert np.allclose(texts.times(right), plain[:, used] @ right, atol=1e-5) and np.allclose(texts.back(left), plain[:, used].T @ left, atol=1e-5)
+
+
 def test_toxicity_of_odd_rows_and_nothing_to_learn(spark):
     docs = documents(spark, ODD)
     labels = spark.createDataFrame([(0, 1, 1), (1, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
