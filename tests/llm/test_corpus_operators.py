@@ -4,7 +4,7 @@ import hashlib
 import random
 import struct
 
-import brute
+import corpus_brute as brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F

@@ -1,10 +1,10 @@
 """The registered queries against their SQL, and the pipeline against a plain version of its stages."""
 
-import brute
+import corpus_brute as brute
 import corpus_pipeline
 import pytest
 from catalog import check
-from conftest_small import SMALL
+from helpers import SMALL
 from tempora.llm import common, line_dedup, queries, toxicity
 
 
