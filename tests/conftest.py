@@ -7,7 +7,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import catalog.scratch  # noqa: E402,F401
 
-SMALL = "/root/testdata/sf0.001"
+from helpers import SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -30,9 +30,3 @@ def store(spark):
     from tempora.sources import feeds
 
     return feeds.activity_store(spark, SMALL)
-
-
-def rows(df, *cols):
-    """Sorted tuples of a DataFrame, nulls included."""
-    picked = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

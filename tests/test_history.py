@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import SMALL, rows
+from helpers import SMALL, rows
 from tempora.operators import history as H
 from tempora.operators.tree import with_folder_counters
 from tempora.schemas import ITEMS, VERSIONS

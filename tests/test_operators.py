@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL, rows
+from helpers import SMALL, rows
 from tempora.operators import asof, browse, checks, domains, hashes, review, scans, scanstats, tasks
 from tempora.plans.sizing import scratch_path
 from tempora.sources import feeds, files, tables

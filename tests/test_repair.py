@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from tempora.operators import repair
 
 FIELDS = ("is_added", "is_deleted", "access", "mod_date", "size", "add_count", "modify_count", "delete_count",

@@ -1,4 +1,4 @@
-from conftest import SMALL, rows
+from helpers import SMALL, rows
 from catalog.s_streaming import HISTORY, stream_history
 from tempora.schemas import ROOTS
 from tempora.sources import feeds

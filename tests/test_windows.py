@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from tempora.plans import sizing
 from tempora.plans.windows import PLAIN_WINDOW_LIMIT, choose_span, with_neighbours, with_running
 
