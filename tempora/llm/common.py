@@ -188,6 +188,42 @@ def in_slices(make: Callable[[pa.RecordBatch], pa.RecordBatch]):
     return run
 
 
+def in_gathered_slices(make: Callable[[pa.Table], pa.RecordBatch], column: str, most: int = 4_000_000):
+    """For mapInArrow over many short values: ``make`` gets about ``most`` bytes of ``column`` at a time,
+    gathered over batches, so that what it counts is combined well before it is sent on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+            for begin, end in cuts(sizes, most):
+                size = sum(sizes[begin:end])
+                if held and total + size > most:
+                    yield make(pa.Table.from_batches(held))
+                    held, total = [], 0
+                held.append(batch.slice(begin, end - begin))
+                total += size
+        if held:
+            yield make(pa.Table.from_batches(held))
+
+    return run
+
+
+def bit_table(slots: DataFrame, bits: int) -> np.ndarray:
+    """A table of ``2**bits`` bits, set at the numbers in column ``slot``; at most 2**(bits-6) rows reach
+    the driver, whatever the input."""
+    marked = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    found = marked.toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def marked_in(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``node, root`` of every node in ``edges(a, b)``: nodes are connected iff they share a root.
 

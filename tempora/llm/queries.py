@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import chat, common, decontaminate, langid, line_dedup, near_dedup, pii, sentencepiece, substring_dedup, topk, toxicity
+from tempora.llm import chat, collocation, common, decontaminate, langid, line_dedup, near_dedup, pii, sentencepiece, substring_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -145,3 +145,41 @@ def op9(spark, sf_dir):
 @query("op10_chat_formatting")
 def op10(spark, sf_dir):
     return chat.repair(common.table(spark, sf_dir, "conversations"))
+
+
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w)) AS n FROM cut GROUP BY lang),
+begun AS (SELECT lang, w, unnest(range(len(w))) AS i FROM cut),
+grams AS (
+  SELECT lang, m AS size, array_to_string(w[i + 1:i + m], ' ') AS phrase
+  FROM begun, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE i + m <= len(w)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, size, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head,
+         array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM f, (SELECT unnest([1, 2, 3]) AS k) WHERE k < size),
+scores AS (
+  SELECT c.*, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f::HUGEINT + y.f) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail),
+best AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM best, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < size AND i + m - 1 <= size GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN inner_ o USING (lang, phrase)
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+@query("op13_phrase_collocations", PHRASES)
+def op13(spark, sf_dir):
+    return collocation.collocations(common.table(spark, sf_dir, "documents").select("lang", "text"))
