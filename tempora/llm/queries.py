@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import chat, collocation, common, decontaminate, langid, line_dedup, near_dedup, pii, sentencepiece, substring_dedup, topk, toxicity
+from tempora.llm import chat, collocation, common, decontaminate, langid, line_dedup, near_dedup, pii, sentencepiece, spelling, substring_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -147,6 +147,49 @@ def op10(spark, sf_dir):
     return chat.repair(common.table(spark, sf_dir, "conversations"))
 
 
+SPELLING = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)),
+named AS (SELECT run, n, doc_id, hex(doc_id || ':' || run) AS x FROM counted),
+bytes AS (
+  SELECT run, n, doc_id, list_transform(range(length(x) // 2), lambda i:
+           (instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1) AS b
+  FROM named),
+hashed AS (
+  SELECT run, n, doc_id, xor(list_reduce(list_prepend(4294967295, b), lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)])), 4294967295) AS h
+  FROM bytes, crc),
+cut AS (
+  SELECT n, CASE WHEN doc_id IS NOT NULL AND h % 199 = 0
+                 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+fewer AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS v FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n FROM fewer a JOIN fewer b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM fewer a JOIN words b ON a.v = b.word
+  UNION SELECT b.word, a.word, a.n FROM fewer a JOIN words b ON a.v = b.word),
+near AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS best, max(n) AS best_n FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form,
+         CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN near USING (word)),
+way AS (
+  SELECT word, word AS now, 0 AS steps FROM forms
+  UNION ALL SELECT way.word, f.form, steps + 1 FROM way JOIN forms f ON f.word = way.now WHERE f.form IS NOT NULL),
+top AS (SELECT word, arg_max(now, steps) AS root FROM way GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN top USING (word)"""
+
+
+@query("op11_spelling_variants", SPELLING)
+def op11(spark, sf_dir):
+    return spelling.variants(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 PHRASES = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
