@@ -46,7 +46,7 @@ WITHIN = 80  # percent of a phrase's occurrences that lie in a longer one
 SCALE = 2_000_000
 LONGEST = 4
 OVERLAP = LONGEST - 1
-EVERY = 16
+EVERY = 32
 BITS = 26
 PART = 50_000  # candidates of a language that one task ranks
 
@@ -64,8 +64,12 @@ def chunks(tokens: list[bytes], hashes: common.WordHashes) -> list[bytes]:
         return []
     stream = [*tokens, *[BREAK] * OVERLAP]
     triggers = np.flatnonzero(common.runs(hashes.of(stream), tuple(range(OVERLAP)))[:len(tokens)] % np.uint64(EVERY) == 0)
-    begins = [0, *triggers[triggers > 0].tolist()]
-    return [b" ".join(stream[a:b + OVERLAP]) for a, b in zip(begins, [*begins[1:], len(tokens)], strict=True)]
+    begins = np.concatenate([[0], triggers[triggers > 0]])
+    offset = np.cumsum(np.fromiter(map(len, stream), np.int64, len(stream)) + 1)  # where the token after each one begins
+    ends = offset[np.concatenate([begins[1:], [len(tokens)]]) + OVERLAP - 1] - 1
+    begins = np.where(begins > 0, offset[begins - 1], 0)
+    text = b" ".join(stream)
+    return [text[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -87,16 +91,17 @@ def dictionary(docs: DataFrame) -> DataFrame:
 class Slice:
     """The tokens of some chunks of one language, as codes of its distinct words."""
 
-    def __init__(self, lang: str, chunk: list[bytes], n: np.ndarray):
-        tokens = [c.split(b" ") for c in chunk]
-        sizes = np.array([len(t) for t in tokens])
-        coded = pa.array([w for t in tokens for w in t], pa.binary()).dictionary_encode()
+    def __init__(self, lang: str, chunk: pa.Array, n: np.ndarray):
+        tokens = pc.split_pattern(chunk, " ")
+        coded = tokens.values.dictionary_encode()
+        sizes = np.diff(tokens.offsets.to_numpy())
         self.words, self.codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         self.weight = np.repeat(n, sizes)
         last = np.repeat(np.cumsum(sizes), sizes)  # a phrase that begins in the closing run belongs to the next chunk
         self.own = np.arange(len(self.codes)) < last - OVERLAP
         self.word = self.codes != pc.index(self.words, pa.scalar(BREAK, pa.binary())).as_py()
-        self.lang, self.hash = lang, common.signed(common.WordHashes().of(self.words.to_pylist())).view(np.uint64)
+        self.lang = lang
+        self.hash = common.WordHashes().of(self.words.to_pylist())
 
     def slots(self, *codes: np.ndarray) -> np.ndarray:
         return slots(self.lang, [self.hash[c] for c in codes])
@@ -140,9 +145,11 @@ def pairs(s: Slice, table: np.ndarray) -> list[tuple]:
 
 def longer(s: Slice, table: np.ndarray) -> list[tuple]:
     after = s.ahead(s.codes, 1)
-    good = s.word & s.ahead(s.word, 1) & common.marked_in(table, s.slots(s.codes, after))
-    pair = np.unique(s.codes * len(s.words) + after, return_inverse=True)[1]
-    out = []
+    both = np.flatnonzero(s.word & s.ahead(s.word, 1))
+    both = both[common.marked_in(table, s.slots(s.codes[both], after[both]))]
+    pair = np.full(len(s.codes), -1)  # the number of the frequent pair that begins here
+    pair[both] = np.unique(s.codes[both] * len(s.words) + after[both], return_inverse=True)[1]
+    good, out = pair >= 0, []
     for size in range(3, LONGEST + 1):
         on = s.own.copy()
         for i in range(size - 1):
@@ -159,13 +166,12 @@ def counted(chunks: DataFrame, level, table: np.ndarray | None, least: int, name
     held = None if table is None else chunks.sparkSession.sparkContext.broadcast(table)
 
     def make(rows: pa.Table) -> pa.RecordBatch:
-        lang, chunk, n = (rows.column(c).to_pylist() for c in ("lang", "chunk", "n"))
-        by_lang: dict = {}
-        for i, y in enumerate(lang):
-            by_lang.setdefault(y, []).append(i)
+        chunk, n = (rows.column(c).combine_chunks() for c in ("chunk", "n"))
+        lang = rows.column("lang").combine_chunks().dictionary_encode()
         langs, found, sizes, sums = [], [], [], []
-        for y, at in by_lang.items():
-            s = Slice(y, [chunk[i] for i in at], np.array([n[i] for i in at], np.int64))
+        for code, y in enumerate(lang.dictionary.to_pylist()):
+            at = np.flatnonzero(lang.indices.to_numpy() == code)
+            s = Slice(y, chunk.take(pa.array(at)), n.to_numpy()[at])
             for phrase, size, f in level(s, held.value) if held else level(s):
                 langs += [y] * len(f)
                 sizes.append(np.full(len(f), size, np.int32))
