@@ -31,6 +31,7 @@ doc_ids and further columns play no part.
 from __future__ import annotations
 
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,10 @@ class Slice:
         self.own = np.arange(len(self.codes)) < last - OVERLAP
         self.word = self.codes != pc.index(self.words, pa.scalar(BREAK, pa.binary())).as_py()
         self.lang = lang
-        self.hash = common.WordHashes().of(self.words.to_pylist())
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return common.WordHashes().of(self.words.to_pylist())
 
     def slots(self, *codes: np.ndarray) -> np.ndarray:
         return slots(self.lang, [self.hash[c] for c in codes])

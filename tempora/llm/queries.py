@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import chat, collocation, common, decontaminate, langid, line_dedup, near_dedup, pii, sentencepiece, spelling, substring_dedup, topk, toxicity
+from tempora.llm import chat, collocation, common, decontaminate, langid, line_dedup, lm_score, near_dedup, pii, sentencepiece, spelling, substring_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -190,6 +190,13 @@ def op11(spark, sf_dir):
     return spelling.variants(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op12_lm_scores")
+def op12(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    found = lm_score.score(common.table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 PHRASES = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
