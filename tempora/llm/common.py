@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.plans.sizing import scratch_path, write_and_read
+from tempora.plans.sizing import broadcast_if_small, scratch_path, write_and_read
 
 CACHED_WORDS = 200_000  # a task's word caches are emptied when they hold so many entries
 
@@ -58,9 +58,11 @@ def sample_ids(known: DataFrame, per_class: int) -> DataFrame:
 
     The classes are counted first, so that only about twice as many rows as wanted are ever ranked.
     """
-    sizes = known.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
+    known = stored(known, "sample-known")
+    sizes = stored(known.groupBy("_y").agg(F.count(F.lit(1)).alias("_n")), "sample-sizes")
     rank = F.pmod(F.xxhash64("_id"), F.lit(1 << 40))
-    near = known.withColumn("_rank", rank).join(sizes, "_y").where(
+    # the join goes before any exchange unless there are more classes than a broadcast may hold
+    near = known.withColumn("_rank", rank).join(broadcast_if_small(sizes), "_y").where(
         F.col("_rank") < F.lit(2.0 * per_class * (1 << 40)) / F.col("_n"))
     place = F.row_number().over(Window.partitionBy("_y").orderBy("_rank", "_id"))
     return stored(near.withColumn("_place", place).where(F.col("_place") <= per_class).drop("_n"), "sample-ids")

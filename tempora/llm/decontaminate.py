@@ -3,7 +3,7 @@
 Texts are read as words: ASCII letters lower-cased, ASCII punctuation and blanks between them.  A
 document overlaps a benchmark item if some ``WINDOW`` consecutive words of the item stand in it at
 the same distance from each other, with at most ``SUBSTITUTIONS`` words replaced; an item of fewer
-words (at least ``LEAST_WORDS``) must stand in it whole and unchanged.
+words must stand in it whole and unchanged, at whatever length: ``LEAST_WORDS``, 1, leaves out none.
 
 ``MASKS`` are spaced seeds: fixed patterns of seven word positions with ignored ones between.  Wherever
 two or fewer of 13 words are replaced, at least one mask still fits between them (a test goes through
@@ -18,8 +18,9 @@ travel as one region with the words around them, so that verification needs no t
 diagonals and regions are rows of tables; what one document or one item has of them is bounded by
 its own length.
 
-Defined results: null and empty texts overlap nothing; items of fewer than ``LEAST_WORDS`` words are
-not searched (they would name half of any language); repeated items are each reported; repeated rows
+Defined results: null and empty texts and items overlap nothing; a very short item overlaps every
+document that holds its words in a row (``least_words`` of ``overlaps`` and ``clean`` leaves such items
+out, where a caller wants that); repeated items are each reported; repeated rows
 of a document are reported once; rows with a null doc_id are reported with it; extra columns are
 left alone.
 """
@@ -43,7 +44,7 @@ MASKS = (
 )
 WINDOW = 13
 SUBSTITUTIONS = 2
-LEAST_WORDS = 5
+LEAST_WORDS = 1  # of an item that is searched
 BITS = 26
 MERGE = 32  # hits this close together travel as one region
 
@@ -57,7 +58,7 @@ def words_of(text: str) -> list[bytes]:
 
 def masks_for(lengths: list[int]) -> list[tuple[int, ...]]:
     """The masks, and for each length of items shorter than a window the whole item."""
-    return [*MASKS, *(tuple(range(n)) for n in sorted(set(lengths)) if LEAST_WORDS <= n < WINDOW)]
+    return [*MASKS, *(tuple(range(n)) for n in sorted(set(lengths)) if 0 < n < WINDOW)]
 
 
 def seeds(hashes: np.ndarray, masks: list[tuple[int, ...]]) -> list[tuple[int, np.ndarray]]:
@@ -88,14 +89,14 @@ def regions_of(places: np.ndarray, n_words: int) -> list[tuple[int, int, np.ndar
             for g in np.split(found, np.flatnonzero(np.diff(found) > MERGE) + 1)]
 
 
-def item_table(items: DataFrame) -> DataFrame:
+def item_table(items: DataFrame, least_words: int) -> DataFrame:
     """``item`` (digest of the words), ``words`` (their hashes): each distinct text once."""
 
     def run(batches):
         for batch in batches:
             hashes = common.WordHashes()
             cut = [words_of(t or "") for t in batch.column("text").to_pylist()]
-            at = [i for i, w in enumerate(cut) if len(w) >= LEAST_WORDS]
+            at = [i for i, w in enumerate(cut) if len(w) >= max(1, least_words)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("item_id").take(pa.array(at, pa.int64())), pa.array([common.digest(cut[i]) for i in at], pa.binary()),
                  common.lists([common.signed(hashes.of(cut[i])) for i in at])], names=["item_id", "item", "words"])
@@ -104,7 +105,7 @@ def item_table(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, item binary, words array<bigint>")
 
 
-def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, item_id, first_word, n_words, n_equal``: one row per document row and item it holds.
 
     The place is that of the longest overlap with the item (ties: the first one), in the document's
@@ -112,7 +113,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     common.ship(docs.sparkSession)
     spark = docs.sparkSession
-    named = common.stored(item_table(items), "items")
+    named = common.stored(item_table(items, least_words), "items")
     distinct = common.stored(named.groupBy("item").agg(F.first("words").alias("words")), "items-distinct")
     lengths = [r[0] for r in distinct.select(F.size("words").alias("n")).where(F.col("n") < WINDOW).distinct().collect()]  # at most 12 numbers
     masks = masks_for(lengths)
@@ -199,9 +200,9 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.col("best.e").cast("long").alias("n_equal"))
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs`` that overlap no item, with their columns."""
-    held = common.stored(overlaps(docs, items).select("doc_id", "tag").distinct(), "contaminated")
+    held = common.stored(overlaps(docs, items, least_words).select("doc_id", "tag").distinct(), "contaminated")
     held = held.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
     on = docs["doc_id"].eqNullSafe(held["_id"]) & (common.text_tag(docs["text"]) == held["_tag"])
     return docs.join(held, on, "left_anti")

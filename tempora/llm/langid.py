@@ -61,7 +61,8 @@ class Model:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters and of characters that stand among them; numbers of one character (``½``, ``Ⅳ``) are none."""
+    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 def slots_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

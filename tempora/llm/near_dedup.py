@@ -22,8 +22,9 @@ block with an inverted index over D, only across components, and only links that
 are kept.  Then components are made again.  Every pair that shares a bucket is decided that way, and
 no task holds more than two blocks of bounded size.
 
-Defined results: a null or empty text has no set, is linked with nothing and is kept; a row with a
-null doc_id takes no part: its component_id is null and it is kept; rows that repeat a doc_id are
+Defined results: a null or empty text has no set, is linked with nothing and is kept; in ``components`` a
+row with a null doc_id takes no part: its component_id is null and it is kept (``one_of_each`` counts it
+in); rows that repeat a doc_id are
 rows of their own that share its number; extra columns are left alone.
 """
 
@@ -32,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm import common
@@ -197,17 +198,28 @@ def more_links(cells: DataFrame, roots: DataFrame) -> DataFrame:
     return spread.groupBy("pivot", "i", "j").applyInPandas(join_blocks, "a binary, b binary")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """``doc_id, tag, n_shingles, component_id, kept`` of every row."""
+def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
+    """Null-safe equality of columns."""
+    on = F.lit(True)
+    for name in names:
+        on = on & a[name].eqNullSafe(b[name])
+    return on
+
+
+def grouped(docs: DataFrame, nameless: bool) -> tuple[DataFrame, DataFrame]:
+    """(every row's ``doc_id, tag, class, n_shingles``; ``class, doc_id, tag, root`` of every class): the
+    id and tag of a class are those of its first row, nulls last; ``nameless``: rows without an id take part."""
     common.ship(docs.sparkSession)
     made = common.stored(classes(docs), "classes")
-    named = made.where("doc_id is not null and class is not null")
-    heads = common.stored(named.groupBy("class").agg(F.min(F.struct("doc_id", "tag")).alias("head")).select("class", "head.doc_id", "head.tag"), "heads")
-    banded = named.join(heads, ["class", "doc_id", "tag"]).select("class", "bands").dropDuplicates(["class"])
+    named = made.where("class is not null" if nameless else "doc_id is not null and class is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("head")
+    heads = common.stored(named.groupBy("class").agg(first).select("class", "head.doc_id", "head.tag"), "heads")
+    banded = named.join(heads, (named["class"] == heads["class"]) & same(named, heads, "doc_id", "tag"), "left_semi").select("class", "bands").dropDuplicates(["class"])
     pairs = common.stored(pivots(banded), "pairs")
     involved = pairs.select(F.explode(F.array("pivot", "class")).alias("class")).distinct()
     involved = common.stored(involved.join(heads, "class"), "involved")
-    texts = docs.select("doc_id", common.text_tag(F.col("text")).alias("tag"), "text").join(involved.hint("merge"), ["doc_id", "tag"])
+    texts = docs.select("doc_id", common.text_tag(F.col("text")).alias("tag"), "text")
+    texts = texts.join(involved.hint("merge"), same(texts, involved, "doc_id", "tag")).select("class", "text")
     items = common.stored(sets(texts).dropDuplicates(["class"]), "sets")
     cells = common.stored(compared(pairs, items), "compared")
     links = cells.where("linked").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
@@ -222,18 +234,37 @@ def components(docs: DataFrame) -> DataFrame:
         every = roots.select("node", "root").unionByName(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
                                                          .join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
         roots = common.stored(every.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "near-roots-all")
+    whole = heads.join(roots.withColumnRenamed("node", "class"), "class", "left")
+    return made.drop("bands"), common.stored(whole.select("class", "doc_id", "tag", F.coalesce("root", "class").alias("root")), "rooted")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """``doc_id, tag, n_shingles, component_id, kept`` of every row."""
+    made, rooted = grouped(docs, nameless=False)
     # the smallest doc_id of each component, then of each class
-    least = heads.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
-    smallest = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = common.stored(least.join(smallest, "root").select("class", "component_id"), "found")
-    out = made.drop("bands").join(found, "class", "left")
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = common.stored(rooted.join(smallest, "root").select("class", "component_id"), "found")
+    out = made.join(found, "class", "left")
     component = F.when(F.col("doc_id").isNull() | F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "tag", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; rows that repeat a kept one stay with it."""
-    gone = components(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    gone = common.stored(gone, "gone")
-    return docs.join(gone, (docs["doc_id"] == gone["_id"]) & (common.text_tag(docs["text"]) == gone["_tag"]), "left_anti")
+    """One row of ``docs`` for each component, with its columns: that of the smallest doc_id, rows without
+    one last, then of the smallest text hash; of rows equal in both any one.  Rows without words stay."""
+    made, rooted = grouped(docs, nameless=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("head")
+    heads = rooted.groupBy("root").agg(first).select(F.col("head.doc_id").alias("_id"), F.col("head.tag").alias("_tag"))
+    # what becomes of each (doc_id, tag): rows of it go, or all but one
+    fate = made.where("class is not null").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    fate = fate.join(heads.withColumn("_head", F.lit(True)), (fate["doc_id"].eqNullSafe(F.col("_id"))) & (fate["tag"] == F.col("_tag")), "left")
+    fate = fate.where("_head is null or n > 1").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("_head").isNotNull().alias("_one"))
+    fate = common.stored(fate, "fate")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_d"), common.text_tag(docs["text"]).alias("_t"))
+    on = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tag"))
+    whole = rows.join(fate, on, "left_anti").select("_row.*")
+    if fate.where("_one").isEmpty():
+        return whole
+    repeated = rows.join(fate.where("_one"), on, "left_semi").groupBy("_d", "_t").agg(F.first("_row").alias("_row"))
+    return whole.unionByName(repeated.select("_row.*"))

@@ -41,12 +41,12 @@ pages AS (SELECT source, count(*) AS total FROM cut WHERE source IS NOT NULL GRO
 bad AS (
   SELECT source, trim(line) AS line FROM lines JOIN pages USING (source) WHERE trim(line) <> ''
   GROUP BY source, trim(line), total
-  HAVING count(DISTINCT page) >= {least} AND count(DISTINCT page) > {ratio} * total),
+  HAVING count(DISTINCT page) >= 2 AND count(DISTINCT page) > 0.1 * total),
 kept AS (
   SELECT page, string_agg(l.line, chr(10) ORDER BY place) FILTER (b.line IS NULL) AS kept,
          count(b.line) AS n
   FROM lines l LEFT JOIN bad b ON b.source = l.source AND b.line = trim(l.line) GROUP BY page)
-""".replace("{least}", str(line_dedup.MIN_PAGES)).replace("{ratio}", str(line_dedup.RATIO))
+"""
 
 
 @query("op1_line_dedup", LINES + """
@@ -106,20 +106,20 @@ REPEATS = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (
-  SELECT r, i, array_to_string(w[i + 1:i + {n}], ' ') AS s
-  FROM (SELECT r, w, unnest(range(len(w) - {n} + 1)) AS i FROM d WHERE len(w) >= {n})),
+  SELECT r, i, array_to_string(w[i + 1:i + 35], ' ') AS s
+  FROM (SELECT r, w, unnest(range(len(w) - 35 + 1)) AS i FROM d WHERE len(w) >= 35)),
 repeated AS (
   SELECT r, i FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)),
 words AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
 marked AS (
   SELECT x.r, x.i, word,
-         count(y.i) OVER (PARTITION BY x.r ORDER BY x.i ROWS BETWEEN {n} - 1 PRECEDING AND CURRENT ROW) > 0 AS gone
+         count(y.i) OVER (PARTITION BY x.r ORDER BY x.i ROWS BETWEEN 35 - 1 PRECEDING AND CURRENT ROW) > 0 AS gone
   FROM words x LEFT JOIN repeated y ON y.r = x.r AND y.i = x.i)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN (
   SELECT r, count_if(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
   FROM marked GROUP BY r) USING (r)
-""".replace("{n}", str(substring_dedup.LENGTH))
+"""
 
 
 @query("op7_substring_dedup", REPEATS)

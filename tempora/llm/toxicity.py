@@ -44,7 +44,7 @@ TOXIC_WEIGHT = 0.3  # of the loss; the rest is on class 0
 RATE = 1.0
 DECAY = 1e-6
 LEAST_TEXTS = 5  # of the sample hold every slot that has a vector of its own
-DENSE = 12_288  # the most widespread slots are held as a dense matrix, all others as a sparse one
+DENSE = 4_096  # the most widespread slots are held as a dense matrix, all others as a sparse one
 SMOOTH = 1e-3
 NEUTRAL = 10.0  # weight of the zero vectors that every text is averaged with
 WORD = re.compile(r"[^\W\d_]{1,64}")  # a longer run of letters is read as several words
@@ -89,33 +89,40 @@ class Texts:
     """What texts get from each slot of ``used``, the most widespread first: a dense and a sparse matrix."""
 
     def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]], used: np.ndarray, block: int = 1 << 16):
+        """``entries`` is emptied, text by text, as the matrices fill."""
         place = np.full(SLOTS, -1, np.int32)
         place[used] = np.arange(len(used))
         self.shape = len(entries), len(used)
         self.dense = np.zeros((len(entries), min(DENSE, len(used))), np.float32)
-        texts, slots, values = [], [], []
-        for i, (slot, value) in enumerate(entries):
+        sizes = np.array([np.count_nonzero(place[slot] >= DENSE) for slot, _ in entries] + [0])
+        end = np.cumsum(sizes)
+        slots, values = np.empty(end[-1], np.int32), np.empty(end[-1], np.float32)
+        for i in range(len(entries) - 1, -1, -1):
+            slot, value = entries.pop()
             at = place[slot]
             near, far = (at >= 0) & (at < DENSE), at >= DENSE
             self.dense[i, at[near]] = value[near]
-            texts.append(np.full(far.sum(), i, np.int32))
-            slots.append(at[far] - DENSE)
-            values.append(value[far])
-        text, slot, value = (np.concatenate(x) for x in (texts, slots, values))
-        self.rest = [self._blocks(text, slot, value, block), self._blocks(slot, text, value, block)]
+            slots[end[i] - sizes[i]:end[i]] = at[far] - DENSE
+            values[end[i] - sizes[i]:end[i]] = value[far]
+        texts = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        order = np.argsort(slots, kind="stable").astype(np.int32)
+        self.rest = [self._blocks(texts, slots, values, block), self._blocks(slots[order], texts[order], values[order], block)]
 
     @staticmethod
     def _blocks(to: np.ndarray, of: np.ndarray, value: np.ndarray, block: int) -> list[tuple]:
-        order = np.argsort(to, kind="stable")
-        to, of, value = to[order], of[order].astype(np.intp), value[order]
-        parts = [slice(i, i + block) for i in range(0, len(to), block)]
-        return [(*np.unique(to[p], return_index=True), of[p], value[p]) for p in parts]
+        """Sorted by ``to``: (where sums go, where they begin, what of, times what)."""
+        out = []
+        for i in range(0, len(to), block):
+            begin = np.flatnonzero(np.diff(to[i:i + block], prepend=-1)).astype(np.int32)
+            out.append((to[i:i + block][begin], begin, of[i:i + block], value[i:i + block]))
+        return out
 
     @staticmethod
     def _product(parts: list[tuple], dense: np.ndarray, size: int) -> np.ndarray:
         columns = np.ascontiguousarray(dense.T)  # one by one, which numpy adds up much faster than rows
         out = np.zeros((len(columns), size), np.float32)
         for to, starts, of, value in parts:
+            of = of.astype(np.intp)
             for column, total in zip(columns, out, strict=True):
                 total[to] += np.add.reduceat(column.take(of) * value, starts)
         return out.T
@@ -160,7 +167,9 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) ->
 
     # texts by slots: what a text gets from each slot's vector when its words are averaged
     entries, seen = [], np.zeros(SLOTS, np.int64)
-    for at, times in bags:
+    bags.reverse()
+    while bags:
+        at, times = bags.pop()
         part = np.log1p(times) * weight[at]
         n = begin[at + 1] - begin[at]
         places = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -171,7 +180,6 @@ def train(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) ->
     used = np.argsort(-seen, kind="stable")
     used = used[seen[used] >= LEAST_TEXTS]
     texts = Texts(entries, used)
-    del bags, entries
 
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)

@@ -89,7 +89,7 @@ def overlaps(docs: list[tuple], items: list[tuple]) -> set[tuple]:
         for i, u in items:
             v = words_for_overlap(u)
             n, allowed = (13, 2) if len(v) >= 13 else (len(v), 0)
-            if len(v) >= 5 and any(
+            if v and any(
                 sum(x != y for x, y in zip(w[a:a + n], v[b:b + n], strict=True)) <= allowed
                 for b in range(len(v) - n + 1) for a in range(len(w) - n + 1)):
                 out.add((d, i))

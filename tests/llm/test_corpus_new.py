@@ -220,3 +220,51 @@ def test_scores_with_nothing_to_learn_or_to_score(spark):
     rows = sorted(tuple(r) for r in lm_score.score(docs, F.lit(False)).collect())
     assert rows == [(1, False, 3, 0, 0, 0.0, 0.0), (2, False, 1, 0, 0, 0.0, 0.0)]
     assert lm_score.score(docs.limit(0), F.lit(True)).count() == 0
+
+
+# what earlier operators now do
+
+def test_a_menu_of_a_small_site_goes_and_lists_are_spread_alike(spark):
+    from tempora.llm import line_dedup
+
+    docs = spark.createDataFrame([(i, f"menu\nown {i}\npair {i // 2}", "small") for i in range(9)] + [(100 + i, f"foot\nx{i % 30}\ny{i}", "large") for i in range(200)]
+                                 + [(400, "menu\nmenu", "lone"), (401, None, None)], "doc_id long, text string, source string")
+    plain = line_dedup.drop_boilerplate(docs, count="gone")
+    got = {r.doc_id: (r.text, r.gone) for r in plain.collect()}
+    assert got[3] == ("own 3", 2) and got[8] == ("own 8\npair 4", 1) and got[101] == ("x1\ny1", 1) and got[400] == ("menu\nmenu", 0)
+    spread = line_dedup.drop_boilerplate(docs, count="gone", broadcast_lines=0, spread_pages=7)
+    assert {r.doc_id: (r.text, r.gone) for r in spread.collect()} == got
+
+
+def test_one_row_of_each_component_stays_whatever_repeats(spark):
+    from tempora.llm import near_dedup
+
+    pick = random.Random(5)
+    base = pick.choices([f"w{i}" for i in range(300)], k=200)
+    a, b = " ".join(base), " ".join([*base[:199], "other"])
+    c = " ".join(pick.choices([f"v{i}" for i in range(300)], k=50))
+    rows = [(2, a), (2, a), (2, b), (None, a), (None, c), (None, c), (3, b), (7, ""), (7, ""), (None, None)]
+    kept = near_dedup.one_of_each(documents(spark, rows))
+    assert kept.columns == documents(spark, rows).columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    one = got.pop((2, a), 0) + got.pop((2, b), 0)
+    assert one == 1 and got == {(None, c): 1, (7, ""): 2, (None, None): 1}
+    assert near_dedup.one_of_each(documents(spark, rows).limit(0)).count() == 0
+
+
+def test_short_benchmark_items_are_searched_whole(spark):
+    from tempora.llm import decontaminate
+
+    docs = documents(spark, [(1, "Alpha, beta gamma"), (2, "beta alpha"), (3, "gamma"), (4, None)])
+    items = spark.createDataFrame([(10, "alpha beta"), (11, "gamma"), (12, ""), (13, None)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items).collect()}
+    assert found == {(1, 10), (1, 11), (3, 11)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items, least_words=2).collect()} == {(1, 10)}
+
+
+def test_numbers_without_letters_are_no_language(spark):
+    from tempora.llm import langid
+
+    docs = documents(spark, [(1, "½ ² ① Ⅳ"), (2, "the ½ cat"), (2, "the ½ cat")])
+    model = langid.train([("the cat", "en"), ("die katze", "de")] * 30)
+    assert sorted(r.lang_pred for r in langid.identify(docs, model).collect()) == ["en", "en", "und"]
