@@ -8,8 +8,9 @@ anchor (the leftmost of equal ones), so equal passages have equal anchors at equ
 run of words in some thirteen is an anchor.  Anchors are joined across all documents; one that
 occurs once seeds nothing.
 *Extension*: a seed is extended to both sides over every window of ``LENGTH`` words whose anchor it
-is; the windows of all seeds are joined by the hash of all their words, which tells how far matches
-reach left and right.  Windows that match nothing are dropped.
+is; the windows of all seeds are joined by 128 bits of all their words, which tells how far matches
+reach left and right.  Windows that match nothing are dropped.  Documents all of whose anchors stand
+alone are done with after the first step.
 *Maximal repeats*: what is left is merged to the longest stretches of words, at least ``LENGTH`` long.
 
 No pairs are made: both joins are counts of equal hashes.  A hash that occurs once carries its only
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +43,45 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+PLACE_BITS = 28  # no text has so many words
+
+
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every run of SEED words, place of the anchor of every window)."""
     if len(hashes) < LENGTH:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     grams = common.runs(hashes, tuple(range(SEED)))
-    windows = np.lib.stride_tricks.sliding_window_view(grams, SPAN)
-    return grams, windows.argmin(1) + np.arange(len(windows))
+    # the smallest of SPAN neighbours by doubling; the place in the low bits makes the leftmost win
+    least = grams >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
+    width = 1
+    while 2 * width <= SPAN:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < SPAN:
+        least = np.minimum(least[:width - SPAN], least[SPAN - width:])
+    return grams, (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+
+
+class Digests:
+    """Two 64-bit hashes of words, remembered for as long as there is room."""
+
+    def __init__(self):
+        self.first, self.second = common.WordHashes(), SecondHashes()
+
+    def windows(self, words: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the windows that begin at these places, in two halves."""
+        places = tuple(range(LENGTH))
+        return tuple(common.signed(common.runs(h.of(words), places)[at]) for h in (self.first, self.second))
+
+
+class SecondHashes(common.WordHashes):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= common.CACHED_WORDS:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word, 1)
+        if len(word) <= 64:
+            self[word] = h
+        return h
 
 
 def _key(batch: pa.RecordBatch, rows: list[int]) -> list[pa.Array]:
@@ -56,16 +90,18 @@ def _key(batch: pa.RecordBatch, rows: list[int]) -> list[pa.Array]:
 
 
 def _seed_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    hashes, row, place, found = common.WordHashes(), [], [], []
+    hashes, row, place, found, total = common.WordHashes(), [], [], [], []
     for i, text in enumerate(batch.column("text").to_pylist()):
         grams, at = anchors(hashes.of(words_of(text)))
-        at = np.unique(at)
+        at = at[np.flatnonzero(np.diff(at, prepend=-1))]  # places of anchors never go back
         row.extend([i] * len(at))
         place.append(at)
         found.append(grams[at])
-    place = np.concatenate([*place, np.empty(0, np.int64)])
+        total.append(np.full(len(at), len(at)))
+    place, total = (np.concatenate([*x, np.empty(0, np.int64)]) for x in (place, total))
     found = common.signed(np.concatenate([*found, np.empty(0, np.uint64)]))
-    return pa.RecordBatch.from_arrays([*_key(batch, row), pa.array(place, pa.int32()), pa.array(found)], names=["key", "tag", "place", "hash"])
+    return pa.RecordBatch.from_arrays([*_key(batch, row), pa.array(place, pa.int32()), pa.array(total, pa.int32()), pa.array(found)],
+                                      names=["key", "tag", "place", "anchors", "hash"])
 
 
 def _class_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -81,19 +117,19 @@ def seeded(hashes: np.ndarray, single: list[int]) -> np.ndarray:
 
 
 def _window_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    hashes, row, place, found, copies = common.WordHashes(), [], [], [], []
+    digests, row, place, found, copies = Digests(), [], [], ([], []), []
     for i, (text, single, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "single", "copies")), strict=True)):
-        h = hashes.of(words_of(text))
-        at = seeded(h, single or [])
-        row.extend([i] * len(at))
-        place.append(at)
-        found.append(common.runs(h, tuple(range(LENGTH)))[at])
-        copies.append(np.full(len(at), n, np.int64))
-    place = np.concatenate([*place, np.empty(0, np.int64)])
-    found = common.signed(np.concatenate([*found, np.empty(0, np.uint64)]))
-    return pa.RecordBatch.from_arrays(
-        [*_key(batch, row), pa.array(place, pa.int32()), pa.array(found), pa.array(np.concatenate([*copies, np.empty(0, np.int64)]))],
-        names=["key", "tag", "place", "hash", "copies"])
+        words = words_of(text)
+        at = seeded(digests.first.of(words), single or [])
+        if len(at):
+            row.extend([i] * len(at))
+            place.append(at)
+            for half, h in zip(found, digests.windows(words, at), strict=True):
+                half.append(h)
+            copies.append(np.full(len(at), n, np.int64))
+    place, copies, *halves = (np.concatenate([*x, np.empty(0, np.int64)]) for x in (place, copies, *found))
+    return pa.RecordBatch.from_arrays([*_key(batch, row), pa.array(place, pa.int32()), *map(pa.array, halves), pa.array(copies)],
+                                      names=["key", "tag", "place", "hash", "other", "copies"])
 
 
 def maximal(covered: np.ndarray) -> list[tuple[int, int]]:
@@ -104,13 +140,13 @@ def maximal(covered: np.ndarray) -> list[tuple[int, int]]:
 
 def _result_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     hashes, n_words, spans, kept = common.WordHashes(), [], [], []
-    columns = (batch.column(c).to_pylist() for c in ("text", "single", "unmatched", "repeated"))
-    for text, single, unmatched, repeated in zip(*columns, strict=True):
+    columns = (batch.column(c).to_pylist() for c in ("text", "single", "alone", "unmatched", "repeated"))
+    for text, single, alone, unmatched, repeated in zip(*columns, strict=True):
         words = words_of(text)
         covered = np.zeros(len(words), bool)
         if repeated and len(words) >= LENGTH:
             covered[:] = True
-        elif not repeated:
+        elif not repeated and not alone:  # alone: no anchor stands elsewhere
             starts = np.setdiff1d(seeded(hashes.of(words), single or []), unmatched or [])
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, starts, 1)
@@ -125,10 +161,12 @@ def _result_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         names=["doc_id", "n_words", "repeats", "kept_text"])
 
 
-def _singles(rows: DataFrame, name: str, count: Column) -> DataFrame:
-    """Per document the places of hashes that occur once."""
-    counted = rows.groupBy("hash").agg(count.alias("n"), *(F.min(c).alias(c) for c in ("key", "tag", "place")))
-    return counted.where("n = 1").groupBy("key", "tag").agg(F.collect_list("place").alias(name))
+def _singles(rows: DataFrame, name: str, count: Column, *of: str, total: str | None = None) -> DataFrame:
+    """Per document the places of hashes (columns ``of``) that occur once; ``alone``: all ``total`` of them do."""
+    carried = ["key", "tag", "place", *([total] if total else [])]
+    counted = rows.groupBy(*of).agg(count.alias("n"), *(F.min(c).alias(c) for c in carried))
+    alone = (F.count(F.lit(1)) == F.min(total)) if total else F.lit(False)
+    return counted.where("n = 1").groupBy("key", "tag").agg(F.collect_list("place").alias(name), alone.alias("alone"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -141,12 +179,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     firsts = classes.groupBy("class").agg(F.min(F.struct("key", "tag")).alias("k"), F.count(F.lit(1)).alias("copies"))
     firsts = common.stored(firsts.select("class", "k.key", "k.tag", "copies"), "firsts")
     copied = common.stored(classes.join(firsts.where("copies > 1").select("class"), "class").select("key", "tag", F.lit(True).alias("repeated")).distinct(), "copied")
-    single = _singles(rows.mapInArrow(common.in_slices(_seed_rows), "key bigint, tag bigint, place int, hash bigint"), "single", F.count(F.lit(1)))
-    single = common.stored(single, "single-seeds")
+    single = _singles(rows.mapInArrow(common.in_slices(_seed_rows), "key bigint, tag bigint, place int, anchors int, hash bigint"), "single", F.count(F.lit(1)), "hash", total="anchors")
+    # of documents all of whose anchors stand alone the places don't matter
+    single = common.stored(single.select("key", "tag", F.when(~F.col("alone"), F.col("single")).alias("single"), "alone"), "single-seeds")
     spread = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "tag")
-    looked_at = spread.join(firsts.select("key", "tag", "copies"), ["key", "tag"]).join(single, ["key", "tag"], "left")
-    windows = looked_at.mapInArrow(common.in_slices(_window_rows), "key bigint, tag bigint, place int, hash bigint, copies bigint")
-    unmatched = _singles(windows, "unmatched", F.sum("copies"))
+    looked_at = spread.join(firsts.select("key", "tag", "copies"), ["key", "tag"]).join(single, ["key", "tag"], "left").where("alone is null or not alone")
+    windows = looked_at.mapInArrow(common.in_slices(_window_rows), "key bigint, tag bigint, place int, hash bigint, other bigint, copies bigint")
+    unmatched = _singles(windows, "unmatched", F.sum("copies"), "hash", "other").drop("alone")
     told = spread.join(single, ["key", "tag"], "left").join(copied, ["key", "tag"], "left").join(unmatched, ["key", "tag"], "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return told.mapInArrow(common.in_slices(_result_rows), f"doc_id {kind}, n_words bigint, repeats array<struct<first_word:bigint,n_words:bigint>>, kept_text string")
