@@ -24,6 +24,16 @@ def _paths(spark: SparkSession, text: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    folder, fs = _paths(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder, fs = _paths(spark, path)
+    fs.delete(folder, True)
+
+
 def published_versions(spark: SparkSession, base: str) -> list[int]:
     folder, fs = _paths(spark, f"{base}/published")
     if not fs.exists(folder):

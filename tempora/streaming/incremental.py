@@ -2,12 +2,17 @@
 
 A scan is announced (a row in the scans stream) after its observations are completely written.  Every
 micro-batch is applied in one pass, however many scans it announces, and becomes version
-``batch_id`` of the store:
+``batch_id`` of the store.  The store is log-structured per root:
 
-* ``items/v=n``   identities first seen by batch n (append only),
-* ``closed/v=n``  versions that batch n finished (append only),
-* ``open/v=n``    the newest version of every item,
-* ``scans/v=n``   the scans that batch n announced.
+* ``runs/<table>/v=<n>-<level>/root_id=<r>`` holds a run of rows of one root: ``items`` (identities) and
+  ``closed`` (finished versions) and ``scans`` get one more run with each batch that announces the root,
+  ``open`` (the newest version of every item) is replaced by it;
+* ``manifest/v=<n>`` names the runs of every root that make up version n.
+
+A batch reads and writes the announced roots only; for all others the manifest goes on naming the
+files they have.  ``FANOUT`` runs of one level of a root are merged into one of the next level in the
+batch that completes them, so a root has at most ``FANOUT`` - 1 runs for each power of ``FANOUT`` in its
+number of batches, and a row is rewritten once a level.
 
 A marker published last makes version n visible.  A batch that is run again after a failure reads
 version n-1, writes the same rows to the same folders and publishes the same marker.
@@ -26,7 +31,7 @@ from tempora.operators.history import extend_history, new_items
 from tempora.operators.tree import apply_folder_changes, folder_changes, own_flags
 from tempora.plans.sizing import broadcast_if_small
 from tempora.schemas import DIRECTORY, FOLDER_COUNTERS, ITEMS, META, ROOTS, SCANS, VERSIONS
-from tempora.sources.tables import publish, published_versions
+from tempora.sources.tables import list_folder, publish, published_versions, remove
 
 CORE = ["root_id", "item_id", "item_version", "first_scan_id", "last_scan_id", "is_added", "is_deleted",
         "access", "mod_date", "size", *FOLDER_COUNTERS]
@@ -34,6 +39,13 @@ BARE = T.StructType([VERSIONS[c] for c in CORE])
 NATURAL = ["root_id", "item_path", "item_type"]
 
 
+TABLES = {"items": ITEMS, "closed": BARE, "open": BARE, "scans": SCANS}
+FANOUT = 4
+MANIFEST = T.StructType([
+    T.StructField("table", T.StringType()), T.StructField("root_id", T.LongType()), T.StructField("run", T.StringType()),
+    T.StructField("level", T.IntegerType()), T.StructField("rows", T.LongType()), T.StructField("top", T.LongType())])
+
+
 @dataclass(frozen=True)
 class HistoryStore:
     """The growing history under one folder of the shared file system."""
@@ -41,28 +53,91 @@ class HistoryStore:
     spark: SparkSession
     base: str
 
-    def _read(self, table: str, versions: list[int], schema: T.StructType) -> DataFrame:
-        if not versions:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.base}/{table}/v={v}" for v in versions])
-
     def published(self, before: int | None = None) -> list[int]:
         return [v for v in published_versions(self.spark, self.base) if before is None or v < before]
 
-    def items(self, before: int | None = None) -> DataFrame:
-        return self._read("items", self.published(before), ITEMS)
-
-    def scans(self, before: int | None = None) -> DataFrame:
-        return self._read("scans", self.published(before), SCANS)
-
-    def open(self, before: int | None = None) -> DataFrame:
-        return self._read("open", self.published(before)[-1:], BARE)
-
-    def closed(self, before: int | None = None) -> DataFrame:
-        return self._read("closed", self.published(before), BARE)
-
-    def versions(self) -> DataFrame:
-        return self.closed().unionByName(self.open())
+    def manifest(self, before: int | None = None) -> DataFrame:
+        """The runs of the newest version: one row for each run of a root."""
+        known = self.published(before)
+        if not known:
+            return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.base}/manifest/v={known[-1]}")
+
+    def read_runs(self, table: str, runs: list[tuple[str, int]]) -> DataFrame:
+        """The rows of (run, root) pairs."""
+        if not runs:
+            return self.spark.createDataFrame([], TABLES[table])
+        at = f"{self.base}/runs/{table}"
+        found = self.spark.read.schema(TABLES[table]).option("basePath", at).parquet(*[f"{at}/{run}/root_id={root}" for run, root in runs])
+        return found.select(*TABLES[table].fieldNames())
+
+    def _read(self, table: str, before: int | None = None, roots: list[int] | None = None) -> DataFrame:
+        named = self.manifest(before).where(F.col("table") == table)
+        if roots is not None:
+            named = named.where(F.col("root_id").isin(roots))
+        return self.read_runs(table, [(r["run"], r["root_id"]) for r in named.collect()])
+
+    def items(self, before: int | None = None, roots: list[int] | None = None) -> DataFrame:
+        return self._read("items", before, roots)
+
+    def scans(self, before: int | None = None, roots: list[int] | None = None) -> DataFrame:
+        return self._read("scans", before, roots)
+
+    def open(self, before: int | None = None, roots: list[int] | None = None) -> DataFrame:
+        return self._read("open", before, roots)
+
+    def closed(self, before: int | None = None, roots: list[int] | None = None) -> DataFrame:
+        return self._read("closed", before, roots)
+
+    def versions(self, roots: list[int] | None = None) -> DataFrame:
+        return self.closed(roots=roots).unionByName(self.open(roots=roots))
+
+    def write_run(self, table: str, df: DataFrame, version: int, level: int = 0) -> list[tuple]:
+        """Write rows as one run for each of their roots; their manifest rows."""
+        run = f"v={version}-{level}"
+        at = f"{self.base}/runs/{table}/{run}"
+        rows = df.select(*TABLES[table].fieldNames())
+        rows.hint("rebalance", "root_id").write.mode("overwrite").partitionBy("root_id").parquet(at)
+        read = self.spark.read.schema(TABLES[table]).parquet(at)
+        top = F.max("item_id") if "item_id" in TABLES[table].fieldNames() else F.lit(0).cast("long")
+        return [(table, r["root_id"], run, level, r["n"], r["top"]) for r in
+                read.groupBy("root_id").agg(F.count(F.lit(1)).alias("n"), top.alias("top")).collect()]
+
+    def compact(self, table: str, runs: list[tuple], version: int, fanout: int = FANOUT) -> list[tuple]:
+        """Merge ``fanout`` runs of one level of a root into one of the next, all roots of a level at once."""
+        level = 0
+        while runs and level <= max(r[3] for r in runs):
+            here: dict[int, list[tuple]] = {}
+            for r in runs:
+                if r[3] == level:
+                    here.setdefault(r[1], []).append(r)
+            full = [r for of_root in here.values() if len(of_root) >= fanout for r in of_root]
+            if full:
+                merged = self.write_run(table, self.read_runs(table, [(r[2], r[1]) for r in full]), version, level + 1)
+                runs = [r for r in runs if r not in full] + merged
+            level += 1
+        return runs
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete the runs that none of the newest ``keep`` versions names (readers of those go on), and the
+        manifests and markers of older versions; returns what was deleted."""
+        old = self.published()[:-keep]
+        if not old:
+            return []
+        used = {(r["table"], r["run"], r["root_id"]) for v in self.published()[-keep:]
+                for r in self.spark.read.schema(MANIFEST).parquet(f"{self.base}/manifest/v={v}").collect()}
+        gone = []
+        for table in TABLES:
+            for run in list_folder(self.spark, f"{self.base}/runs/{table}"):
+                if int(run[2:].split("-")[0]) > self.published()[-1]:
+                    continue  # being written
+                for part in list_folder(self.spark, f"{self.base}/runs/{table}/{run}"):
+                    if part.startswith("root_id=") and (table, run, int(part[8:])) not in used:
+                        gone.append(f"runs/{table}/{run}/{part}")
+        gone = [f"published/{v}" for v in old] + [f"manifest/v={v}" for v in old] + gone
+        for path in gone:  # markers first: no reader finds a version that is half gone
+            remove(self.spark, f"{self.base}/{path}")
+        return gone
 
 
 def continue_folders(rows: DataFrame, current: DataFrame, paths: DataFrame, scans: DataFrame,
@@ -99,17 +174,19 @@ def apply_scans(store: HistoryStore, version: int, announced: DataFrame, observa
     spark, at = store.spark, store.base
     announced.select(*SCANS.fieldNames()).write.mode("overwrite").parquet(f"{at}/scans/v={version}")
     new_scans = spark.read.schema(SCANS).parquet(f"{at}/scans/v={version}")
-    scans = store.scans(version).unionByName(new_scans)
+    touched_roots = [r["root_id"] for r in new_scans.select("root_id").distinct().collect()]  # as many as a batch announces
+    scans = store.scans(version, touched_roots).unionByName(new_scans)
     new_ids = broadcast_if_small(new_scans.select("scan_id"))
     seen = observations.select(*NATURAL, "scan_id", *META).join(new_ids, "scan_id", "left_semi")
 
-    known = store.items(version)
+    before = store.manifest(version)
+    known = store.items(version, touched_roots)
     unknown = seen.select(*NATURAL).distinct().join(known, NATURAL, "left_anti")
-    top = known.agg(F.max("item_id")).first()[0] or 0
-    new_items(unknown, top).select(*ITEMS.fieldNames()).write.mode("overwrite").parquet(f"{at}/items/v={version}")
-    items = known.unionByName(spark.read.schema(ITEMS).parquet(f"{at}/items/v={version}"))
+    top = before.agg(F.max("top")).first()[0] or 0
+    runs = {"items": store.write_run("items", new_items(unknown, top), version)}
+    items = known.unionByName(store.read_runs("items", [(r[2], r[1]) for r in runs["items"]]))
 
-    current = store.open(version)
+    current = store.open(version, touched_roots)
     named = seen.join(items.select("item_id", *NATURAL), NATURAL)
     rows = extend_history(current, named, scans, span=span)
     paths = items.select("item_id", "root_id", "item_path", "item_type", "parent_path").join(roots, "root_id")
@@ -123,10 +200,16 @@ def apply_scans(store: HistoryStore, version: int, announced: DataFrame, observa
     step = f"{at}/step/v={version}"
     marked.write.mode("overwrite").partitionBy("_open").parquet(step)  # computed once, read twice
     done = spark.read.schema(T.StructType([*BARE.fields, T.StructField("_open", T.BooleanType())])).parquet(step)
-    done.where(~F.col("_open")).select(*CORE).unionByName(returned.select(*CORE)) \
-        .write.mode("overwrite").parquet(f"{at}/closed/v={version}")
-    done.where("_open").select(*CORE).unionByName(untouched.select(*CORE)) \
-        .write.mode("overwrite").parquet(f"{at}/open/v={version}")
+    runs["closed"] = store.write_run("closed", done.where(~F.col("_open")).select(*CORE).unionByName(returned.select(*CORE)), version)
+    runs["open"] = store.write_run("open", done.where("_open").select(*CORE).unionByName(untouched.select(*CORE)), version)
+    runs["scans"] = store.write_run("scans", new_scans, version)
+
+    held = [tuple(r) for r in before.where(F.col("root_id").isin(touched_roots) & (F.col("table") != "open")).select(*MANIFEST.fieldNames()).collect()]
+    entries = runs["open"]
+    for table in ("items", "closed", "scans"):
+        entries = entries + store.compact(table, [r for r in held if r[0] == table] + runs[table], version)
+    others = before.where(~F.col("root_id").isin(touched_roots))
+    others.unionByName(spark.createDataFrame(entries, MANIFEST)).coalesce(1).write.mode("overwrite").parquet(f"{at}/manifest/v={version}")
     publish(spark, at, version)
 
 
