@@ -16,7 +16,7 @@ HEADLINE = (
     "f2_natural_path_order", "i3_hash_drift", "i8_issues_all_unreviewed", "i11_issue_summary",
     "i15_bulk_review_by_filter", "e10_duplicate_content", "j12_task_history", "k1_versions_from_changes",
     "k2_collapse_identical", "k7_rechain_overlaps", "k9_wrongly_deleted_folders", "k10_recount_statistics",
-    "k10_recount_parts", "k14_folder_state_counts",
+    "k10_recount_parts", "k14_folder_state_counts", "g4_containing_every_scan", "g11_below_every_folder", "s1_incremental_history",
 )
 
 
