@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.base import STORE, on_store, query
 from catalog.bf_domains import PAGE
 from tempora.operators import history as H
-from tempora.operators import rollback, scanstats, tree
+from tempora.operators import changefeed, rollback, scanstats, tree
 from tempora.operators.asof import with_previous
 from tempora.sources import feeds
 
@@ -299,6 +299,55 @@ def h15_counts(spark, sf):
     return one_row(kept)
 
 
+def undone(spark, sf):
+    """The scan undone from the changes between the version published before it and the one after."""
+    st = store(spark, sf)
+    after = st.with_(**{n: df.where(F.col("root_id") == UNDONE % 100) for n, df in st.tables().items()})
+    recorded = changefeed.store_changes(feeds.activity_before(spark, sf, UNDONE), after)
+    return rollback.undo_scan(after, recorded, UNDONE)
+
+
+@query("h15_undone_versions", on_store(f"""
+SELECT item_id, item_version, first_scan_id, least(last_scan_id, {UNDONE - 100}) AS last_scan_id, is_deleted, size,
+  add_count, modify_count, delete_count, unchanged_count,
+  CASE WHEN val_scan_id < {UNDONE} THEN val_scan_id END AS val_scan_id, CASE WHEN val_scan_id < {UNDONE} THEN val_state END AS val_state,
+  CASE WHEN val_scan_id < {UNDONE} THEN val_error END AS val_error
+FROM versions WHERE root_id = 3 AND first_scan_id < {UNDONE}"""))
+def h15_undone_versions(spark, sf):
+    return undone(spark, sf).versions.select(
+        "item_id", "item_version", "first_scan_id", "last_scan_id", "is_deleted", "size", "add_count", "modify_count",
+        "delete_count", "unchanged_count", "val_scan_id", "val_state", "val_error")
+
+
+@query("h15_undone_hashes", on_store(f"""
+SELECT item_id, item_version, min(d) * 100 + 3 AS first_scan_id, max(d) * 100 + 3 AS last_scan_id, h AS file_hash,
+  CASE WHEN bool_or(rn = 1) THEN 1 ELSE 2 END AS hash_state
+FROM (SELECT *, sum(CASE WHEN before IS NULL OR before <> h THEN 1 ELSE 0 END)
+        OVER (PARTITION BY item_id, item_version ORDER BY d) AS g
+      FROM hash_marks WHERE root_id = 3 AND d * 100 + 3 < {UNDONE})
+GROUP BY item_id, item_version, g, h"""))
+def h15_undone_hashes(spark, sf):
+    return undone(spark, sf).hashes.select("item_id", "item_version", "first_scan_id", "last_scan_id",
+                                           F.lower(F.hex("file_hash")).alias("file_hash"), "hash_state")
+
+
+@query("h15_recorded_changes", on_store(f"""
+SELECT 'items' AS tab, count(*) FILTER (f = {UNDONE}) AS inserts, 0 AS updates FROM (SELECT item_id, min(first_scan_id) AS f FROM versions
+  WHERE root_id = 3 GROUP BY item_id)
+UNION ALL SELECT 'hashes', count(*) FILTER (first_scan_id = {UNDONE}), count(*) FILTER (first_scan_id < {UNDONE} AND last_scan_id = {UNDONE})
+FROM hashes WHERE root_id = 3"""))
+def h15_recorded(spark, sf):
+    st, before = store(spark, sf), feeds.activity_before(spark, sf, UNDONE)
+    parts = []
+    for name in ("items", "hashes"):
+        after = getattr(st, name).where(F.col("root_id") == UNDONE % 100)
+        changes = changefeed.table_changes(getattr(before, name), after, changefeed.KEYS[name])
+        kind = changefeed.change_kind()
+        parts.append(changes.agg(F.lit(name).alias("tab"), F.count_if(kind == "insert").alias("inserts"),
+                                 F.count_if(kind == "update").alias("updates")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("h16_delete_root", on_store("""
 SELECT (SELECT count(*) FROM versions WHERE root_id <> 2) AS versions, (SELECT count(*) FROM items WHERE root_id <> 2) AS items,
   (SELECT count(*) FROM hashes WHERE root_id <> 2) AS hashes, (SELECT count(*) FROM scans WHERE root_id <> 2) AS scans,

@@ -1,8 +1,11 @@
 """Work lists, drift, validation, issues and review.  Scan 3003 is the newest of root 3."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.base import STORE, on_store, query
+from catalog.bf_domains import NATURAL
+from tempora.functions.paths import natural_key
 from tempora.operators import checks, hashes, review
 from tempora.sources import feeds
 
@@ -135,6 +138,36 @@ def i7(spark, sf):
     }).select("page_id", "val_error", "val_state")
 
 
+def _chunk(kind, body):
+    """A PNG chunk around a binary column: length, kind, body, checksum of kind and body."""
+    four = F.concat(F.lit(kind.encode()), body)
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(body)), 8, "0")), four,
+                    F.unhex(F.lpad(F.hex(F.crc32(four)), 8, "0")))
+
+
+@query("i7_binary_content", """
+SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN 'gif' WHEN 3 THEN 'txt' ELSE 'png' END AS file_extension,
+  CASE doc_id % 5 WHEN 4 THEN false WHEN 3 THEN NULL ELSE true END AS has_magic,
+  CASE doc_id % 5 WHEN 3 THEN NULL WHEN 0 THEN 1 ELSE 2 END AS val_state,
+  CASE doc_id % 5 WHEN 1 THEN 'cut off' WHEN 2 THEN 'checksum at 33' WHEN 4 THEN 'no gif signature' END AS val_error
+FROM documents""")
+def i7_binary(spark, sf):
+    """Documents wrapped as PNG chunks: whole, cut, with a changed byte, and under other extensions."""
+    body = F.encode(F.concat(F.lit("x"), F.coalesce("text", F.lit(""))), "UTF-8")
+    kind = F.col("doc_id") % 5
+    sound = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), _chunk("IHDR", F.unhex(F.lit("00000001000000010800000000"))),
+                     _chunk("IDAT", body), _chunk("IEND", F.unhex(F.lit(""))))
+    size = F.octet_length(sound)
+    # byte 42 is the first of the data
+    changed = F.concat(F.substring(sound, 1, 41), F.encode(F.lit("y"), "UTF-8"), F.substr(sound, F.lit(43), size))
+    rows = feeds.table(spark, sf, "documents").select(
+        "doc_id", F.when(kind == 4, "gif").when(kind == 3, "txt").otherwise("png").alias("file_extension"),
+        F.when(kind == 1, F.substr(sound, F.lit(1), size - 5)).when(kind == 2, changed).otherwise(sound).alias("content"))
+    return checks.check_content(rows).select(
+        "doc_id", "file_extension", checks.has_magic(F.col("content"), F.col("file_extension")).alias("has_magic"),
+        "val_state", "val_error")
+
+
 HAS_HASH = ("EXISTS (SELECT 1 FROM hashes x WHERE x.item_id = v.item_id AND x.item_version = v.item_version "
             "AND x.hash_state = 2)")
 VAL, VAL_OPEN = "(val_state IS NOT DISTINCT FROM 2)", "(val_state IS NOT DISTINCT FROM 2 AND val_reviewed_at IS NULL)"
@@ -207,6 +240,17 @@ _summary("i11_issue_summary", "all", "all")
 _summary("i11_issue_summary_hash", "hash", "unreviewed")
 
 
+@query("i11_issue_page", on_store(f"""
+SELECT item_id, item_path, row_number() OVER (ORDER BY {NATURAL.format(p='item_path')}, item_id) AS place
+FROM (SELECT DISTINCT v.item_id, item_path FROM versions v JOIN items i USING (item_id)
+  WHERE item_type = 0 AND NOT is_deleted AND {PREDICATES['all', 'all']})
+ORDER BY place LIMIT 40 OFFSET 15"""))
+def i11_page(spark, sf):
+    rows = review.issue_items_page(store(spark, sf), review.IssueFilter("all", "all"), 40, 15)
+    place = F.row_number().over(Window.orderBy(natural_key(F.col("item_path")), "item_id")) + 15
+    return rows.select("item_id", "item_path", place.cast("long").alias("place"))
+
+
 @query("i12_issue_versions", on_store(f"""
 SELECT v.item_id, v.item_version, first_scan_id AS scan_id, started_at,
   (SELECT count(*) FROM hashes x WHERE x.item_id = v.item_id AND x.item_version = v.item_version) AS hash_count,

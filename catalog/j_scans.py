@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.base import on_store, query
+from catalog.bf_domains import NATURAL
 from tempora.operators import browse, scans, tasks
 from tempora.operators.domains import page
 from tempora.sources import feeds
@@ -138,6 +139,13 @@ def j10(spark, sf):
         "root_id", "root_path", "scan_id", "state", "file_count", "folder_count", "total_size")
 
 
+@query("j10_root_page", on_store(f"""
+SELECT r.root_id, root_path, (SELECT max(scan_id) FROM scans s WHERE s.root_id = r.root_id) AS scan_id FROM roots r
+ORDER BY {NATURAL.format(p='root_path')}, root_id LIMIT 3 OFFSET 1"""))
+def j10_page(spark, sf):
+    return scans.root_overview_page(store(spark, sf), 3, 1).select("root_id", "root_path", "scan_id")
+
+
 @query("j10_open_issues", on_store("""
 SELECT (SELECT count(DISTINCT v.item_id) FROM versions v JOIN hashes h USING (item_id, item_version)
         WHERE hash_state = 2 AND hash_reviewed_at IS NULL) AS hash_issues,

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempora.functions.containers import FAULTS, content_fault
 from tempora.operators.asof import with_latest_hash
 from tempora.schemas import ACCESS_OK, FILE, INVALID, META_ERROR, READ_ERROR, VALID, State
 
@@ -119,16 +122,16 @@ def drop_stale(results: DataFrame, expected: DataFrame, listing: DataFrame) -> D
 # ---- content checks ---------------------------------------------------------------------------
 
 # Leading bytes of known file kinds, in hex.
-MAGIC = {"pdf": "25504446", "png": "89504E47", "gif": "47494638", "jpg": "FFD8FF", "jpeg": "FFD8FF",
-         "flac": "664C6143", "bmp": "424D"}
+MAGIC = {"pdf": ("25504446",), "png": ("89504E47",), "gif": ("47494638",), "jpg": ("FFD8FF",),
+         "jpeg": ("FFD8FF",), "flac": ("664C6143",), "bmp": ("424D",), "tiff": ("49492A00", "4D4D002A")}
 
 
 def has_magic(content: Column, extension: Column) -> Column:
     """Whether binary content starts as its extension promises; null for other extensions."""
     head = F.hex(F.substring(content, 1, 4))
     out = None
-    for ext, magic in MAGIC.items():
-        hit = head.startswith(magic)
+    for ext, heads in MAGIC.items():
+        hit = reduce(or_, [head.startswith(h) for h in heads])
         out = F.when(extension == ext, hit) if out is None else out.when(extension == ext, hit)
     return out
 
@@ -137,6 +140,16 @@ def is_whole_html(text: Column) -> Column:
     return F.endswith(F.rtrim(F.lower(text)), F.lit("</html>"))
 
 
+def check_content(files: DataFrame) -> DataFrame:
+    """Validation results of files (content, file_extension): the container's structure decides.
+
+    Kinds without a check get no result (null state); null content counts as unreadable.
+    """
+    known = F.coalesce(F.lower("file_extension").isin(*FAULTS), F.lit(False))
+    rows = files.withColumn("val_error", content_fault(F.col("content"), F.col("file_extension")))
+    return rows.withColumn("val_state", F.when(F.col("val_error").isNotNull(), INVALID).when(known, VALID))
+
+
 def run_checks(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Evaluate named rules (true = passed); the first failed one becomes the error text."""
     error = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.filters import text_match
+from tempora.operators.browse import natural_order
 from tempora.operators.domains import page
 from tempora.schemas import FILE, INVALID, SUSPECT, State
 
@@ -103,6 +104,14 @@ def issue_items(state: State, f: IssueFilter) -> DataFrame:
     )
 
 
+def issue_items_page(state: State, f: IssueFilter, limit: int, offset: int = 0) -> DataFrame:
+    """A page of ``issue_items`` in natural order of their paths.
+
+    Ties go to the smaller item.
+    """
+    return page(natural_order(issue_items(state, f)), limit, offset)
+
+
 def issue_versions_of(state: State, item_ids: DataFrame, f: IssueFilter) -> DataFrame:
     """Matching versions of the given items with scan date and hash counts.
 

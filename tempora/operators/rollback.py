@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.operators.changefeed import undo_changes
 from tempora.operators.history import previous_completed_scan
 from tempora.schemas import ERRORED, STOPPED, State
 
@@ -35,13 +36,27 @@ def roll_back(state: State, scan_id: int, error: str | None = None,
         c: F.when(~late, F.col(c)) for c in ("val_state", "val_error", "val_scan_id")
     }).select(*state.versions.columns)
     items = state.items.join(versions.select("item_id"), "item_id", "left_semi")
+    return state.with_(versions=versions, hashes=hashes, items=items, scans=_ended(state.scans, scan_id, error))
+
+
+def undo_scan(state: State, changes: dict[str, DataFrame], scan_id: int, error: str | None = None) -> State:
+    """The store without one scan, from the changes recorded when its version was published.
+
+    Exact for every column of items, versions and hashes: each changed row gets its earlier self.  The
+    scan itself stays as a stopped or failed one.  ``changefeed.overtaken`` tells beforehand whether
+    later scans have changed the same rows.
+    """
+    kept = {n: c for n, c in changes.items() if n in ("items", "versions", "hashes")}
+    return undo_changes(state, kept).with_(scans=_ended(state.scans, scan_id, error))
+
+
+def _ended(scans: DataFrame, scan_id: int, error: str | None) -> DataFrame:
     hit = F.col("scan_id") == scan_id
-    scans = state.scans.withColumns({
+    return scans.withColumns({
         "state": F.when(hit, F.lit(STOPPED if error is None else ERRORED)).otherwise(F.col("state")),
         "total_size": F.when(~hit, F.col("total_size")),
         "error": F.when(hit, F.lit(error)).otherwise(F.col("error")),
     })
-    return state.with_(versions=versions, hashes=hashes, items=items, scans=scans)
 
 
 def _fall_back(rows: DataFrame, prev: DataFrame, scan_id: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions.filters import date_bounds
+from tempora.functions.paths import natural_key
 from tempora.operators.domains import page
 from tempora.operators.review import has_hash_issue, has_val_issue, with_suspects
 from tempora.plans.windows import with_running
@@ -163,6 +164,11 @@ def root_overview(state: State) -> DataFrame:
     return state.roots.join(newest, "root_id", "left")
 
 
+def root_overview_page(state: State, limit: int, offset: int = 0) -> DataFrame:
+    """A page of ``root_overview`` in natural order of the root paths."""
+    return page(root_overview(state).orderBy(natural_key(F.col("root_path")), "root_id"), limit, offset)
+
+
 def open_issue_counts(state: State) -> DataFrame:
     """Distinct items with unreviewed hash and validation issues."""
     rows = with_suspects(state.versions, state.hashes)

@@ -15,13 +15,14 @@ from tempora.operators.hashes import content_hash, drift_history
 from tempora.operators.history import build_history, calendar, sized_calendar
 from tempora.operators.scanstats import scan_statistics, with_statistics
 from tempora.operators.tree import synthesize_directories, with_folder_counters
-from tempora.plans.sizing import broadcast_if_small, scratch_path, write_and_read
+from tempora.plans.sizing import broadcast_if_small, number_rows, scratch_path, write_and_read
 from tempora.schemas import COMPLETED, DIRECTORY, FILE, SUSPECT, State, conform
 from tempora.sources.events import day_number, epoch_seconds, month_number, snapshots_from_events
 from tempora.sources.tables import publish, read_state, write_table
 
 DAY = 86_400
 SCAN_STRIDE = 100  # scan_id = ordinal * stride + root_id, item_id = user * stride + root_id
+MAX_ROOTS = SCAN_STRIDE // 2 - 1  # a second try of a day takes the upper half
 DIRECTORY_IDS = 10**12
 FIRST_MONTH = 1995 * 12 + 1
 REVIEWED_AT = 1_800_000_000
@@ -34,13 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _period_roots(rows: DataFrame, root: Column, period: Column) -> DataFrame:
     """Dense root ids by name with the first and last period of the whole table.
 
-    One pass with map-side partial results; the root names are a dimension of a few rows.
+    Map-side partial results first; the names are then numbered without coming together in one row.
+    Scan ids leave room for ``MAX_ROOTS`` roots, more are an error.
     """
-    seen = rows.agg(F.min(period).alias("first"), F.max(period).alias("last"),
-                    F.array_sort(F.collect_set(root)).alias("r"))
-    return seen.select("first", "last", F.posexplode("r").alias("i", "root")).select(
-        (F.col("i") + 1).cast("long").alias("root_id"), "root",
-        F.concat(F.lit("/"), F.col("root")).alias("root_path"), "first", "last")
+    names = rows.groupBy(root.alias("root")).agg(F.min(period).alias("first"), F.max(period).alias("last"))
+    span = names.agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    numbered = number_rows(names.where(F.col("root").isNotNull()).select("root"), ["root"], "root_id")
+    fits = F.when(F.col("root_id") <= MAX_ROOTS, F.col("root_id")).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_ROOTS} roots: scan ids would collide")).cast("long"))
+    return numbered.join(F.broadcast(span)).select(
+        fits.alias("root_id"), "root", F.concat(F.lit("/"), F.col("root")).alias("root_path"), "first", "last")
 
 
 # ---- daily activity ---------------------------------------------------------------------------
@@ -281,6 +285,29 @@ def activity_store(spark: SparkSession, sf_dir: str) -> State:
     return read_state(spark, _store_path(spark, sf_dir))
 
 
+def activity_before(spark: SparkSession, sf_dir: str, scan_id: int) -> State:
+    """The store of a scan's root as it was published before that scan, from the earlier scans alone.
+
+    Written once per session; the steps are those of ``build_activity_store``.
+    """
+    def build(base: str) -> None:
+        st = read_state(spark, _store_path(spark, sf_dir))
+        mine = (F.col("root_id") == scan_id % SCAN_STRIDE) & (F.col("scan_id") < scan_id)
+        scans, roots = st.scans.where(mine), st.roots.where(F.col("root_id") == scan_id % SCAN_STRIDE)
+        observed = spark.read.parquet(f"{_store_path(spark, sf_dir)}/steps/observations").where(mine)
+        items = write_table(items_of(observed), "items", base, 1)
+        span = sized_calendar(scans)[1]
+        bare = write_and_read(build_history(observed, scans, span=span), f"{base}/steps/bare")
+        history = write_and_read(with_folder_counters(bare, items, roots, scans, span), f"{base}/steps/history")
+        hashes = write_table(drift_history(activity_hash_observations(history, items, scans), span), "hashes", base, 1)
+        write_table(with_integrity(history, hashes, activity_validation(history, items, scans)), "versions", base, 1)
+        write_table(scans, "scans", base, 1)
+        write_table(roots, "roots", base, 1)
+        publish(spark, base, 1)
+
+    return read_state(spark, _derived(spark, sf_dir, f"before-{scan_id}", build))
+
+
 def bare_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history before folder counters, as the store's build wrote it."""
     return spark.read.parquet(f"{_store_path(spark, sf_dir)}/steps/bare")

@@ -24,6 +24,12 @@ def _paths(spark: SparkSession, text: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified_path(spark: SparkSession, text: str) -> str:
+    """The absolute path a text names, without scheme and authority, dots and doubled slashes resolved."""
+    path, fs = _paths(spark, text)
+    return fs.makeQualified(path).toUri().normalize().getPath()
+
+
 def list_folder(spark: SparkSession, path: str) -> list[str]:
     folder, fs = _paths(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
