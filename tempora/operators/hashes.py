@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.operators.asof import latest_hashes
-from tempora.plans.windows import with_neighbours, with_running
+from tempora.plans.windows import MEASURE, sized, with_neighbours, with_running
 from tempora.schemas import BASELINE, SUSPECT
 
 VERSION = ("item_id", "item_version")
@@ -17,12 +17,13 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def drift_history(observed: DataFrame, span: int | None = None) -> DataFrame:
+def drift_history(observed: DataFrame, span: int | None = MEASURE) -> DataFrame:
     """Hash intervals of each version from all its observations (file_hash, scan_id).
 
     The first hash is the baseline; every later change opens a suspect interval, also when an
     earlier value returns.  Null hashes are not observations.
     """
+    span = sized(span, observed, "scan_id")
     rows = with_neighbours(observed.where(F.col("file_hash").isNotNull()), VERSION, "scan_id",
                            ["file_hash"], span, next=None)
     fresh = F.col("prev").isNull() | (F.col("prev")["file_hash"] != F.col("file_hash"))

@@ -1,4 +1,8 @@
-"""History repair and backfill jobs; every one is a pass of windows or joins, none loops."""
+"""History repair and backfill jobs; every one is a pass of windows or joins, none loops.
+
+Unless a caller gives ``span`` (None: plain windows), the jobs count how many scans a history can have and
+cut long ones into segments.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from tempora.operators.asof import with_previous
 from tempora.operators.tree import change_flags, folder_changes, roll_up
 from tempora.operators.scanstats import new_issues
 from tempora.plans.sizing import broadcast_if_small
-from tempora.plans.windows import with_neighbours, with_running
+from tempora.plans.windows import MEASURE, sized, with_neighbours, with_running
 from tempora.schemas import BASELINE, COMPLETED, DIRECTORY, FILE, SUSPECT, State
 
 ITEM = ["item_id"]
@@ -43,12 +47,13 @@ def _merge_islands(rows: DataFrame, start: Column, span: int | None) -> DataFram
 
 
 def collapse_identical(versions: DataFrame, fields: Sequence[str] = FOLDER_FIELDS,
-                       span: int | None = None) -> DataFrame:
+                       span: int | None = MEASURE) -> DataFrame:
     """Merge consecutive versions that agree in all ``fields`` into the first of them.
 
     A merged row equals the one it was merged into, so comparing with the row just before is the
     same as comparing with the kept one, and one pass reaches the fixpoint.
     """
+    span = sized(span, versions, "first_scan_id")
     rows = with_neighbours(versions, ITEM, "first_scan_id", fields, span, next=None)
     start = ~_equals("prev", fields)
     return _merge_islands(rows.withColumn("_new", start).drop("prev"), F.col("_new"), span) \
@@ -57,13 +62,14 @@ def collapse_identical(versions: DataFrame, fields: Sequence[str] = FOLDER_FIELD
 
 def collapse_noop_folders(versions: DataFrame, fields: Sequence[str] = FOLDER_FIELDS,
                           meta: Sequence[str] = ("access", "mod_date", "size", "val_scan_id", "val_state", "val_error"),
-                          span: int | None = None) -> DataFrame:
+                          span: int | None = MEASURE) -> DataFrame:
     """As ``collapse_identical``, also absorbing versions that record no change at all.
 
     Such a version is neither added nor deleted, has counters 0/0/0 and the metadata of the kept
     row.  Absorbed rows share that metadata, so the row before decides this; what remains is
     compared with the last row that was not absorbed that way.
     """
+    span = sized(span, versions, "first_scan_id")
     rows = with_neighbours(versions, ITEM, "first_scan_id", meta, span, next=None)
     quiet = ~F.col("is_added") & ~F.col("is_deleted")
     for c in ("add_count", "modify_count", "delete_count"):
@@ -79,13 +85,14 @@ def collapse_noop_folders(versions: DataFrame, fields: Sequence[str] = FOLDER_FI
     return _merge_islands(rows, F.col("_new"), span).select(*versions.columns)
 
 
-def group_phantoms(old: DataFrame, span: int | None = None) -> DataFrame:
+def group_phantoms(old: DataFrame, span: int | None = MEASURE) -> DataFrame:
     """Fold metadata-equal followers into the real version before them.
 
     ``old`` rows carry one hash and one validation each (file_hash, hash_state, last_hash_scan,
     val_state, val_error, last_val_scan).  The group keeps its earliest hash, the latest hash state,
     the latest meaningful validation (valid or invalid) and the greatest last_scan_id.
     """
+    span = sized(span, old, "first_scan_id")
     meta = ("access", "mod_date", "size")
     rows = with_neighbours(old, ITEM, "first_scan_id", ["is_deleted", *meta], span, next=None)
     phantom = (~F.col("is_added") & ~F.col("is_deleted") & F.coalesce(~F.col("prev")["is_deleted"], F.lit(False))
@@ -109,22 +116,24 @@ def group_phantoms(old: DataFrame, span: int | None = None) -> DataFrame:
     return out.select("item_id", "_v.*", "last_scan_id", "file_hash", "hash_first_scan_id", "hash_state", "_val.*")
 
 
-def overlapping(versions: DataFrame, span: int | None = None) -> DataFrame:
+def overlapping(versions: DataFrame, span: int | None = MEASURE) -> DataFrame:
     """Versions that begin before some earlier version of their item has ended.
 
     A running maximum finds them without pairing the versions of an item.
     """
+    span = sized(span, versions, "first_scan_id")
     rows = with_running(versions, ITEM, "first_scan_id", span, maxes={"_reach": F.col("last_scan_id")})
     rows = with_neighbours(rows, ITEM, "first_scan_id", ["_reach"], span, next=None)
     return rows.where(F.col("prev")["_reach"] >= F.col("first_scan_id")).select(*versions.columns)
 
 
-def rechain_overlaps(versions: DataFrame, items: DataFrame, span: int | None = None) -> DataFrame:
+def rechain_overlaps(versions: DataFrame, items: DataFrame, span: int | None = MEASURE) -> DataFrame:
     """Close every version of an overlapping item right before the next one begins.
 
     The last version keeps the greatest end of the item; folder versions left with an end before
     their start are dropped, whichever item they belong to.
     """
+    span = sized(span, versions, "first_scan_id")
     rows = with_running(versions, ITEM, "first_scan_id", span, maxes={"_reach": F.col("last_scan_id")})
     rows = with_neighbours(rows, ITEM, "first_scan_id", ["first_scan_id"], span, prev=None)
     next_first = F.col("next")["first_scan_id"]
@@ -137,12 +146,13 @@ def rechain_overlaps(versions: DataFrame, items: DataFrame, span: int | None = N
 
 
 def wrongly_deleted_folders(versions: DataFrame, items: DataFrame, roots: DataFrame,
-                            span: int | None = None) -> DataFrame:
+                            span: int | None = MEASURE) -> DataFrame:
     """Deleted folder versions during which some file below was alive.
 
     Per folder and start scan only the furthest end of the files below matters; the running maximum
     of those ends at the folder version's own end says whether one reaches into it.
     """
+    span = sized(span, versions, "first_scan_id")
     files = versions.where(~F.col("is_deleted")).join(
         items.where(F.col("item_type") == FILE).select("item_id", "parent_path"), "item_id")
     direct = files.select("root_id", "first_scan_id", "last_scan_id", "parent_path").join(roots, "root_id")
@@ -192,12 +202,13 @@ def backfill_new_issues(scans: DataFrame, versions: DataFrame, hashes: DataFrame
 
 
 def backfill_folder_counters(versions: DataFrame, items: DataFrame, roots: DataFrame,
-                             span: int | None = None) -> DataFrame:
+                             span: int | None = MEASURE) -> DataFrame:
     """Counters of every folder at every scan that changed something below it.
 
     The number of things alive below a folder before a scan is the running sum of adds minus
     deletes, so no scan waits for the one before it.
     """
+    span = sized(span, versions, "first_scan_id")
     paths = items.join(roots, "root_id").select("item_id", "root_path", "parent_path")
     flagged = change_flags(with_previous(versions, ["is_deleted"], span))
     rows = folder_changes(flagged, paths)
@@ -228,13 +239,14 @@ def fold_same_scan(changes: DataFrame) -> DataFrame:
 
 
 def versions_from_changes(changes: DataFrame, current: DataFrame, scans: DataFrame,
-                          span: int | None = None) -> DataFrame:
+                          span: int | None = MEASURE) -> DataFrame:
     """Versions out of add / modify / delete records, one per item and scan.
 
     Fields a record does not set are carried forward since the last add or return.  A version closes
     at the completed scan before the next record; the last one takes its state and end from
     ``current``, and an item without records becomes one version there.
     """
+    span = sized(span, changes, "scan_id")
     kind, scan = F.col("change_type"), F.col("scan_id")
     rows = with_neighbours(changes, ITEM, "scan_id", ["scan_id"], span)
     first = F.col("prev").isNull()
@@ -315,10 +327,10 @@ def consistency_report(old_items: DataFrame, state: State) -> DataFrame:
     })
 
 
-def invariant_report(state: State, deep: int = 40, span: int | None = None) -> DataFrame:
+def invariant_report(state: State, deep: int = 40, span: int | None = MEASURE) -> DataFrame:
     """Counts of broken history rules, and of the special cases a test history should contain."""
-    chain = with_neighbours(state.hashes, ["item_id", "item_version"], "first_scan_id", ["hash_state"], span,
-                            next=None)
+    chain = with_neighbours(state.hashes, ["item_id", "item_version"], "first_scan_id", ["hash_state"],
+                            sized(span, state.hashes, "first_scan_id"), next=None)
     firsts = chain.where(F.col("prev").isNull())
     per_item = state.versions.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("item_version").alias("top"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 PLAIN_WINDOW_LIMIT = 100_000
 SEGMENT_SPAN = 16_384
+MEASURE = 0  # as a span: look how long a key can get
 
 
 def choose_span(ordinals_per_key: int) -> int | None:
@@ -23,6 +24,21 @@ def choose_span(ordinals_per_key: int) -> int | None:
     return None if ordinals_per_key <= PLAIN_WINDOW_LIMIT else SEGMENT_SPAN
 
 
+def sized(span: int | None, rows: DataFrame, order: str) -> int | None:
+    """``span`` itself, or for ``MEASURE`` the one that the items of ``rows`` need along ``order``.
+
+    An item has one row per ordinal and one root, so it cannot have more rows than its root has distinct
+    ordinals (rows without root_id: than there are at all).  Counting those reads two columns and
+    combines map-side; what is exchanged has the size of the scans table, whatever the histories hold.
+    Several rows of an item at one ordinal stay in one segment.
+    """
+    if span != MEASURE:
+        return span
+    by = [c for c in ("root_id",) if c in rows.columns]
+    each = rows.select(*by, order).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return choose_span(each.agg(F.max("n")).first()[0] or 0)
+
+
 def _segment(order: str, span: int) -> Column:
     return F.floor(F.col(order) / F.lit(span)).cast("long")
 

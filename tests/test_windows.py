@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows
-from tempora.plans import sizing
+from tempora.operators import hashes, repair
+from tempora.plans import sizing, windows
 from tempora.plans.windows import PLAIN_WINDOW_LIMIT, choose_span, with_neighbours, with_running
 
 
@@ -52,3 +53,39 @@ def test_broadcast_only_when_counted_small(spark):
     df = spark.range(100)
     assert "broadcast" in sizing.broadcast_if_small(df, 100)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in sizing.broadcast_if_small(df, 99)._jdf.queryExecution().logical().toString().lower()
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_jobs_over_histories_measure_them(spark, monkeypatch):
+    rnd = random.Random(3)
+    fields = ["is_deleted", "size"]
+    versions = spark.createDataFrame(
+        [(item, item % 2, scan, scan + rnd.randint(0, 3), rnd.random() < 0.2, rnd.choice([None, 4, 5]))
+         for item in range(20) for scan in sorted(rnd.sample(range(1, 80), 25))],
+        "item_id long, root_id long, first_scan_id long, last_scan_id long, is_deleted boolean, size long")
+    seen = versions.where("root_id = 1").select(
+        "item_id", F.lit(1).alias("item_version"), "root_id", F.col("first_scan_id").alias("scan_id"),
+        F.col("size").cast("string").cast("binary").alias("file_hash"))
+    jobs = [lambda **k: repair.collapse_identical(versions, fields, **k), lambda **k: repair.overlapping(versions, **k),
+            lambda **k: hashes.drift_history(seen, **k)]
+    plain = [rows(job(span=None)) for job in jobs]
+    assert all("_seg" not in plan(job()) for job in jobs)  # short histories
+    monkeypatch.setattr(windows, "PLAIN_WINDOW_LIMIT", 30)
+    monkeypatch.setattr(windows, "SEGMENT_SPAN", 7)
+    assert all("_seg" in plan(job()) for job in jobs)
+    assert [rows(job()) for job in jobs] == plain
+
+
+def test_the_longest_calendar_of_a_root_decides(spark, monkeypatch):
+    monkeypatch.setattr(windows, "PLAIN_WINDOW_LIMIT", 3)
+    df = spark.createDataFrame([(r, s) for r in range(5) for s in (1, 2, 3, 3)], "root_id long, at long")
+    assert windows.sized(windows.MEASURE, df, "at") is None
+    more = df.union(spark.createDataFrame([(2, 9)], df.schema))
+    assert windows.sized(windows.MEASURE, more, "at") == windows.SEGMENT_SPAN
+    assert windows.sized(5, more, "at") == 5 and windows.sized(None, more, "at") is None
+    assert windows.sized(windows.MEASURE, df.limit(0), "at") is None
+    # without roots the ordinals of all rows count
+    assert windows.sized(windows.MEASURE, more.drop("root_id"), "at") == windows.SEGMENT_SPAN
