@@ -118,12 +118,20 @@ def size_history(state: State, item_id: int, from_date: str, to_scan_id: int,
     )
 
 
-def integrity_state_at(state: State, item_ids: DataFrame, scan_id: int) -> DataFrame:
-    """Validation and hash state of items at a scan; unknown items get false flags and nulls."""
-    known = state.items.select("item_id", "has_validator", "do_not_validate")
-    versions = state.versions.join(item_ids, "item_id", "left_semi")
-    force = version_in_force(versions, scan_id).select("item_id", "item_version", "val_state", "val_error")
-    hashed = with_latest_hash(force, state.hashes).select(
+def integrity_state_at(state: State, item_ids: DataFrame, scan_id: int, root_id: int | None = None) -> DataFrame:
+    """Validation and hash state of items at a scan; unknown items get false flags and nulls.
+
+    Only the items' own versions and hashes enter the aggregates; ``root_id`` says that all items lie
+    below one root, so that only its partitions are read.
+    """
+    items, versions, hashes = (
+        df if root_id is None else df.where(F.col("root_id") == root_id)
+        for df in (state.items, state.versions, state.hashes))
+    asked = item_ids.select("item_id")
+    known = items.select("item_id", "has_validator", "do_not_validate")
+    force = version_in_force(versions.join(asked, "item_id", "left_semi"), scan_id).select(
+        "item_id", "item_version", "val_state", "val_error")
+    hashed = with_latest_hash(force, hashes.join(asked, "item_id", "left_semi")).select(
         "item_id", "val_state", "val_error", "hash_state", "file_hash")
     return item_ids.join(known, "item_id", "left").join(hashed, "item_id", "left") \
         .fillna(False, ["has_validator", "do_not_validate"])

@@ -112,59 +112,83 @@ def issue_items_page(state: State, f: IssueFilter, limit: int, offset: int = 0)
     return page(natural_order(issue_items(state, f)), limit, offset)
 
 
-def issue_versions_of(state: State, item_ids: DataFrame, f: IssueFilter) -> DataFrame:
+def _of_root(df: DataFrame, root_id: int | None) -> DataFrame:
+    return df if root_id is None else df.where(F.col("root_id") == root_id)
+
+
+def _suspects_of(state: State, chosen: DataFrame, root_id: int | None) -> DataFrame:
+    """``with_suspects`` of the versions that ``chosen`` names by its columns; no other hashes are counted."""
+    key = chosen.columns
+    versions, hashes = (_of_root(df, root_id).join(chosen, key, "left_semi") for df in (state.versions, state.hashes))
+    return with_suspects(versions, hashes)
+
+
+def issue_versions_of(state: State, item_ids: DataFrame, f: IssueFilter, root_id: int | None = None) -> DataFrame:
     """Matching versions of the given items with scan date and hash counts.
 
-    Only the issue type and status of the filter apply here, deleted versions included.
+    Only the issue type and status of the filter apply here, deleted versions included.  ``root_id`` says
+    that all the items lie below one root, so that only its partitions are read.
     """
-    mine = state.versions.join(item_ids, "item_id", "left_semi")
-    rows = with_suspects(mine, state.hashes).where(issue_predicate(f.issue_type, f.status))
+    rows = _suspects_of(state, item_ids.select("item_id"), root_id).where(issue_predicate(f.issue_type, f.status))
     return rows.join(state.scans.select(F.col("scan_id").alias("first_scan_id"), "started_at"), "first_scan_id") \
         .select("item_id", "item_version", F.col("first_scan_id").alias("scan_id"), "started_at",
                 "hash_count", "suspect_count", "val_state", "val_error", "val_reviewed_at", "hash_reviewed_at")
 
 
-def count_issue_versions_of(state: State, item_ids: DataFrame, f: IssueFilter) -> DataFrame:
+def count_issue_versions_of(state: State, item_ids: DataFrame, f: IssueFilter, root_id: int | None = None) -> DataFrame:
     """How many versions ``issue_versions_of`` finds."""
-    return issue_versions_of(state, item_ids, f).agg(F.count(F.lit(1)).alias("count"))
+    return issue_versions_of(state, item_ids, f, root_id).agg(F.count(F.lit(1)).alias("count"))
 
 
-def issue_versions_page(state: State, item_ids: DataFrame, f: IssueFilter, limit: int, offset: int = 0) -> DataFrame:
+def issue_versions_page(state: State, item_ids: DataFrame, f: IssueFilter, limit: int, offset: int = 0,
+                        root_id: int | None = None) -> DataFrame:
     """A page of ``issue_versions_of``, newest versions first."""
-    rows = issue_versions_of(state, item_ids, f)
+    rows = issue_versions_of(state, item_ids, f, root_id)
     return page(rows.orderBy(F.desc("item_version"), "item_id"), limit, offset)
 
 
 # ---- changing the review state ----------------------------------------------------------------
 
 
-def review(state: State, target: DataFrame, at: int | None, kinds: Sequence[str] = ("val", "hash")):
-    """Set (``at``) or clear (None) the review of issue versions of the target rows.
+def review_changes(state: State, target: DataFrame, at: int | None, kinds: Sequence[str] = ("val", "hash"),
+                   root_id: int | None = None) -> DataFrame:
+    """The versions whose marks a review changes, with a flag for each kind (``val_hit``, ``hash_hit``).
 
-    ``target`` has item_id, and item_version where single versions are meant.  Marks are set only
-    where absent and cleared only where present.  Returns (versions, affected): the number of
-    changed marks, validation and hash counted apart and added.
+    Only versions and hashes of the target rows are read beyond their keys.
     """
-    key = [c for c in VERSION if c in target.columns]
-    chosen = target.select(*key).distinct().withColumn("_hit", F.lit(True))
-    rows = with_suspects(state.versions, state.hashes).join(chosen, key, "left")
+    rows = _suspects_of(state, target.select(*[c for c in VERSION if c in target.columns]).distinct(), root_id)
     has = {"val": has_val_issue(), "hash": has_hash_issue()}
     hits = {}
-    for kind in kinds:
+    for kind in ("val", "hash"):
         mark = F.col(f"{kind}_reviewed_at")
         due = mark.isNull() if at is not None else mark.isNotNull()
-        hits[kind] = F.coalesce(F.col("_hit"), F.lit(False)) & has[kind] & due
-    affected = rows.agg(sum((F.count_if(h) for h in hits.values()), F.lit(0)).alias("affected"))
-    done = rows.withColumns({
-        f"{k}_reviewed_at": F.when(h, F.lit(at).cast("long")).otherwise(F.col(f"{k}_reviewed_at"))
-        for k, h in hits.items()
-    })
+        hits[f"{kind}_hit"] = has[kind] & due if kind in kinds else F.lit(False)
+    return rows.select(*VERSION, *[h.alias(n) for n, h in hits.items()]).where(F.col("val_hit") | F.col("hash_hit"))
+
+
+def review(state: State, target: DataFrame, at: int | None, kinds: Sequence[str] = ("val", "hash"),
+           root_id: int | None = None, whole: bool = True):
+    """Set (``at``) or clear (None) the review of issue versions of the target rows.
+
+    ``target`` has item_id, and item_version where single versions are meant.  Marks are set only
+    where absent and cleared only where present.  Returns (versions, affected): the number of
+    changed marks, validation and hash counted apart and added.  ``root_id`` says that the targets lie
+    below one root; what they hold is then looked for there alone, and without ``whole`` only that
+    root's versions come back, which is what a commit of the root writes.
+    """
+    changes = review_changes(state, target, at, kinds, root_id)
+    affected = changes.agg((F.count_if("val_hit") + F.count_if("hash_hit")).alias("affected"))
+    versions = state.versions if whole else _of_root(state.versions, root_id)
+    done = versions.join(changes, list(VERSION), "left").withColumns({
+        f"{k}_reviewed_at": F.when(F.col(f"{k}_hit"), F.lit(at).cast("long")).otherwise(F.col(f"{k}_reviewed_at"))
+        for k in ("val", "hash")})
     return done.select(*state.versions.columns), affected
 
 
-def review_by_filter(state: State, f: IssueFilter, at: int | None, kinds: Sequence[str] = ("val", "hash")):
+def review_by_filter(state: State, f: IssueFilter, at: int | None, kinds: Sequence[str] = ("val", "hash"),
+                     whole: bool = True):
     """Review all issue versions of every item that has at least one match of the filter."""
-    return review(state, issue_versions(state, f).select("item_id"), at, kinds)
+    return review(state, issue_versions(state, f).select("item_id"), at, kinds, f.root_id, whole)
 
 
 def set_do_not_validate(items: DataFrame, chosen: DataFrame, value: bool = True) -> DataFrame:

@@ -210,3 +210,26 @@ def test_one_root_prunes_versions_and_hashes(spark, store):
     df = B.search_at(store, scan.root_id, "u", scan.scan_id)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PartitionFilters: [isnotnull(root_id") >= 3, plan
+
+
+def test_a_review_of_one_root_reads_and_returns_that_root(store):
+    everything = review.IssueFilter("all", "all", show_deleted=True)
+    root = review.issue_versions(store, everything).groupBy("root_id").count().orderBy(F.desc("count")).first()[0]
+    f = review.IssueFilter("all", "unreviewed", root_id=root)
+    whole, n = review.review_by_filter(store, f, 77)
+    part, m = review.review_by_filter(store, f, 77, whole=False)
+    assert n.first()[0] == m.first()[0] > 0
+    assert rows(part) == rows(whole.where(F.col("root_id") == root))
+    assert rows(whole.where(F.col("root_id") != root)) == rows(store.versions.where(F.col("root_id") != root))
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == plan.count("PartitionFilters: [isnotnull(root_id"), plan
+
+
+def test_state_of_few_items_aggregates_their_hashes_only(spark, store):
+    ids = [r.item_id for r in store.items.where("root_id = 1").orderBy("item_id").limit(3).collect()]
+    ask = spark.createDataFrame([(i,) for i in ids], "item_id long")
+    df = browse.integrity_state_at(store, ask, 1203, 1)
+    run = df._jdf.queryExecution()
+    scans_of_root = run.executedPlan().toString().count("PartitionFilters: [isnotnull(root_id")
+    assert run.optimizedPlan().toString().count("LeftSemi") == 2 and scans_of_root == 3
+    assert len(ids) == 3 and rows(df) == rows(browse.integrity_state_at(store, ask, 1203))
