@@ -145,3 +145,11 @@ def test_versions_never_overlap_and_kinds_sum_to_population(spark, store):
     kinds = {r.change_kind: r["count"] for r in with_change_view(typed, 1203).groupBy("change_kind").count().collect()}
     assert sum(v for k, v in kinds.items() if k != "deleted") == scan.file_count + scan.folder_count
     assert kinds.get("deleted", 0) == scan.delete_count and kinds.get("added", 0) == scan.add_count
+
+
+def test_versions_are_found_on_one_sort_without_a_table_of_groups(spark):
+    obs = spark.createDataFrame([(1, 10, 1, 0, 0, 1)],
+                                "root_id long, scan_id long, item_id long, access int, mod_date long, size long")
+    scan_table = spark.createDataFrame([(1, 10, 4)], "root_id long, scan_id long, state int")
+    plan = H.build_history(obs, scan_table)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort [root_id#") == 2  # the items, and the tiny calendar
