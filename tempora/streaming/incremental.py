@@ -23,13 +23,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tempora.operators.history import extend_history, new_items
 from tempora.operators.tree import apply_folder_changes, folder_changes, own_flags
-from tempora.plans.sizing import broadcast_if_small
+from tempora.plans.sizing import broadcast_if_small, write_and_read
 from tempora.schemas import DIRECTORY, FOLDER_COUNTERS, ITEMS, META, ROOTS, SCANS, VERSIONS
 from tempora.sources.tables import list_folder, publish, published_versions, remove
 
@@ -177,29 +177,29 @@ def apply_scans(store: HistoryStore, version: int, announced: DataFrame, observa
     touched_roots = [r["root_id"] for r in new_scans.select("root_id").distinct().collect()]  # as many as a batch announces
     scans = store.scans(version, touched_roots).unionByName(new_scans)
     new_ids = broadcast_if_small(new_scans.select("scan_id"))
-    seen = observations.select(*NATURAL, "scan_id", *META).join(new_ids, "scan_id", "left_semi")
+    lo, hi = new_scans.agg(F.min("scan_id"), F.max("scan_id")).first()
+    due = observations.where(F.col("scan_id").between(F.lit(lo), F.lit(hi)))  # folders outside are not opened
+    seen = due.select(*NATURAL, "scan_id", *META).join(new_ids, "scan_id", "left_semi")
 
     before = store.manifest(version)
     known = store.items(version, touched_roots)
-    unknown = seen.select(*NATURAL).distinct().join(known, NATURAL, "left_anti")
+    step = f"{at}/step/v={version}"  # what is read several times is computed once
+    unknown = write_and_read(
+        seen.select(*NATURAL).distinct().join(known, NATURAL, "left_anti"), f"{step}/unknown")
     top = before.agg(F.max("top")).first()[0] or 0
     runs = {"items": store.write_run("items", new_items(unknown, top), version)}
     items = known.unionByName(store.read_runs("items", [(r[2], r[1]) for r in runs["items"]]))
 
     current = store.open(version, touched_roots)
     named = seen.join(items.select("item_id", *NATURAL), NATURAL)
-    rows = extend_history(current, named, scans, span=span)
+    rows = write_and_read(extend_history(current, named, scans, span=span), f"{step}/rows")
     paths = items.select("item_id", "root_id", "item_path", "item_type", "parent_path").join(roots, "root_id")
     whole = continue_folders(rows, current, paths, scans, new_scans, span)
     touched = rows.select("root_id", "item_id").distinct()
     untouched = current.join(touched, ["root_id", "item_id"], "left_anti")
     returned = current.where(F.col("is_deleted")).join(touched, ["root_id", "item_id"], "left_semi")
-    newest = whole.groupBy("root_id", "item_id").agg(F.max("item_version").alias("_top"))
-    marked = whole.join(newest, ["root_id", "item_id"]).withColumn(
-        "_open", F.col("item_version") == F.col("_top")).drop("_top")
-    step = f"{at}/step/v={version}"
-    marked.write.mode("overwrite").partitionBy("_open").parquet(step)  # computed once, read twice
-    done = spark.read.schema(T.StructType([*BARE.fields, T.StructField("_open", T.BooleanType())])).parquet(step)
+    newest = F.max("item_version").over(Window.partitionBy("root_id", "item_id"))
+    done = write_and_read(whole.withColumn("_open", F.col("item_version") == newest), f"{step}/done", ["_open"])
     runs["closed"] = store.write_run("closed", done.where(~F.col("_open")).select(*CORE).unionByName(returned.select(*CORE)), version)
     runs["open"] = store.write_run("open", done.where("_open").select(*CORE).unionByName(untouched.select(*CORE)), version)
     runs["scans"] = store.write_run("scans", new_scans, version)

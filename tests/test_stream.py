@@ -64,3 +64,20 @@ def test_runs_of_a_root_are_merged_by_levels(spark, tmp_path):
         runs = grown.compact("scans", runs + grown.write_run("scans", whole, v), v)
     assert max(r[3] for r in runs) == 1 and all(sum(r[1] == root and r[3] == level for r in runs) < FANOUT for root in (7, 8) for level in (0, 1))
     assert rows(grown.read_runs("scans", [(r[2], r[1]) for r in runs]), "scan_id", "root_id") == rows(scans.where(f"scan_id < {2 * FANOUT * FANOUT}"), "scan_id", "root_id")
+
+
+def test_a_batch_opens_only_the_folders_of_its_scans(spark, tmp_path):
+    from tempora.streaming.incremental import HistoryStore
+
+    grown = HistoryStore(spark, str(tmp_path / "store"))
+    fields = "root_id long, item_path string, item_type int, access int, mod_date long, size long, scan_id long"
+    spark.createDataFrame([(1, "/r/a", 0, 0, 1, 2, s) for s in (101, 201, 301)], fields) \
+        .write.partitionBy("scan_id").parquet(str(tmp_path / "observed"))
+    for f in (tmp_path / "observed" / "scan_id=301").glob("*.parquet"):
+        f.write_bytes(b"still being written")
+    observed = spark.read.schema(fields).parquet(str(tmp_path / "observed"))
+    roots = spark.createDataFrame([(1, "/r")], ROOTS)
+    whole = [f"cast(null as {x.dataType.simpleString()}) as {x.name}" for x in grown.scans().schema if x.name not in ("root_id", "scan_id", "state")]
+    scans = spark.createDataFrame([(1, s, 4) for s in (101, 201)], "root_id long, scan_id long, state int").selectExpr("*", *whole)
+    apply_scans(grown, 0, scans, observed, roots)
+    assert rows(grown.versions(), "first_scan_id", "last_scan_id", "size") == [(101, 201, 2)]

@@ -89,3 +89,9 @@ def test_the_longest_calendar_of_a_root_decides(spark, monkeypatch):
     assert windows.sized(windows.MEASURE, df.limit(0), "at") is None
     # without roots the ordinals of all rows count
     assert windows.sized(windows.MEASURE, more.drop("root_id"), "at") == windows.SEGMENT_SPAN
+
+
+def test_numbering_looks_for_a_bucket_once_per_row(spark):
+    keys = spark.range(500).select((F.col("id") % 400).alias("a")).distinct()
+    text = plan(sizing.number_rows(keys, ["a"], "n"))
+    assert not [line for line in text.splitlines() if "Filter" in line and "lambda" in line]
