@@ -153,3 +153,28 @@ def test_versions_are_found_on_one_sort_without_a_table_of_groups(spark):
     scan_table = spark.createDataFrame([(1, 10, 4)], "root_id long, scan_id long, state int")
     plan = H.build_history(obs, scan_table)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Sort [root_id#") == 2  # the items, and the tiny calendar
+
+
+def test_versions_that_carry_paths_are_not_joined_with_items(spark):
+    from tempora.sources import feeds
+
+    obs = spark.createDataFrame(
+        [(1, s, 102 + 100 * (s % 3), f"/r/b1/d1/u{1 + s % 3}.jpg", 0, 0, s, 3 + s) for s in (101, 201, 301, 401)]
+        + [(1, s, 10**12 + 1, "/r/b1", 1, 0, s, 3 + s) for s in (101, 201, 301, 401)]
+        + [(1, 201, None, "/r/b1/d1/unull", 0, 0, 5, 5)],
+        "root_id long, scan_id long, item_id long, item_path string, item_type int, access int, mod_date long, size long")
+    scans = spark.createDataFrame([(1, s, 4, s != 101, s == 301) for s in (101, 201, 301, 401)],
+                                  "root_id long, scan_id long, state int, is_hash boolean, is_val boolean")
+    roots = spark.createDataFrame([(1, "/r")], "root_id long, root_path string")
+    items = feeds.items_of(obs)
+    plain = with_folder_counters(H.build_history(obs, scans), items, roots, scans)
+    carried = with_folder_counters(H.build_history(obs, scans, carry=feeds.PATH), items, roots, scans)
+    assert rows(carried, *plain.columns) == rows(plain) and set(carried.columns) - set(plain.columns) == set(feeds.PATH)
+    # files are found without the items
+    cols = ["item_id", "item_version", "scan_id", "file_hash"]
+    assert rows(feeds.activity_hash_observations(carried, items.limit(0), scans), *cols) == rows(
+        feeds.activity_hash_observations(plain, items, scans), *cols) != []
+    # a version meets one row of the calendar, not each validating scan of its root
+    met = feeds.activity_validation(carried, items, scans)
+    assert rows(met, "item_id", "val_scan_id", "val_state") == [(202, 301, 1)]
+    assert "= first_scan_id" in met._jdf.queryExecution().optimizedPlan().toString()
