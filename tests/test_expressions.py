@@ -134,3 +134,14 @@ def test_tree_helpers(spark):
 def test_natural_order(spark, ordered):
     df = spark.createDataFrame([(p,) for p in reversed(ordered)], "p string")
     assert [r.p for r in df.orderBy(P.natural_key(F.col("p"))).collect()] == ordered
+
+
+def test_paths_are_cut_without_lambdas_and_line_ends_keep_their_meaning(spark):
+    texts = ["/a/b.JPG", "a//b/", "/", "", "//x", "/a/..", "/.jpg", "/a/b.c.Txt", "/a/b.jpg\n", "/a/\n", "/a.b/c", None]
+    df = spark.createDataFrame([(t,) for t in texts], "p string")
+    p = F.col("p")
+    out = df.select(P.parent_path(p).alias("up"), P.path_name(p).alias("name"), P.file_extension(P.path_name(p)).alias("ext"))
+    assert [tuple(r) for r in out.collect()] == [
+        ("/a", "b.JPG", "jpg"), ("/a", "b", None), ("/", "/", None), ("/", "", None), ("/", "x", None), ("/a", "/a/..", ""),
+        ("/", ".jpg", None), ("/a", "b.c.Txt", "txt"), ("/a", "b.jpg\n", "jpg\n"), ("/a", "a\n", None), ("/a.b", "c", None), ("/", None, None)]
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -178,3 +178,48 @@ def test_versions_that_carry_paths_are_not_joined_with_items(spark):
     met = feeds.activity_validation(carried, items, scans)
     assert rows(met, "item_id", "val_scan_id", "val_state") == [(202, 301, 1)]
     assert "= first_scan_id" in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_versions_that_carry_paths_are_validated_and_marked_without_the_items(spark):
+    from tempora.sources import feeds
+
+    obs = spark.createDataFrame(
+        [(1, s, 102 + 100 * u, f"/r/b1/d1/u{1 + u}.jpg", 0, 0, 7, 3 + u) for s in (101, 201, 301, 401) for u in (*range(12), 20)]
+        + [(1, 201, None, "/r/b1/d1/unull.jpg", 0, 0, 5, 5)],
+        "root_id long, scan_id long, item_id long, item_path string, item_type int, access int, mod_date long, size long")
+    scans = spark.createDataFrame([(1, s, 4, True, s == 301) for s in (101, 201, 301, 401)],
+                                  "root_id long, scan_id long, state int, is_hash boolean, is_val boolean")
+    roots = spark.createDataFrame([(1, "/r")], "root_id long, root_path string")
+    items = feeds.items_of(obs)
+    carried = with_folder_counters(H.build_history(obs, scans, carry=feeds.PATH), items, roots, scans)
+    observed = feeds.drift_history(feeds.activity_hash_observations(carried, items, scans))
+    out = feeds.with_integrity(carried, observed, items.limit(0), scans)
+    joined = feeds.with_integrity(carried.drop(*feeds.PATH), observed, items, scans)
+    assert rows(out) == rows(joined) and out.where("val_state = 2").count() and out.where("hash_reviewed_at > 0").count()
+    assert out.where("item_id is null and val_scan_id is not null").count() == 0
+    # only versions whose suspects count as reviewed are exchanged for them
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "has_validator" not in plan
+
+
+def test_hash_intervals_are_found_on_one_sort(spark):
+    from tempora.operators.hashes import drift_history
+
+    seen = spark.createDataFrame([(1, 1, 1, s, h) for s, h in enumerate("aabbab")] + [(1, 2, 1, 9, "a")],
+                                 "item_id long, item_version long, root_id long, scan_id long, file_hash string")
+    out = drift_history(seen, None)
+    assert rows(out, "item_version", "first_scan_id", "last_scan_id", "file_hash", "hash_state") == [
+        (1, 0, 1, "a", 1), (1, 2, 3, "b", 2), (1, 4, 4, "a", 2), (1, 5, 5, "b", 2), (2, 9, 9, "a", 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort [item_id#") == 1
+
+
+def test_a_snapshot_is_read_from_what_the_build_wrote(spark, store):
+    from catalog import h_history
+    from helpers import SMALL
+    from tempora.sources import feeds
+
+    snap = h_history.before(spark, SMALL)[2]
+    assert "events" not in " ".join(snap.inputFiles())
+    cols = list(feeds.OBSERVED)
+    assert rows(feeds.stored_observations(spark, SMALL), *cols) == rows(feeds.activity_observations(spark, SMALL), *cols)
