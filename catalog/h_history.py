@@ -45,7 +45,7 @@ def before(spark, sf):
     versions = st.versions.where((F.col("root_id") == ROOT) & (F.col("first_scan_id") < N)).withColumn(
         "last_scan_id", F.least("last_scan_id", F.lit(prev)))
     items = st.items.join(versions.select("item_id"), "item_id", "left_semi")
-    snap = feeds.activity_observations(spark, sf).where(
+    snap = feeds.stored_observations(spark, sf).where(
         (F.col("root_id") == ROOT) & (F.col("scan_id") == N))
     return items, versions, snap
 
