@@ -43,6 +43,7 @@ PERCENT = 75
 COORDINATES = 160
 ROWS = 4
 BANDS = COORDINATES // ROWS
+FATE_BITS = 26  # marks of the rows that go or repeat: 8 MB, at any size
 BLOCK = 1_000_000  # elements of differences that one block holds
 
 
@@ -250,6 +251,11 @@ def components(docs: DataFrame) -> DataFrame:
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _slot(doc_id: str, tag: str) -> Column:
+    """Place of a row's key in the table of marks; rows that share one by chance are told apart by the join."""
+    return F.pmod(F.xxhash64(doc_id, tag), F.lit(1 << FATE_BITS))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component, with its columns: that of the smallest doc_id, rows without
     one last, then of the smallest text hash; of rows equal in both any one.  Rows without words stay."""
@@ -263,8 +269,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     fate = common.stored(fate, "fate")
     rows = docs.select(F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_d"), common.text_tag(docs["text"]).alias("_t"))
     on = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tag"))
-    whole = rows.join(fate, on, "left_anti").select("_row.*")
+    # texts of rows that have no fate are never exchanged: only rows whose key is marked meet the fates
+    marks = docs.sparkSession.sparkContext.broadcast(common.bit_table(fate.select(_slot("_id", "_tag").alias("slot")), FATE_BITS))
+    marked = F.pandas_udf(lambda slot: pd.Series(common.marked_in(marks.value, slot.to_numpy().view(np.uint64))), "boolean")
+    rows = rows.withColumn("_may", marked(_slot("_d", "_t")))
+    may = rows.where("_may")
+    whole = rows.where("not _may").select("_row.*").unionByName(may.join(fate, on, "left_anti").select("_row.*"))
     if fate.where("_one").isEmpty():
         return whole
-    repeated = rows.join(fate.where("_one"), on, "left_semi").groupBy("_d", "_t").agg(F.first("_row").alias("_row"))
+    repeated = may.join(fate.where("_one"), on, "left_semi").groupBy("_d", "_t").agg(F.first("_row").alias("_row"))
     return whole.unionByName(repeated.select("_row.*"))

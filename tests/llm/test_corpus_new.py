@@ -268,3 +268,19 @@ def test_numbers_without_letters_are_no_language(spark):
     docs = documents(spark, [(1, "½ ² ① Ⅳ"), (2, "the ½ cat"), (2, "the ½ cat")])
     model = langid.train([("the cat", "en"), ("die katze", "de")] * 30)
     assert sorted(r.lang_pred for r in langid.identify(docs, model).collect()) == ["en", "en", "und"]
+
+
+def test_only_texts_of_rows_that_go_or_repeat_are_exchanged(spark, monkeypatch):
+    from tempora.llm import near_dedup
+
+    pick = random.Random(6)
+    text = [" ".join(pick.choices([f"w{i}" for i in range(300)], k=30)) for _ in range(20)]
+    rows = [*enumerate(text), (50, text[0]), (51, text[1]), (52, None)]
+    want = sorted((i, t) for i, t in rows if i < 50) + [(52, None)]
+    kept = near_dedup.one_of_each(documents(spark, rows))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == want
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "ArrowEvalPython" in plan[plan.index("LeftAnti"):]
+    # with a table so small that every key is marked the join alone decides
+    monkeypatch.setattr(near_dedup, "FATE_BITS", 6)
+    assert sorted((r.doc_id, r.text) for r in near_dedup.one_of_each(documents(spark, rows)).collect()) == want
