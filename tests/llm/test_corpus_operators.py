@@ -183,6 +183,31 @@ def test_large_components_stay_exact():
     assert sorted(rows) == [(0, 1, 2**80 + 1), (0, 2, 2**80 + 2)]
 
 
+def test_topk_moves_blocks_and_shards_without_a_join(spark, monkeypatch):
+    for name, value in {"SHARD": 16, "LEAF": 4, "BLOCK": 4, "BLOCKS": 3, "LARGE_BLOCK": 16, "STRIPE": 2, "STRIPES": 3, "PENDING": 5}.items():
+        monkeypatch.setattr(topk, name, value, raising=False)
+    gen = np.random.default_rng(4)
+    # many equal vectors and scores, and numbers of every width
+    rows = [(i, [1, 1, 2]) for i in range(0, 90, 3)] + [(i, gen.integers(-3, 4, 3).tolist()) for i in range(1, 90, 3)]
+    rows += [(i, [int(x) for x in gen.integers(-10**e, 10**e, 2)]) for i, e in zip(range(2, 90, 3), [1, 3, 5, 8, 9] * 6, strict=False)]
+    v = spark.createDataFrame(rows, "id long, v array<long>")
+    result = topk.search(v, v.where("id % 2 = 0"), 5)
+    want = []
+    for q, a in rows:
+        scores = sorted((-sum(x * y for x, y in zip(a, e, strict=True)), i) for i, e in rows if i != q and len(e) == len(a))
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5]) if q % 2 == 0]
+    assert sorted(tuple(r) for r in result.collect()) == sorted(want)
+    # rows of many queries or vectors are small on disk: the planner must not get to broadcast them
+    assert "Join" not in result._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_scores_are_ranked_exactly():
+    big = np.array([[2**40, i] for i in (3, 1, 2, 2)], np.int64)
+    rows, kth = topk.search_shard(big[:2], np.array([1, 9]), big, np.array([1, 2, 3, 4]), 2, np.full(2, -np.inf))
+    assert sorted(rows) == [(0, 3, 2**80 + 6), (0, 4, 2**80 + 6), (1, 1, 2**80 + 3), (1, 3, 2**80 + 2)]
+    assert kth.tolist() == [2**80 + 6, 2**80 + 2]
+
+
 # near duplicates
 
 def test_sketch_fills_every_coordinate_and_estimates():
