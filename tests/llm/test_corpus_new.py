@@ -222,6 +222,18 @@ def test_scores_with_nothing_to_learn_or_to_score(spark):
     assert lm_score.score(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_a_block_of_texts_is_stored_small_and_alone(spark, monkeypatch):
+    kept, stored = {}, common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name, **options: kept.setdefault(name, stored(df, name, **options)))
+    monkeypatch.setattr(lm_score, "BLOCK", 3000)
+    docs = documents(spark, [(i, "the cat sat on the mat " * 60) for i in range(20)]).coalesce(1)
+    assert lm_score.score(docs, F.lit(True)).count() == 20
+    rows = kept["blocks"].select("ends", "tokens").collect()
+    # a reader lays all blocks of a file out at once, and the JVM copies a row several times
+    assert len(rows) > 5 and len(kept["blocks"].inputFiles()) == len(rows)
+    assert all(len(r.tokens) < 2 * r.ends[-1] for r in rows)
+
+
 # what earlier operators now do
 
 def test_a_menu_of_a_small_site_goes_and_lists_are_spread_alike(spark):
